@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files, unigram
-from .common import new_path, table
+from . import bpe, mixing, quality, token_files, toxicity, unigram
+from .common import cut, new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from both views, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.withColumn("kept", (F.col("quality_score") >= quality.KEEP_FROM).cast("int"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text of these ids, as digests."""
     made = bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, keep=["doc_id"])
@@ -34,10 +42,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, path)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, net, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    sized = cut(mixing.with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
