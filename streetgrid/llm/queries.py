@@ -80,11 +80,11 @@ WITH RECURSIVE w AS (
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS i FROM w)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
   SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
-  WHERE 100 * both >= 90 * (p.n + q.n - both)
+  WHERE 100 * common >= 90 * (p.n + q.n - common)
 ), e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach(x, y) AS (
   SELECT doc_id, doc_id FROM w UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y
