@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, jaccard, mixing, quality, token_files, toxicity, unigram
+from . import bpe, edit_fingerprint, jaccard, mixing, quality, token_files, toxicity, unigram, url_filter
 from .common import cut, new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, path)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edit with the next document."""
     return edit_fingerprint.against_next(table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_url_filter": op6_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
