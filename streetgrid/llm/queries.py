@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, jaccard, mixing, quality, token_files, toxicity, unigram, url_filter
+from . import bpe, edit_fingerprint, jaccard, mixing, neighbours, quality, token_files, toxicity, unigram, url_filter
 from .common import cut, new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth id."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from both views, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_counts": op4_token_counts,
