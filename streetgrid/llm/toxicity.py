@@ -301,3 +301,12 @@ def score(docs: DataFrame, net: Net, text: str = "text", name: str = "score", ke
         return work
 
     return add_columns(docs, make, [text], [T.StructField(name, T.DoubleType())], keep)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with their own columns."""
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    scored = score(docs, train(docs, labels), name=name)
+    return scored.filter(scored[name] < THRESHOLD).select(*docs.columns)
