@@ -218,13 +218,13 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(load(spark, sf_dir, "fx_edges"))
 
 
-_PATHS = """WITH RECURSIVE e AS (SELECT u, v, min(length) AS length FROM fx_edges GROUP BY u, v), p(source, node, dist) AS (SELECT osmid, osmid, 0e0 FROM fx_points WHERE osmid % 5 = 0
+_PATHS = """WITH RECURSIVE e AS (SELECT u, v, min(length) AS length FROM fx_edges GROUP BY u, v), p(source, node, dist) AS (SELECT osmid, osmid, 0e0 FROM fx_points
   UNION SELECT p.source, e.v, p.dist + e.length FROM p JOIN e ON p.node = e.u WHERE p.dist + e.length <= 400), d AS (SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node)"""
 
 
 @query("bounded_paths", "source:i node:i dist:f", _PATHS + " SELECT source, node, dist FROM d WHERE node <> source")
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = load(spark, sf_dir, "fx_points").filter("osmid % 5 = 0").select(F.col("osmid").alias("node"))
+    sources = load(spark, sf_dir, "fx_points").select(F.col("osmid").alias("node"))
     return graph.bounded_paths(load(spark, sf_dir, "fx_edges"), _checked(sources), 400.0).filter("node <> source")
 
 
@@ -241,7 +241,7 @@ def _checked(df: DataFrame) -> DataFrame:
 @query(
     "graph_knn_features",
     "node:i n_near:i mean_dist:f near_sidewalk:f",
-    _PATHS.replace(" WHERE osmid % 5 = 0", "")
+    _PATHS
     + """, v AS (SELECT p.osmid AS node, avg(m.sidewalk_frac) AS sidewalk FROM fx_points p JOIN fx_mask_stats m USING (city, point_id) GROUP BY p.osmid),
     t AS (SELECT d.source, d.dist, v.sidewalk, row_number() OVER (PARTITION BY d.source ORDER BY d.dist, d.node) AS r FROM d JOIN v ON v.node = d.node WHERE d.node <> d.source),
     f AS (SELECT source, count(*) AS n, avg(dist) AS m, sum(sidewalk / greatest(dist, 1)) / sum(1 / greatest(dist, 1)) AS s FROM t WHERE r <= 8 GROUP BY source)
