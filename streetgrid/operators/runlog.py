@@ -39,9 +39,9 @@ def best_in_column(value: str, by: list[str]) -> Column:
 
 
 def grid(spark, backbones: list[str], cities: list[str], seeds: list[int]) -> DataFrame:
-    """All runs of a design: backbone, two different cities, seed. Small fixed lists, so crossed."""
-    b = spark.createDataFrame([(x,) for x in backbones], "backbone string")
-    s = spark.createDataFrame([(x,) for x in cities], "train_city string")
-    d = spark.createDataFrame([(x,) for x in cities], "test_city string")
-    r = spark.createDataFrame([(x,) for x in seeds], "seed int")
-    return b.crossJoin(s).crossJoin(d).crossJoin(r).filter("train_city <> test_city")
+    """All runs of a design: backbone, two different cities, seed. The lists are short; one row is exploded by each."""
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    out = spark.range(1, numPartitions=1).select(each(backbones).alias("backbone"))
+    for name, values in (("train_city", cities), ("test_city", cities), ("seed", seeds)):
+        out = out.withColumn(name, each(values))
+    return out.filter("train_city <> test_city")
