@@ -24,10 +24,12 @@ from .chunk_cache import ChunkCache
 from .common import add_columns, cut, new_path, slices
 from .components import components
 
-#: Tokens whose lowest 4 bits are below this come first in every order, rare ones before frequent ones.
-FIRST_SIXTEENTHS = 3
+#: The tokens that come first in every order, rare before frequent, are so many times what a prefix takes of all.
+FIRST_TIMES = 1.6
 #: Tokens and sets that a block of a part may hold, about; larger parts are compared block by block.
-BLOCK_TOKENS, BLOCK_SETS = 1 << 17, 512
+BLOCK_TOKENS, BLOCK_SETS = 1 << 19, 2048
+#: Bits of the map by which texts that take no part are left out before the others are dealt; 16 MB, whatever the corpus.
+TEXT_MAP_BITS = 1 << 27
 #: Bits of the parity maps by which unlike pairs are told without reading their sets.
 MAP_BITS = 1024
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,6 +67,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def first_sixteenths(num: int, den: int) -> int:
+    """Tokens whose lowest 4 bits are below this come first: a part of all that leaves room to pass over frequent ones."""
+    return max(1, min(16, round(16 * FIRST_TIMES * (den - num) / den)))
+
+
 def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, key (hash of the set; null if empty), n_first, and the tokens that can be in a prefix."""
     fields = [
@@ -74,6 +81,8 @@ def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         T.StructField("tokens", T.ArrayType(T.LongType())),
     ]
 
+    sixteenths = np.uint64(first_sixteenths(num, den))
+
     def make():
         shingles = Shingler(words)
 
@@ -81,7 +90,7 @@ def _summaries(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             sizes, keys, firsts, tokens = [], [], [], []
             for text in texts.to_pylist():
                 s = shingles(text)
-                early = (s & np.uint64(15)) < FIRST_SIXTEENTHS
+                early = (s & np.uint64(15)) < sixteenths
                 first, late = s[early].view(np.int64), s[~early].view(np.int64)
                 missing = prefix_size(len(s), num, den) - len(first) if len(s) else 0
                 sizes.append(len(s))
@@ -109,7 +118,7 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     each = rows.select("key", F.explode("tokens").alias("token"))
     each = each.withColumn("new", F.lag("key").over(token.orderBy("key")).isNull() | (F.lag("key").over(token.orderBy("key")) != F.col("key")))
     each = each.withColumn("df", F.sum(F.col("new").cast("int")).over(token)).filter("new and df > 1")
-    first = (F.col("token").bitwiseAND(15) < FIRST_SIXTEENTHS).cast("int")
+    first = (F.col("token").bitwiseAND(15) < first_sixteenths(num, den)).cast("int")
     lists = each.withColumn("late", 1 - first).groupBy("key").agg(F.collect_list(F.struct("late", "df", "token")).alias("shared"))
     sizes = rows.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_first").alias("n_first"))
     both = lists.join(sizes, "key")
@@ -265,7 +274,8 @@ def similarity_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK_TOKENS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     inside = cut(parts.join(sizes.select("part0", "part1", blocks.alias("blocks")), ["part0", "part1"]).join(classes, "key"))
 
-    texts = base.join(inside.select("rep", "key").distinct(), F.col("doc_id") == F.col("rep"))
+    wanted = inside.select("rep", "key").distinct()
+    texts = _among(base, wanted.select("rep")).join(wanted, F.col("doc_id") == F.col("rep"))
     shingled = add_columns(texts, lambda: _members(words), ["text"], [T.StructField("members", T.BinaryType()), T.StructField("_key", T.LongType())], keep=["key"])
     members = cut(shingled.filter("key = _key").drop("_key").dropDuplicates(["key"]))
 
@@ -283,6 +293,20 @@ def similarity_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is among ``ids`` (rep), and few others.
+
+    The ids set bits of a map of fixed size, which is broadcast in pieces. What shares a bit passes too; a join decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(TEXT_MAP_BITS))
+    piece, bit = (lambda p: F.shiftright(p, 15)), (lambda p: p.bitwiseAND(32767))
+    pieces = ids.groupBy(piece(place("rep")).alias("_piece")).agg(F.bitmap_construct_agg(bit(place("rep"))).alias("_bits"))
+    found = docs.join(F.broadcast(pieces), piece(place("doc_id")) == F.col("_piece"))
+    at = bit(place("doc_id"))
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("_piece", "_bits")
+
+
 def _members(words: int):
     shingles = Shingler(words)
 
