@@ -89,7 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """
     ways = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
-    kinds = hosts.crossJoin(F.broadcast(hosts.sparkSession.createDataFrame([(0,), (1,)], "kind int")))
+    kinds = hosts.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1))))
     stuck = kinds.join(ways.select("kind", F.col("src").alias("host")).distinct(), ["kind", "host"], "left_anti")
     ways = ways.unionByName(stuck.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight")))
     total = ways.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
