@@ -36,6 +36,12 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def plain_pieces(chunk: str) -> list[str] | None:
+    """Word and marks of a chunk that needs no normaliser but lower-casing; None for any other."""
+    m = _PLAIN.match(chunk)
+    return m and ([m[1].lower(), m[2]] if m[2] else [m[1].lower()])
+
+
 class SuffixAutomaton:
     """All factors of a set of words; ``out`` leads from a state to the longest whole word that is a suffix of it."""
 
@@ -207,11 +213,10 @@ class PrefixBpe:
 
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk without special tokens, in byte symbols."""
-        if m := _PLAIN.match(chunk):
-            word = m[1].lower()
-            if not word.isascii():
-                word = "".join(self._bytes[b] for b in word.encode())
-            return [word, m[2]] if m[2] else [word]
+        if plain := plain_pieces(chunk):
+            if not plain[0].isascii():
+                plain[0] = "".join(self._bytes[b] for b in plain[0].encode())
+            return plain
         normal = self._library.normalizer.normalize_str(chunk)
         return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 

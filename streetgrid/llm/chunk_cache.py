@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Chunks remembered by one task; the memory is emptied when it is full, so results never depend on it.
+#: Chunks that one generation of a task's memory holds; when it is full it becomes the old one, from which chunks that
+#: come again are taken over. Results never depend on it.
 CACHE_CHUNKS = 300_000
 #: Longer chunks are not remembered.
 LONGEST = 48
@@ -16,11 +17,15 @@ class ChunkCache(dict):
     def __init__(self, make: Callable, limit: int = CACHE_CHUNKS):
         super().__init__()
         self._make, self._limit = make, limit
+        self._old: dict = {}
 
     def __missing__(self, chunk: str):
-        value = self._make(chunk)
+        value = self._old.get(chunk)
+        if value is None:
+            value = self._make(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= self._limit:
+                self._old = self.copy()
                 self.clear()
             self[chunk] = value
         return value

@@ -8,7 +8,9 @@ place in the next level, so any token is read with one look into each level and
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import read_spec
-from .chunk_cache import ChunkCache, chunks
+from .bpe import plain_pieces, read_spec
+from .chunk_cache import CACHE_CHUNKS, chunks
 from .common import slices, strings
 
 #: A segment is closed when it holds so many ids; a longer document is a segment of its own.
@@ -94,11 +96,49 @@ class AddressableCodes:
         return value
 
 
+class LibraryIds:
+    """The library's ids of whole texts, as raw little-endian 32-bit integers.
+
+    Chunks between blanks never merge across these, nor do a word and the marks behind it, so each such piece is encoded
+    once, together with the other new pieces of a slice of texts, and remembered while there is room.
+    """
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's threads would compete with other tasks
+        self._tokenizer = Tokenizer.from_str(spec)
+        self._of_chunk: dict[str, bytes] = {"": b""}
+        self._of_piece: dict[str, bytes] = {}
+        self._old_chunks: dict[str, bytes] = {}
+        self._old_pieces: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parted = [chunks(t) for t in texts]
+        # What comes again is taken over from the old generation; the rest of it goes when the next one is full.
+        if len(self._of_chunk) > CACHE_CHUNKS:
+            self._old_chunks, self._of_chunk = self._of_chunk, {"": b""}
+        if len(self._of_piece) > CACHE_CHUNKS:
+            self._old_pieces, self._of_piece = self._of_piece, {}
+        self._learn(set().union(*parted).difference(self._of_chunk))
+        get = self._of_chunk.__getitem__
+        return [b"".join(map(get, p)) for p in parted]
+
+    def _learn(self, new: set[str]) -> None:
+        again = new & self._old_chunks.keys()
+        self._of_chunk.update((c, self._old_chunks[c]) for c in again)
+        pieces = {c: plain_pieces(c) or [c] for c in new - again}
+        unseen = {p for ps in pieces.values() for p in ps}.difference(self._of_piece)
+        again = unseen & self._old_pieces.keys()
+        self._of_piece.update((p, self._old_pieces[p]) for p in again)
+        missing = list(unseen - again)
+        for piece, coded in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self._of_piece[piece] = array("I", coded.ids).tobytes()
+        self._of_chunk.update((c, b"".join(self._of_piece[p] for p in ps)) for c, ps in pieces.items())
+
+
 @lru_cache(maxsize=2)
-def _library(spec: str) -> ChunkCache:
-    """The library's ids of chunks between blanks, which never merge across these."""
-    tokenizer = Tokenizer.from_str(spec)
-    return ChunkCache(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes() if chunk else b"")
+def _library(spec: str) -> LibraryIds:
+    """One encoder for each vocabulary and Python worker."""
+    return LibraryIds(spec)
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -131,7 +171,7 @@ def write(docs: DataFrame, vocab_path: str, path: str, end_id: int, partitions:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _library(spec.value).__getitem__
+        encode = _library(spec.value)
         shard, segment, offset = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         keys: list = []
@@ -144,8 +184,8 @@ def write(docs: DataFrame, vocab_path: str, path: str, end_id: int, partitions:
 
         for batch in batches:
             for part in slices(batch):
-                for key, t in zip(part.column(0).to_pylist(), strings(part.column(1)), strict=True):
-                    ids = b"".join([*map(get, chunks(t)), end])
+                for key, ids in zip(part.column(0).to_pylist(), encode(strings(part.column(1))), strict=True):
+                    ids += end
                     held.append(ids)
                     keys.append(key)
                     size += len(ids) // 4
