@@ -24,15 +24,15 @@ from pyspark.sql import types as T
 from .common import add_columns, cut
 
 #: Neighbours of a node, edges that are joined the other way in a round (a sample by hash), and rounds.
-NEIGHBOURS, REVERSED, ROUNDS = 24, 24, 5
+NEIGHBOURS, REVERSED, ROUNDS = 24, 24, 3
 #: Best of a local join that a member takes along from there.
 TAKEN = 10
 #: Random-projection partitions to start from, and vectors in a block of these, about.
-TREES, BLOCK = 3, 160
+TREES, BLOCK = 6, 256
 #: Edges the other way that the finished graph keeps of a node, best first.
 BACK = 48
 #: Vectors that a query visits at least, that it visits in a round, and that are scored anew.
-EF, VISITS, RESCORED = 400, 56, 64
+EF, VISITS, RESCORED = 480, 240, 64
 _SEED = 11
 
 _LISTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.FloatType()))])
