@@ -295,13 +295,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ef: int = EF, roun
     graph = build_graph(packed, shape["d"] + 1, rounds)
     _with_vectors(graph, packed).repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node").saveAsTable(name)
 
-    asked = rows.filter("query").join(nodes, "v").select(F.col("vec_id").alias("query_id"), "v", "node")
+    asked = cut(rows.filter("query").join(nodes, "v").select(F.col("vec_id").alias("query_id"), "v", "node"))
     scaled = F.concat(F.transform("v", lambda x: (x / longest).cast("float")), F.array(F.lit(0.0).cast("float")))
     as_bytes = add_columns(asked.withColumn("f", scaled), lambda: lambda f: [pa.array([np.array(x, np.float32).tobytes() for x in f.to_pylist()], pa.binary())], ["f"], [T.StructField("q", T.BinaryType())], keep=["query_id", "node"])
     found = _walk(as_bytes, name, ef, VISITS)
     spark.sql(f"DROP TABLE {name}")
 
-    pairs = found.select("query_id", F.explode(F.slice("ids", 1, RESCORED + k)).alias("node"))
+    # The walk gives no score to the node where it starts; the query's exact copies are there, so it is always scored anew.
+    best = F.array_union(F.slice("ids", 1, RESCORED + k), F.array("node"))
+    pairs = found.join(asked.select("query_id", "node"), "query_id").select("query_id", F.explode(best).alias("node"))
     pairs = pairs.join(nodes.withColumnRenamed("v", "x"), "node").join(asked.select("query_id", "v"), "query_id")
     product = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     scored = pairs.select("query_id", "node", product.alias("score"))

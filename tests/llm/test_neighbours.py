@@ -36,3 +36,29 @@ def test_odd_vectors_copies_and_few_candidates(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     alone = neighbours.nearest(df.filter("vec_id = 40"), F.lit(True))
     assert alone.count() == 0
+
+
+def test_exact_copies_of_queries_are_found(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Group g of copies starts at id 20 * g, which is a query; the other ids of a group are never queries.
+    sizes = [2, 3, 21, 60, 1000]
+    vectors = {20 * g: x[g] for g in range(len(x))}
+    other = iter(i for i in range(100_000) if i % 20)
+    for g, size in enumerate(sizes):
+        vectors |= {next(other): x[g] for _ in range(size - 1)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 20 * 40), k=20).collect()
+    ids = np.array(sorted(vectors))
+    all_x = np.array([vectors[i] for i in ids])
+    hits = 0
+    for g in range(40):
+        own = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 20 * g), key=lambda r: r["rank"])]
+        s = all_x @ x[g]
+        s[ids == 20 * g] = -np.inf
+        hits += len(set(own) & set(ids[np.lexsort((ids, -np.round(s, 12)))[:20]]))
+        if g < len(sizes):
+            copies = [i for i in ids if i != 20 * g and np.array_equal(vectors[i], x[g])]
+            assert own[: len(copies)] == copies[:20]
+    assert len(got) == 800 and hits >= 0.95 * 800
