@@ -17,12 +17,17 @@ def draw(rep: Column, i: Column, n: Column) -> Column:
     return F.pmod(rep * 1103515245 + i * 12345 + F.pmod((rep + 1) * (i + 7), F.lit(65537)) * 40503, n)
 
 
-def weights(units: DataFrame, by: list[str], index: str, replicates: int) -> DataFrame:
+def hashed_draw(rep: Column, i: Column, n: Column) -> Column:
+    """As ``draw``, by a hash. ``draw``, whose factors all divide by 3, reaches only every third row where 3 divides n."""
+    return F.pmod(F.xxhash64(rep, i), n)
+
+
+def weights(units: DataFrame, by: list[str], index: str, replicates: int, rule=draw) -> DataFrame:
     """(*by, rep, index, w): how often each unit, numbered from 0 in its group, is drawn in each replicate."""
     sizes = units.groupBy(*by).agg((F.max(index) + 1).alias("n"))
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return draws.groupBy(*by, "rep", draw(F.col("rep"), F.col("i"), F.col("n")).alias(index)).agg(F.count(F.lit(1)).alias("w"))
+    return draws.groupBy(*by, "rep", rule(F.col("rep"), F.col("i"), F.col("n")).alias(index)).agg(F.count(F.lit(1)).alias("w"))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "idx") -> DataFrame:
@@ -35,10 +40,18 @@ def interval(values: DataFrame, by: list[str], value: str, prefix: str = "") ->
     return values.groupBy(*by).agg(q[0].alias(prefix + "lo"), q[1].alias(prefix + "hi"), F.avg(value).alias(prefix + "mean"), F.stddev_samp(value).alias(prefix + "std"), F.count(value).alias(prefix + "n"))
 
 
-def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], order: list[str], replicates: int, metric=metrics.auroc) -> DataFrame:
+def settled_interval(values: DataFrame, rows: DataFrame, by: list[str], value: str, least: int, least_rows: int = 30) -> DataFrame:
+    """As ``interval`` for each group of ``rows`` (those that were drawn from): all null, with n = 0, under ``least_rows`` rows; ends and deviation null under ``least`` known replicates."""
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).join(interval(values, by, value), by, "left")
+    enough = F.col("_rows") >= least_rows
+    ends = {c: F.when(enough & (F.col("n") >= least), F.col(c)) for c in ("lo", "hi", "std")}
+    return found.withColumns(ends | {"mean": F.when(enough, F.col("mean")), "n": F.when(enough, F.coalesce("n", F.lit(0))).otherwise(0)}).drop("_rows")
+
+
+def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], order: list[str], replicates: int, metric=metrics.auroc, rule=draw) -> DataFrame:
     """(*by, rep, one value for each of ``scores``) on the same draws."""
     rows = numbered(metrics.finite(df, y, *scores), by, order)
-    drawn = weights(rows, by, "idx", replicates).join(rows, [*by, "idx"])
+    drawn = weights(rows, by, "idx", replicates, rule).join(rows, [*by, "idx"])
     out = None
     for s in scores:
         found = metric(drawn, [*by, "rep"], y, s, "w", name=f"m_{s}")
@@ -46,11 +59,11 @@ def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], order: li
     return out
 
 
-def block_bootstrap(df: DataFrame, by: list[str], cell: list[str], y: str, scores: list[str], replicates: int, metric=metrics.auroc) -> DataFrame:
+def block_bootstrap(df: DataFrame, by: list[str], cell: list[str], y: str, scores: list[str], replicates: int, metric=metrics.auroc, rule=draw) -> DataFrame:
     """As ``bootstrap``, drawing whole cells; every group of rows has its cells numbered in order."""
     rows = metrics.finite(df, y, *scores)
     rows = rows.withColumn("idx", (F.dense_rank().over(Window.partitionBy(*by).orderBy(*cell)) - 1).cast("long"))
-    drawn = weights(rows.select(*by, "idx"), by, "idx", replicates).join(rows, [*by, "idx"])
+    drawn = weights(rows.select(*by, "idx"), by, "idx", replicates, rule).join(rows, [*by, "idx"])
     out = None
     for s in scores:
         found = metric(drawn, [*by, "rep"], y, s, "w", name=f"m_{s}")

@@ -10,7 +10,9 @@ from .fixtures import load
 from .registry import query
 
 RUN = ["backbone", "seed", "city"]
+#: Draws of the queries that SQL repeats, and of the whole queries: their replicates, and how many must be known for an interval by points and by cells.
 REPLICATES = 20
+WHOLE, LEAST_POINTS, LEAST_CELLS = 1000, 100, 50
 _P = "SELECT backbone, seed, city, point_id, y_bin, y_reg, score FROM fx_predictions WHERE y_bin IS NOT NULL"
 
 
@@ -250,6 +252,47 @@ def ci_width_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(points, RUN).withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
 
 
+# The same with all replicates, drawn by a hash, and the rules on few rows; the SQL stays that of the 20 fixed draws.
+
+
+def _point_interval(rows: DataFrame) -> DataFrame:
+    reps = inference.bootstrap(rows, RUN, "y_bin", ["score"], ["point_id"], WHOLE, rule=inference.hashed_draw)
+    return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", LEAST_POINTS)
+
+
+def _cell_interval(rows: DataFrame) -> DataFrame:
+    reps = inference.block_bootstrap(rows, RUN, ["cx", "cy"], "y_bin", ["score"], WHOLE, rule=inference.hashed_draw)
+    return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", LEAST_CELLS)
+
+
+@query("bootstrap_ci_1000")
+def bootstrap_ci_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _point_interval(_rows(spark, sf_dir))
+
+
+@query("paired_bootstrap_1000")
+def paired_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by, rows = ["seed", "city"], _wide(spark, sf_dir)
+    reps = inference.bootstrap(rows, by, "y_bin", ["a", "b"], ["point_id"], WHOLE, rule=inference.hashed_draw).withColumn("diff", F.col("m_a") - F.col("m_b"))
+    found = inference.settled_interval(reps, metrics.finite(rows, "y_bin", "a", "b"), by, "diff", LEAST_POINTS)
+    p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
+    return found.join(p, by, "left").withColumn("p", F.when(F.col("lo").isNotNull(), F.col("p")))
+
+
+@query("block_bootstrap_1000")
+def block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.finite(_celled(spark, sf_dir), "y_bin", "score")
+    cells = rows.groupBy(*RUN).agg(F.count_distinct("cx", "cy").alias("n_cells"))
+    return _cell_interval(rows).join(cells, RUN)
+
+
+@query("ci_width_ratio_1000")
+def ci_width_ratio_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = lambda found, name: found.select(*RUN, (F.col("hi") - F.col("lo")).alias(name))
+    both = width(_cell_interval(_celled(spark, sf_dir)), "width").join(width(_point_interval(_rows(spark, sf_dir)), "naive_width"), RUN)
+    return both.withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
+
+
 def _rank_sql(by: str, c: str) -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2e0"
 
