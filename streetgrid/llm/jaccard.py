@@ -217,6 +217,9 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
         copies = np.array([r["copies"] for r in rows])
         count = np.zeros(len(rows), np.int64)
         sides = np.array([r["side"] for r in rows])
+        # Pairs of one side belong to the block itself, where they are counted.
+        if rows[0]["i"] != rows[0]["j"] and sides.min() == sides.max():
+            return
         prefixes = [[np.array(r[p], np.int64) for r in rows] for p in ("prefix0", "prefix1")]
         for i, others in linked(sides, [as_array(r["members"]) for r in rows], prefixes, num, den):
             count[i] += copies[others].sum()

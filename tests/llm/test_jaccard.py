@@ -64,6 +64,16 @@ def test_random_edits_ties_and_blocks(spark, monkeypatch):
     assert found(jaccard.similarity_join(docs, 5, 80, 100)) == brute(rows, 5, 80, 100)
 
 
+def test_few_long_texts_in_one_of_two_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    rows = []
+    for pair in range(12):
+        text = [f"p{pair}w{i}" for i in range(200)]
+        rows += [(2 * pair, " ".join(text)), (2 * pair + 1, " ".join([*text, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(jaccard.similarity_join(docs, 3, 90, 100)) == brute(rows, 3, 90, 100)
+
+
 def test_odd_rows(spark):
     same = "a b c d e f g"
     rows = [(1, None), (2, ""), (3, " \n"), (4, "x"), (5, "X"), (6, "x y"), (7, same), (7, same), (8, same + " h"), (None, same), (9, "é " * 50), (10, "w " * 4000)]
