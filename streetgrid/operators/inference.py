@@ -111,9 +111,9 @@ def holm(df: DataFrame, p: str, ties: list[str], by: list[str] | None = None) ->
     return stepped.drop("_k", "_m").unionByName(df.filter(F.col(p).isNull()), allowMissingColumns=True)
 
 
-def verdict(lo: Column, hi: Column, eps: float = 0.02) -> Column:
-    """What an interval of a difference says at a margin."""
-    return F.when(lo.isNull() | hi.isNull(), "inconclusive").when(lo > 0, "better").when(hi < 0, "worse").when((lo > -eps) & (hi < eps), "equivalent").when(hi < eps, "not_better").otherwise("inconclusive")
+def verdict(lo: Column, hi: Column, eps: float = 0.02, clear: float = 0.0) -> Column:
+    """What an interval of a difference says at a margin; better or worse is what lies beyond ``clear``."""
+    return F.when(lo.isNull() | hi.isNull(), "inconclusive").when(lo > clear, "better").when(hi < -clear, "worse").when((lo > -eps) & (hi < eps), "equivalent").when(hi < eps, "not_better").otherwise("inconclusive")
 
 
 def rung(backbone: Column) -> Column:

@@ -293,6 +293,34 @@ def ci_width_ratio_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
 
 
+def _cells(spark, sf_dir):
+    from ..functions.geo import block_cell
+
+    x, y = block_cell(F.col("lat"), F.col("lon"), F.lit(45.0), 1000.0)
+    return load(spark, sf_dir, "fx_ext_labels").select(F.col("label_id").alias("point_id"), x.alias("cx"), y.alias("cy"))
+
+
+@query("paired_block_bootstrap_1000")
+def paired_block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of two scores over drawn cells; a point without a place is a cell of its own."""
+    by = ["seed", "city"]
+    rows = metrics.finite(_wide(spark, sf_dir), "y_bin", "a", "b").join(_cells(spark, sf_dir), "point_id", "left")
+    rows = rows.withColumn("alone", F.when(F.col("cx").isNull() | F.col("cy").isNull(), F.col("point_id")))
+    cell = ["cx", "cy", "alone"]
+    reps = inference.block_bootstrap(rows, by, cell, "y_bin", ["a", "b"], WHOLE, rule=inference.hashed_draw).withColumn("diff", F.col("m_a") - F.col("m_b"))
+    cells = rows.groupBy(*by).agg(F.count_distinct(F.struct(*cell)).alias("n_cells"))
+    p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
+    found = inference.settled_interval(reps, rows, by, "diff", LEAST_CELLS).join(p, by, "left").withColumn("p", F.when(F.col("n") > 0, F.col("p")))
+    return found.join(cells, by)
+
+
+@query("equivalence_verdict_1000")
+def equivalence_verdict_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the interval over cells; better and worse have to clear the margin."""
+    found = paired_block_bootstrap_1000(spark, sf_dir)
+    return found.select("seed", "city", inference.verdict(F.col("lo"), F.col("hi"), clear=0.02).alias("verdict"))
+
+
 def _rank_sql(by: str, c: str) -> str:
     return f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2e0"
 

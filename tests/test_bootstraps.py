@@ -65,3 +65,23 @@ def test_paired_interval(spark, rows):
     r = found["dc"]
     assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=2e-6)
     assert r["n"] == 1000 and r["p"] == pytest.approx(min(1, 2 * min((gaps >= 0).mean(), (gaps <= 0).mean())), abs=2e-6)
+
+
+def test_paired_interval_and_verdict_by_cells(spark, rows, monkeypatch):
+    """Cells of 4 points; the last 4 points of a city have no place."""
+    cells = spark.createDataFrame([(i, i // 4, 0) for i in range(36)], "point_id long, cx long, cy long")
+    monkeypatch.setattr(evaluation, "_cells", lambda spark, sf_dir: cells)
+    found = {r["city"]: r for r in QUERIES["paired_block_bootstrap_1000"](spark, "").collect()}
+    (y, a), (_, b) = of(rows, "siglip", "dc"), of(rows, "clip", "dc")
+    # Nulls come first in the order of cells.
+    groups = [np.array([i]) for i in range(36, 40)] + [np.arange(4 * c, 4 * c + 4) for c in range(9)]
+    drawn = [np.concatenate([groups[c] for c in d]) for d in draws(spark, len(groups))]
+    gaps = np.array([area(y[d], a[d]) - area(y[d], b[d]) for d in drawn])
+    gaps = gaps[np.isfinite(gaps)]
+    lo, hi = np.percentile(gaps, [2.5, 97.5])
+    r = found["dc"]
+    assert (r["lo"], r["hi"]) == pytest.approx((lo, hi), abs=2e-6) and r["n"] == len(gaps) and r["n_cells"] == 13
+    assert found["msp"]["lo"] is None and found["msp"]["p"] is None
+    verdicts = {r["city"]: r["verdict"] for r in QUERIES["equivalence_verdict_1000"](spark, "").collect()}
+    want = "better" if lo > 0.02 else "worse" if hi < -0.02 else "equivalent" if lo > -0.02 and hi < 0.02 else "not_better" if hi < 0.02 else "inconclusive"
+    assert verdicts["dc"] == want and verdicts["msp"] == "inconclusive"
