@@ -109,10 +109,13 @@ def threshold_metrics(counts: DataFrame) -> DataFrame:
 def prevalence_threshold(df: DataFrame, by: list[str], score: str, share: DataFrame) -> DataFrame:
     """Add ``predicted``: score at or over the group's quantile at 1 - p, p from ``share`` (by, p) between .001 and .999."""
     p = F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999))
-    cuts = df.join(share, by).groupBy(*by).agg(F.sort_array(F.collect_list(score)).alias("_s"), F.first(p).alias("_p"))
-    at = (F.size("_s") - 1) * (1 - F.col("_p"))
-    low = F.element_at("_s", F.floor(at).cast("int") + 1)
-    high = F.element_at("_s", F.ceil(at).cast("int") + 1)
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sized = counts.groupBy(*by).agg(F.sum("_n").alias("_size")).join(share.groupBy(*by).agg(F.first(p).alias("_p")), by)
+    sized = sized.withColumn("_at", (F.col("_size") - 1) * (1 - F.col("_p")))
+    first_over = lambda place: F.min(F.when(F.col("_upto") > place, F.col(score)))
+    cuts = counts.withColumn("_upto", upto).join(sized, by).groupBy(*by).agg(first_over(F.floor("_at")).alias("_low"), first_over(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at"))
+    low, high, at = F.col("_low"), F.col("_high"), F.col("_at")
     cuts = cuts.select(*by, (low + (high - low) * (at - F.floor(at))).alias("threshold"))
     return df.join(cuts, by).withColumn("predicted", (F.col(score) >= F.col("threshold")).cast("int"))
 

@@ -286,9 +286,7 @@ def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p.write.option("header", True).csv(f"{out}/csv")
     lines = p.select(F.to_json(F.struct("point_id", "lat", "lon")).alias("value"))
     lines.unionByName(p.limit(1).select(F.lit('{"point_id": 1, "lat": ').alias("value"))).write.text(f"{out}/jsonl")
-    feature = F.struct(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("point_id").alias("properties"))
-    # One collection for each city: a file of a map service holds one place.
-    p.groupBy("city").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).write.partitionBy("city").text(f"{out}/geojson")
+    files.write_geojson(p, f"{out}/geojson")
     wkb = F.expr("unhex('0101000000')")
     @pandas_udf("binary")
     def encode(x: pd.Series, y: pd.Series) -> pd.Series:

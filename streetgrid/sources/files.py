@@ -29,6 +29,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.filter(F.col("_corrupt_record").isNull() & ~F.forall(F.array(*(F.col(c).cast("string") for c in needed)), lambda x: x.isNull())).select(*needed)
 
 
+#: Points of one GeoJSON collection, about.
+FEATURES = 20_000
+
+
+def write_geojson(points: DataFrame, path: str) -> None:
+    """Points (city, point_id, lat, lon) as collections of about FEATURES points of one city at most, a file each."""
+    feature = F.struct(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("point_id").alias("properties"))
+    sizes = points.groupBy(F.col("city").alias("_city")).agg(F.ceil(F.count(F.lit(1)) / FEATURES).alias("_files"))
+    parted = points.join(F.broadcast(sizes), F.col("city").eqNullSafe(F.col("_city")))
+    parted = parted.select("city", F.pmod(F.xxhash64("point_id", "lat", "lon"), F.col("_files")).alias("part"), feature.alias("_feature"))
+    collections = parted.groupBy("city", "part").agg(F.to_json(F.struct(F.collect_list("_feature").alias("features"))).alias("value"))
+    collections.write.partitionBy("city", "part").text(path)
+
+
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of a collection as rows: lon, lat and the named properties."""
     schema = f"features array<struct<geometry: struct<type: string, coordinates: array<double>>, properties: struct<{properties}>>>"

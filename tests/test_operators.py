@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,24 @@ def test_alignment_moments(spark):
 def test_latest_breaks_ties_by_index(spark):
     log = spark.createDataFrame([("b", "x", "y", "full", "2024-01-01", 1, 0.1), ("b", "x", "y", "full", "2024-01-01", 2, 0.2)], "backbone string, train_city string, test_city string, ablation string, ts string, run_index int, auroc double")
     assert runlog.latest(log).first()["run_index"] == 2
+
+
+def test_prevalence_threshold_gathers_no_group(spark):
+    rnd = np.random.default_rng(2)
+    scores = {"a": rnd.integers(0, 12, 501) / 10, "b": rnd.random(40), "c": np.array([0.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, s in scores.items() for v in s] + [("a", None)], "city string, score double")
+    shares = {"a": 0.3, "b": 0.0, "c": 0.7}
+    found = metrics.prevalence_threshold(df, ["city"], "score", spark.createDataFrame(list(shares.items()), "city string, p double"))
+    for r in found.groupBy("city").agg(F.min("threshold").alias("t"), F.max("threshold").alias("u")).collect():
+        assert r["t"] == r["u"] == pytest.approx(np.quantile(scores[r["city"]], 1 - max(shares[r["city"]], 0.001)))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_geojson_collections_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FEATURES", 100)
+    rows = [("dc", i, i / 100, -i / 50) for i in range(2000)] + [(None, 7, 1.0, 2.0), ("msp", 5, 3.0, 4.0)]
+    files.write_geojson(spark.createDataFrame(rows, "city string, point_id long, lat double, lon double"), f"{tmp_path}/g")
+    sizes = spark.read.option("multiLine", True).json(f"{tmp_path}/g").select(F.size("features").alias("n")).collect()
+    assert max(r["n"] for r in sizes) < 200 and len(sizes) == 22
+    got = files.read_geojson(spark, f"{tmp_path}/g", "point_id: bigint")
+    assert sorted((r["point_id"], r["lat"], r["lon"]) for r in got.collect()) == sorted(r[1:] for r in rows)
