@@ -50,12 +50,15 @@ def ridge_probe(train: DataFrame, test: DataFrame, y: str, alpha: float = 10.0)
     return model.transform(test)
 
 
-def tree_baselines(train: DataFrame, test: DataFrame, y: str, columns: list[str], seed: int = 42) -> DataFrame:
-    """Random forest and boosted trees on plain columns: columns ``forest`` and ``boosted``."""
+def tree_baselines(train: DataFrame, test: DataFrame, y: str, columns: list[str], seed: int = 42, trees: int = 300, depth: int = 30, rounds: int = 100, round_depth: int = 5) -> DataFrame:
+    """Random forest and boosted trees on plain columns: columns ``forest`` and ``boosted``.
+
+    30 is the deepest tree that ``ml`` allows. It has no bound of 31 leaves for boosted trees; depth 5 gives up to 32.
+    """
     assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
     a, b = assemble.transform(train), assemble.transform(test)
-    forest = RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=6, seed=seed, predictionCol="forest").fit(a)
-    boosted = GBTRegressor(labelCol=y, maxIter=5, maxDepth=4, seed=seed, predictionCol="boosted").fit(a)
+    forest = RandomForestRegressor(labelCol=y, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="forest").fit(a)
+    boosted = GBTRegressor(labelCol=y, maxIter=rounds, maxDepth=round_depth, seed=seed, predictionCol="boosted").fit(a)
     return boosted.transform(forest.transform(b))
 
 

@@ -143,3 +143,16 @@ def test_geojson_collections_are_bounded(spark, tmp_path, monkeypatch):
     assert max(r["n"] for r in sizes) < 200 and len(sizes) == 22
     got = files.read_geojson(spark, f"{tmp_path}/g", "point_id: bigint")
     assert sorted((r["point_id"], r["lat"], r["lon"]) for r in got.collect()) == sorted(r[1:] for r in rows)
+
+
+def test_tree_baselines_have_the_sizes_asked_for(spark, monkeypatch):
+    asked = {}
+    for name in ("RandomForestRegressor", "GBTRegressor"):
+        def make(name=name, real=getattr(models, name), **k):
+            asked[name] = k
+            return real(**(k | ({"numTrees": 3} if name[0] == "R" else {"maxIter": 2})))
+
+        monkeypatch.setattr(models, name, make)
+    df = spark.createDataFrame([(float(i), float(i * i)) for i in range(200)], "x double, y double")
+    assert models.tree_baselines(df, df, "y", ["x"]).count() == 200
+    assert (asked["RandomForestRegressor"]["numTrees"], asked["RandomForestRegressor"]["maxDepth"], asked["GBTRegressor"]["maxIter"]) == (300, 30, 100)
