@@ -14,11 +14,16 @@ def _clamp(t: Column) -> Column:
     return F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
 
 
+def _per(a: Column, b: Column) -> Column:
+    """A quotient that is null where the divisor is zero: Spark may evaluate it for rows whose condition rules it out."""
+    return a / F.nullif(b, F.lit(0.0))
+
+
 def segment_distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Distance from the origin to a segment; a segment of no length is a point."""
     dx, dy = x1 - x0, y1 - y0
     square = dx * dx + dy * dy
-    t = F.when(square > 0, _clamp(-(x0 * dx + y0 * dy) / square)).otherwise(0.0)
+    t = F.when(square > 0, _clamp(_per(-(x0 * dx + y0 * dy), square))).otherwise(0.0)
     return F.sqrt(F.pow(x0 + t * dx, 2) + F.pow(y0 + t * dy, 2))
 
 
@@ -28,7 +33,7 @@ def length_in_circle(x0: Column, y0: Column, x1: Column, y1: Column, r: float) -
     a, b, c = dx * dx + dy * dy, x0 * dx + y0 * dy, x0 * x0 + y0 * y0 - r * r
     root = b * b - a * c
     t = F.sqrt(F.greatest(root, F.lit(0.0)))
-    inside = _clamp((-b + t) / a) - _clamp((-b - t) / a)
+    inside = _clamp(_per(-b + t, a)) - _clamp(_per(-b - t, a))
     return F.when((a > 0) & (root > 0), inside * F.sqrt(a)).otherwise(0.0)
 
 
@@ -41,7 +46,7 @@ def edge_area(x0: Column, y0: Column, x1: Column, y1: Column, r: float) -> Colum
     a, b, c = dx * dx + dy * dy, x0 * dx + y0 * dy, x0 * x0 + y0 * y0 - r * r
     root = b * b - a * c
     s = F.sqrt(F.greatest(root, F.lit(0.0)))
-    t1, t2 = _clamp((-b - s) / a), _clamp((-b + s) / a)
+    t1, t2 = _clamp(_per(-b - s, a)), _clamp(_per(-b + s, a))
     ax, ay, bx, by = x0 + t1 * dx, y0 + t1 * dy, x0 + t2 * dx, y0 + t2 * dy
     angle = lambda px, py, qx, qy: F.atan2(px * qy - py * qx, px * qx + py * qy)
     crossing = 0.5 * (ax * by - ay * bx) + 0.5 * r * r * (angle(x0, y0, ax, ay) + angle(bx, by, x1, y1))
@@ -71,12 +76,12 @@ def segment_in_sector(x0: Column, y0: Column, x1: Column, y1: Column, heading: C
         angle = F.radians(heading + side)
         ex, ey = r * F.sin(angle), r * F.cos(angle)
         cross = dx * ey - dy * ex
-        t, u = (ex * y0 - ey * x0) / cross, (dx * y0 - dy * x0) / cross
+        t, u = _per(ex * y0 - ey * x0, cross), _per(dx * y0 - dy * x0, cross)
         hit = hit | F.coalesce((cross != 0) & t.between(0, 1) & u.between(0, 1), F.lit(False))
     a, b, c = dx * dx + dy * dy, x0 * dx + y0 * dy, x0 * x0 + y0 * y0 - r * r
     root = b * b - a * c
     s = F.sqrt(F.greatest(root, F.lit(0.0)))
-    for t in ((-b - s) / a, (-b + s) / a):
+    for t in (_per(-b - s, a), _per(-b + s, a)):
         turn = heading_error(heading, bearing(x0 + t * dx, y0 + t * dy))
         hit = hit | F.coalesce((a > 0) & (root >= 0) & t.between(0, 1) & (turn <= half_angle), F.lit(False))
     return hit
@@ -89,7 +94,7 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
     def crosses(e: Column) -> Column:
         p, q = e["p"], e["q"]
-        at = p["x"] + (y - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"])
+        at = p["x"] + _per(y - p["y"], q["y"] - p["y"]) * (q["x"] - p["x"])
         return ((p["y"] > y) != (q["y"] > y)) & (x < at)
 
     def touches(e: Column) -> Column:
