@@ -2,9 +2,13 @@
 
 Two sets of Jaccard similarity t share a token among the first floor((1 - t) n) + 1 of each, whatever the global order of
 tokens. Two orders are used, both rare tokens first, with different ties, so that a prefix is mostly tokens that no other
-document has. Documents that share no prefix token with any other under some order are done. The others are parted by
-what their prefixes reach under the first order and under the second; only inside the same part of both are pairs looked
-at, and only those that share a prefix token under both orders are verified. Texts with one set are one class throughout.
+document has. A pair is a candidate when it shares a prefix token under both orders; only candidates are verified, on the
+whole sets. Texts with one set are one class throughout.
+
+Sets that share a rare prefix token are listed as pairs, order by order, and the lists are intersected. What frequent
+prefix tokens join is not listed: sets that these reach from each other under both orders are one part, and parts are
+compared block by block, where the same test on prefix tokens goes before the whole sets. Listed candidates travel once
+to their own component of candidates, not once for each pair.
 
 Frequencies are counted over all documents, for a fixed part of all tokens that every order puts first.
 """
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +30,10 @@ from .components import components
 
 #: The tokens that come first in every order, rare before frequent, are so many times what a prefix takes of all.
 FIRST_TIMES = 1.6
+#: Sets that share a prefix token are listed as pairs where so many sets have the token at most; beyond, they are one part.
+RARE = 32
 #: Tokens and sets that a block of a part may hold, about; larger parts are compared block by block.
-BLOCK_TOKENS, BLOCK_SETS = 1 << 19, 2048
+BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 4096
 #: Bits of the map by which texts that take no part are left out before the others are dealt; 16 MB, whatever the corpus.
 TEXT_MAP_BITS = 1 << 27
 #: Bits of the parity maps by which unlike pairs are told without reading their sets.
@@ -113,33 +119,95 @@ def _key(s: np.ndarray) -> int | None:
 
 
 def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """key, n_shingles and both prefixes, as far as other sets have their tokens, of the sets that have such tokens."""
+    """key, n and both prefixes (token, df), as far as other sets have their tokens, of the sets that have such tokens."""
     token = Window.partitionBy("token")
     each = rows.select("key", F.explode("tokens").alias("token"))
     each = each.withColumn("new", F.lag("key").over(token.orderBy("key")).isNull() | (F.lag("key").over(token.orderBy("key")) != F.col("key")))
     each = each.withColumn("df", F.sum(F.col("new").cast("int")).over(token)).filter("new and df > 1")
     first = (F.col("token").bitwiseAND(15) < first_sixteenths(num, den)).cast("int")
     lists = each.withColumn("late", 1 - first).groupBy("key").agg(F.collect_list(F.struct("late", "df", "token")).alias("shared"))
-    sizes = rows.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_first").alias("n_first"))
+    sizes = rows.groupBy("key").agg(F.max("n_shingles").alias("n"), F.max("n_first").alias("n_first"))
     both = lists.join(sizes, "key")
     # Tokens that no other set has are the rarest: they fill the beginning of the prefix.
     alone = F.col("n_first") - F.size(F.filter("shared", lambda s: s["late"] == 0))
-    room = (F.col("n_shingles") - F.ceil(F.lit(num) * F.col("n_shingles") / F.lit(den)) + 1 - alone).cast("int")
-    by_count = F.array_sort(F.transform("shared", lambda s: F.struct(s["late"], F.when(s["late"] == 0, s["df"]).alias("d"), s["token"].alias("t"), s["token"])))
-    by_scale = F.array_sort(F.transform("shared", lambda s: F.struct(s["late"], F.when(s["late"] == 0, F.floor(F.log2(s["df"]))).alias("d"), F.when(s["late"] == 0, F.xxhash64(s["token"])).otherwise(s["token"]).alias("t"), s["token"])))
+    room = (F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den)) + 1 - alone).cast("int")
+    by_count = lambda s: (s["late"], F.when(s["late"] == 0, s["df"]).alias("d"), s["token"].alias("t"))
+    by_scale = lambda s: (s["late"], F.when(s["late"] == 0, F.floor(F.log2(s["df"]))).alias("d"), F.when(s["late"] == 0, F.xxhash64(s["token"])).otherwise(s["token"]).alias("t"))
+
+    def prefix(order) -> Column:
+        ranked = F.array_sort(F.transform("shared", lambda s: F.struct(*order(s), s["token"], s["df"])))
+        return F.transform(F.slice(ranked, F.lit(1), F.col("room")), lambda x: F.struct(x["token"], x["df"]))
+
     both = both.withColumn("room", room).filter("room > 0")
-    return both.select("key", "n_shingles", *(F.transform(F.slice(s, F.lit(1), F.col("room")), lambda x: x["token"]).alias(name) for s, name in ((by_count, "prefix0"), (by_scale, "prefix1"))))
+    return both.select("key", "n", prefix(by_count).alias("prefix0"), prefix(by_scale).alias("prefix1"))
+
+
+def _each_token(sets: DataFrame, keep: list[str], rare: bool) -> DataFrame:
+    """One row for each order, set and prefix token that is rare, or frequent."""
+    chosen = lambda c: F.filter(c, lambda x: (x["df"] <= RARE) if rare else (x["df"] > RARE))
+    orders = F.array(*(F.struct(F.lit(k).alias("kind"), chosen(f"prefix{k}").alias("prefix")) for k in (0, 1)))
+    return sets.select(*keep, F.explode(orders).alias("o")).select(*keep, "o.kind", F.explode("o.prefix.token").alias("token"))
+
+
+def _with_parts(sets: DataFrame) -> DataFrame:
+    """Add part0 and part1: what frequent prefix tokens reach from a set under each order; null where that is nothing."""
+    each = _each_token(sets, ["key"], rare=False)
+    lists = each.groupBy("kind", "token").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    edges = each.join(lists, ["kind", "token"]).select("kind", F.col("key").alias("u"), "v").filter("u <> v").distinct()
+    reached = components(edges, by=("kind",)).groupBy(F.col("node").alias("key"))
+    part = lambda k: F.max(F.when(F.col("kind") == k, F.col("component"))).alias(f"part{k}")
+    return sets.join(reached.agg(part(0), part(1)), "key", "left")
+
+
+def _listed(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): pairs that share a prefix token under both orders, without those of one part under both.
+
+    Under an order, two sets of one part may share a frequent token, so this order lets their pair pass.
+    """
+    each = _each_token(sets, ["key", "n", "part0", "part1"], rare=True)
+    lists = each.groupBy("kind", "token").agg(F.array_sort(F.collect_list(F.struct("key", "n", "part0", "part1"))).alias("s")).filter(F.size("s") > 1)
+    later = lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pairs = lists.select("kind", F.explode(F.flatten(F.transform("s", later))).alias("p"))
+    same = [F.coalesce(F.col(f"p.a.part{k}") == F.col(f"p.b.part{k}"), F.lit(False)) for k in (0, 1)]
+    alike = (F.col("p.a.n") * den >= F.col("p.b.n") * num) & (F.col("p.b.n") * den >= F.col("p.a.n") * num)
+    passed = [(F.col("kind") == k) | same[k] for k in (0, 1)]
+    found = pairs.filter(alike & ~(same[0] & same[1])).groupBy(F.col("p.a.key").alias("u"), F.col("p.b.key").alias("v"))
+    return found.agg(F.max(passed[0]).alias("in0"), F.max(passed[1]).alias("in1")).filter("in0 and in1").select("u", "v")
+
+
+def _blocks(sets: DataFrame, group: list[str]) -> DataFrame:
+    """Number of blocks of each group of at least two sets (key, n)."""
+    sizes = sets.groupBy(*group).agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).filter("sets > 1")
+    return sizes.select(*group, F.greatest(F.ceil(F.col("total") / BLOCK_TOKENS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks"))
+
+
+def _block(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.col("blocks")).cast("int")
 
 
-def _parts(prefixes: DataFrame) -> DataFrame:
-    """key, part0, part1: what a set's prefix reaches through shared tokens, under each order; sets alone are left out."""
-    each = prefixes.select("key", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"prefix{k}").alias("prefix")) for k in (0, 1)))).alias("o"))
-    each = each.select("key", F.col("o.kind").alias("kind"), F.explode("o.prefix").alias("token"))
-    lists = each.groupBy("kind", "token").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    edges = each.join(lists, ["kind", "token"]).select("kind", F.col("key").alias("u"), "v").distinct()
-    reached = cut(components(edges.filter("u <> v"), by=("kind",)))
-    part = [reached.filter(F.col("kind") == k).select(F.col("node").alias("key"), F.col("component").alias(f"part{k}")) for k in (0, 1)]
-    return part[0].join(part[1], "key")
+#: What a task compares: listed pairs of a component of candidates (``partners``), or all of a part (``partners`` null).
+_PLACE = ["part0", "part1", "i", "j"]
+
+
+def _placed_lists(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every set of a listed pair at the block pairs where it has one, with its partners there (those of larger key)."""
+    reached = cut(components(pairs))
+    sized = reached.join(sets.select("key", "n"), F.col("node") == F.col("key")).select("key", "n", "component")
+    of = reached.join(_blocks(sized, ["component"]), "component").select("node", "component", "blocks")
+    ends = pairs.join(of, F.col("u") == F.col("node")).withColumn("bu", _block("u")).withColumn("bv", _block("v"))
+    ends = ends.select("component", F.least("bu", "bv").alias("i"), F.greatest("bu", "bv").alias("j"), F.explode(F.array(F.struct(F.col("u").alias("key"), F.col("v").alias("to")), F.struct(F.col("v").alias("key"), F.lit(None).cast("long").alias("to")))).alias("e"))
+    placed = ends.groupBy("component", "i", "j", "e.key").agg(F.collect_list("e.to").alias("partners"))
+    nothing = F.lit(None).cast("array<long>")
+    return placed.select(F.col("component").alias("part0"), F.lit(None).cast("long").alias("part1"), "i", "j", "key", F.lit(0).alias("side"), "partners", nothing.alias("prefix0"), nothing.alias("prefix1"))
+
+
+def _placed_parts(sets: DataFrame) -> DataFrame:
+    """Every set of a part at the pairs of its own block and each block of the part."""
+    own = sets.filter("part0 is not null and part1 is not null")
+    placed = own.join(_blocks(own, ["part0", "part1"]), ["part0", "part1"]).withColumn("b", _block("key"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tokens = [F.col(f"prefix{k}.token").alias(f"prefix{k}") for k in (0, 1)]
+    return placed.select("part0", "part1", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "key", (F.col("b") > F.col("other")).cast("int").alias("side"), F.lit(None).cast("array<long>").alias("partners"), *tokens)
 
 
 def _parity(sets: list[np.ndarray]) -> np.ndarray:
@@ -154,8 +222,9 @@ class _Marks:
 
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
-        self._ids = np.split(np.unique(flat, return_inverse=True)[1], np.cumsum([len(s) for s in sets])[:-1])
-        self._mark = np.zeros(len(flat) + 1, np.int64)
+        ids = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+        self._ids = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+        self._mark = np.zeros(len(flat) + 1, np.int8)
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
         parts = [self._ids[j] for j in others]
@@ -165,7 +234,7 @@ class _Marks:
             self._mark[self._ids[i]] = 1
             full = np.flatnonzero(sizes)
             starts = np.cumsum(sizes[full]) - sizes[full]
-            out[full] = np.add.reduceat(self._mark[np.concatenate([parts[k] for k in full])], starts)
+            out[full] = np.add.reduceat(self._mark[np.concatenate([parts[k] for k in full])], starts, dtype=np.int64)
             self._mark[self._ids[i]] = 0
         return out
 
@@ -192,21 +261,29 @@ def linked(sides: np.ndarray, sets: list[np.ndarray], prefixes: list[list[np.nda
             yield i, others[den * both >= num * (n[others] + n[i] - both)]
 
 
+def listed_links(sets: list[np.ndarray], partners: list[list[int]], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, those of its listed partners that it is similar to."""
+    for i, others in enumerate(partners):
+        if others:
+            both = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in others])
+            total = np.array([len(sets[k]) for k in others]) + len(sets[i])
+            yield i, np.array(others)[den * both >= num * (total - both)]
+
+
 _FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("n", T.LongType())])
 
 
-def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (part0, part1, i, j, side, rep, copies, members, prefix0, prefix1): links inside each block pair.
+def _verify(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links among rows (_PLACE, key, side, partners, prefix0, prefix1, rep, copies, text).
 
-    Gives (u, v, null) for a forest of links, one for each merge at most, and (u, null, n) with the number of documents
-    that u is linked with.
+    Gives (u, v, null) for a forest of links in each task's group, one for each merge at most, and (u, null, n) with the
+    number of documents that u is linked with. Texts of another set than ``key`` (ids may repeat) are passed over.
     """
-    group = ["part0", "part1", "i", "j"]
+    columns = [*_PLACE, "key", "side", "partners", "prefix0", "prefix1", "rep", "copies", "text"]
 
     def links(rows: list[dict]) -> Iterator[tuple]:
         if len(rows) < 2:
             return
-        as_array = lambda b: np.frombuffer(b, np.uint64)
         root = list(range(len(rows)))
 
         def find(a: int) -> int:
@@ -216,12 +293,18 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         copies = np.array([r["copies"] for r in rows])
         count = np.zeros(len(rows), np.int64)
-        sides = np.array([r["side"] for r in rows])
-        # Pairs of one side belong to the block itself, where they are counted.
-        if rows[0]["i"] != rows[0]["j"] and sides.min() == sides.max():
-            return
-        prefixes = [[np.array(r[p], np.int64) for r in rows] for p in ("prefix0", "prefix1")]
-        for i, others in linked(sides, [as_array(r["members"]) for r in rows], prefixes, num, den):
+        sets = [r["members"] for r in rows]
+        if rows[0]["partners"] is not None:
+            at = {r["key"]: i for i, r in enumerate(rows)}
+            found = listed_links(sets, [[at[k] for k in r["partners"]] for r in rows], num, den)
+        else:
+            sides = np.array([r["side"] for r in rows])
+            # Pairs of one side belong to the block itself, where they are counted.
+            if rows[0]["i"] != rows[0]["j"] and sides.min() == sides.max():
+                return
+            prefixes = [[np.array(r[p], np.int64) for r in rows] for p in ("prefix0", "prefix1")]
+            found = linked(sides, sets, prefixes, num, den)
+        for i, others in found:
             count[i] += copies[others].sum()
             count[others] += copies[i]
             for k in others:
@@ -233,15 +316,18 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield rows[i]["rep"], None, int(count[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
         held: list[dict] = []
         out: list[tuple] = []
         for batch in batches:
             for part in slices(batch):
                 for row in part.to_pylist():
-                    if held and any(held[0][g] != row[g] for g in group):
+                    if held and any(held[0][g] != row[g] for g in _PLACE):
                         out += links(held)
                         held = []
-                    held.append(row)
+                    members = shingles(row.pop("text"))
+                    if _key(members) == row["key"] and not (held and held[-1]["key"] == row["key"]):
+                        held.append(row | {"members": members})
                 if len(out) > 10_000:
                     yield _rows(out)
                     out = []
@@ -252,7 +338,7 @@ def _verify(rows: DataFrame, num: int, den: int) -> DataFrame:
     def _rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v", "n"])
 
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, _FOUND)
+    return rows.select(*columns).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "key").mapInArrow(run, _FOUND)
 
 
 def similarity_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -269,24 +355,15 @@ def similarity_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     _summaries(base, words, num, den).write.parquet(path)
     summaries = spark.read.parquet(path)
     known = summaries.filter("key is not null and doc_id is not null")
-    prefixes = cut(_prefixes(known, num, den))
-    parts = cut(_parts(prefixes))
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-
-    sizes = parts.join(prefixes.select("key", "n_shingles"), "key").groupBy("part0", "part1").agg(F.count(F.lit(1)).alias("sets"), F.sum("n_shingles").alias("total")).filter("sets > 1")
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_TOKENS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
-    inside = cut(parts.join(sizes.select("part0", "part1", blocks.alias("blocks")), ["part0", "part1"]).join(classes, "key"))
+    sets = cut(_with_parts(cut(_prefixes(known, num, den))))
+    pairs = cut(_listed(sets, num, den))
+    placed = cut(_placed_lists(pairs, sets).unionByName(_placed_parts(sets)))
 
-    wanted = inside.select("rep", "key").distinct()
-    texts = _among(base, wanted.select("rep")).join(wanted, F.col("doc_id") == F.col("rep"))
-    shingled = add_columns(texts, lambda: _members(words), ["text"], [T.StructField("members", T.BinaryType()), T.StructField("_key", T.LongType())], keep=["key"])
-    members = cut(shingled.filter("key = _key").drop("_key").dropDuplicates(["key"]))
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows = placed.join(classes, "key")
+    texts = _among(base, classes.join(placed.select("key").distinct(), "key", "left_semi").select("rep"))
+    found = cut(_verify(rows.join(texts, F.col("rep") == F.col("doc_id")), words, num, den))
 
-    block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
-    placed = inside.withColumn("b", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("part0", "part1", "key", "rep", "copies", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), (F.col("b") > F.col("other")).cast("int").alias("side"))
-    rows = placed.join(members, "key").join(prefixes.select("key", "prefix0", "prefix1"), "key").drop("key")
-    found = cut(_verify(rows, num, den))
     reached = components(found.filter("v is not null").select("u", "v"))
     links = found.filter("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
@@ -310,16 +387,6 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.filter(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).drop("_piece", "_bits")
 
 
-def _members(words: int):
-    shingles = Shingler(words)
-
-    def work(texts):
-        sets = [shingles(t) for t in texts.to_pylist()]
-        return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_key(s) for s in sets], pa.int64())]
-
-    return work
-
-
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without those that links join to a smaller id; of rows repeated under one id, one stays. Columns stay."""
     found = similarity_join(docs, words, num, den)

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from streetgrid.llm import jaccard
 from streetgrid.llm.common import table
 from streetgrid.llm.components import components
@@ -48,8 +50,10 @@ def test_op9_query(spark, sf_dir):
     assert found(op9_ngram_jaccard(spark, sf_dir)) == brute(rows, 3, 90, 100)
 
 
-def test_random_edits_ties_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [3, 32])
+def test_random_edits_ties_and_blocks(spark, monkeypatch, rare):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "RARE", rare)
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     bases = [[rnd.choice(words) for _ in range(rnd.choice([3, 12, 40, 90]))] for _ in range(6)]
@@ -60,8 +64,8 @@ def test_random_edits_ties_and_blocks(spark, monkeypatch):
             text[rnd.randrange(len(text))] = rnd.choice(words)
         rows.append((i * 3, (" " * rnd.randint(1, 2)).join(text).upper() if i % 5 == 0 else "\t".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(jaccard.similarity_join(docs, 3, 90, 100)) == brute(rows, 3, 90, 100)
-    assert found(jaccard.similarity_join(docs, 5, 80, 100)) == brute(rows, 5, 80, 100)
+    words, num = (3, 90) if rare == 3 else (5, 80)
+    assert found(jaccard.similarity_join(docs, words, num, 100)) == brute(rows, words, num, 100)
 
 
 def test_few_long_texts_in_one_of_two_blocks(spark, monkeypatch):
@@ -74,6 +78,27 @@ def test_few_long_texts_in_one_of_two_blocks(spark, monkeypatch):
     assert found(jaccard.similarity_join(docs, 3, 90, 100)) == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("rare", [3, 32])
+def test_one_percolated_part(spark, monkeypatch, rare):
+    """Every text shares frequent lines with the next ones, so that frequent tokens reach from each text to all."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    rnd = random.Random(3)
+    lines = [" ".join(f"l{k}w{i}" for i in range(12)) for k in range(24)]
+    rows = []
+    for i in range(120):
+        k = i % 20
+        text = " ".join(lines[k : k + rnd.choice([1, 2, 3, 4])])
+        if rnd.random() < 0.5:
+            text += f" own{rnd.randrange(40)}"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard._with_parts(jaccard._prefixes(jaccard._summaries(docs, 3, 90, 100).filter("key is not null"), 90, 100))
+    assert rare > 3 or sets.filter("part0 is not null").select("part0").distinct().count() < 20
+    words, num = (3, 90) if rare == 3 else (5, 80)
+    assert found(jaccard.similarity_join(docs, words, num, 100)) == brute(rows, words, num, 100)
+
+
 def test_odd_rows(spark):
     same = "a b c d e f g"
     rows = [(1, None), (2, ""), (3, " \n"), (4, "x"), (5, "X"), (6, "x y"), (7, same), (7, same), (8, same + " h"), (None, same), (9, "é " * 50), (10, "w " * 4000)]
