@@ -34,8 +34,8 @@ FIRST_TIMES = 1.6
 RARE = 32
 #: Tokens and sets that a block of a part may hold, about; larger parts are compared block by block.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 4096
-#: Bits of the map by which texts that take no part are left out before the others are dealt; 16 MB, whatever the corpus.
-TEXT_MAP_BITS = 1 << 27
+#: Bits of the map by which texts that take no part are left out before the others are dealt; 8 MB, whatever the corpus.
+TEXT_MAP_BITS = 1 << 26
 #: Bits of the parity maps by which unlike pairs are told without reading their sets.
 MAP_BITS = 1024
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
