@@ -26,7 +26,8 @@ from .common import add_columns, lists, strings
 #: A word's last symbol is another symbol than the same letter inside; it is held as one character in this private range.
 _FINAL = 0xE000
 #: Chunks of these letters, with or without such marks behind, need no normaliser but lower-casing.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ĶĹ-ňŊ-ſ]+)([.,;:!?$%&*#|()+=/-]*)\Z")
+_MARKS = ".,;:!?$%&*#|()+=/-"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ĶĹ-ňŊ-ſ]+")
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -36,10 +37,20 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_BYTES = _byte_symbols()
+
+
 def plain_pieces(chunk: str) -> list[str] | None:
     """Word and marks of a chunk that needs no normaliser but lower-casing; None for any other."""
-    m = _PLAIN.match(chunk)
-    return m and ([m[1].lower(), m[2]] if m[2] else [m[1].lower()])
+    word = chunk.rstrip(_MARKS)
+    if not (word.isascii() and word.isalpha() or _LETTERS.fullmatch(word)):
+        return None
+    return [word.lower()] if word == chunk else [word.lower(), chunk[len(word) :]]
+
+
+def byte_symbols_of(piece: str) -> str:
+    """A piece in the symbols of byte-level vocabularies."""
+    return piece if piece.isascii() else "".join(map(_BYTES.__getitem__, piece.encode()))
 
 
 class SuffixAutomaton:
@@ -99,7 +110,6 @@ class PrefixBpe:
         vocab = model["vocab"]
         self.token_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self._special.items()}
         self._names = np.array([self.token_of.get(i, "") for i in range(max(self.token_of) + 1)], dtype=object)
-        self._bytes = {b: s for b, s in _byte_symbols().items()}
 
         symbols = {t: self._symbols(t) for t in vocab}
         self._id_of = {s: vocab[t] for t, s in symbols.items()}
@@ -214,8 +224,7 @@ class PrefixBpe:
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk without special tokens, in byte symbols."""
         if plain := plain_pieces(chunk):
-            if not plain[0].isascii():
-                plain[0] = "".join(self._bytes[b] for b in plain[0].encode())
+            plain[0] = byte_symbols_of(plain[0])
             return plain
         normal = self._library.normalizer.normalize_str(chunk)
         return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]

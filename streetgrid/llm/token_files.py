@@ -1,9 +1,11 @@
 """Token files with directly addressable codes (operator 5).
 
-A file set is a Parquet folder with one row for each segment of whole documents, in ascending order of their ids. The ids
-of a segment are cut into chunks of 8 bits. Level 0 holds every id's lowest chunk and a bitmap that tells whose next
-chunk follows in level 1, and so on. A directory with the number of set bits before each block of 512 bits gives the
-place in the next level, so any token is read with one look into each level and no block is decoded.
+A file set is a folder of two Parquet tables. ``segments`` has one row for each segment of whole documents, in ascending
+order of their ids. The ids of a segment are cut into chunks of 8 bits. Level 0 holds every id's lowest chunk and a bitmap
+that tells whose next chunk follows in level 1, and so on. A directory with the number of set bits before each block of
+512 bits gives the place in the next level, so any token is read with one look into each level and no block is decoded:
+the files are not compressed and their pages are small, so that a look reads the pages of one segment. ``starts`` has the
+number of ids before each shard.
 """
 
 from __future__ import annotations
@@ -17,17 +19,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import plain_pieces, read_spec
-from .chunk_cache import CACHE_CHUNKS, chunks
+from .bpe import byte_symbols_of, plain_pieces, read_spec
+from .chunk_cache import ChunkCache, chunks
 from .common import slices, strings
 
 #: A segment is closed when it holds so many ids; a longer document is a segment of its own.
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 14
+#: Bytes of a page of the files.
+PAGE_BYTES = 1 << 15
 #: Bits for each entry of a rank directory.
 BLOCK_BITS = 512
 _ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint32)
@@ -100,39 +104,29 @@ class LibraryIds:
     """The library's ids of whole texts, as raw little-endian 32-bit integers.
 
     Chunks between blanks never merge across these, nor do a word and the marks behind it, so each such piece is encoded
-    once, together with the other new pieces of a slice of texts, and remembered while there is room.
+    once and remembered while there is room. Plain pieces, which the library's normaliser would only lower-case and its
+    splitter leave whole, go to the library's model at once; all others go through the whole library.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the library's threads would compete with other tasks
         self._tokenizer = Tokenizer.from_str(spec)
-        self._of_chunk: dict[str, bytes] = {"": b""}
-        self._of_piece: dict[str, bytes] = {}
-        self._old_chunks: dict[str, bytes] = {}
-        self._old_pieces: dict[str, bytes] = {}
+        self._model_tokens = self._tokenizer.model.tokenize
+        self._of_piece = ChunkCache(self._piece)
+        self._of_chunk = ChunkCache(self._chunk)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parted = [chunks(t) for t in texts]
-        # What comes again is taken over from the old generation; the rest of it goes when the next one is full.
-        if len(self._of_chunk) > CACHE_CHUNKS:
-            self._old_chunks, self._of_chunk = self._of_chunk, {"": b""}
-        if len(self._of_piece) > CACHE_CHUNKS:
-            self._old_pieces, self._of_piece = self._of_piece, {}
-        self._learn(set().union(*parted).difference(self._of_chunk))
         get = self._of_chunk.__getitem__
-        return [b"".join(map(get, p)) for p in parted]
+        return [b"".join(map(get, chunks(t))) for t in texts]
 
-    def _learn(self, new: set[str]) -> None:
-        again = new & self._old_chunks.keys()
-        self._of_chunk.update((c, self._old_chunks[c]) for c in again)
-        pieces = {c: plain_pieces(c) or [c] for c in new - again}
-        unseen = {p for ps in pieces.values() for p in ps}.difference(self._of_piece)
-        again = unseen & self._old_pieces.keys()
-        self._of_piece.update((p, self._old_pieces[p]) for p in again)
-        missing = list(unseen - again)
-        for piece, coded in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self._of_piece[piece] = array("I", coded.ids).tobytes()
-        self._of_chunk.update((c, b"".join(self._of_piece[p] for p in ps)) for c, ps in pieces.items())
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._model_tokens(byte_symbols_of(piece))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        plain = plain_pieces(chunk)
+        if plain is None:
+            return array("I", self._tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else ()).tobytes()
+        return b"".join(map(self._of_piece.__getitem__, plain))
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +158,8 @@ def write(docs: DataFrame, vocab_path: str, path: str, end_id: int, partitions:
     """Encode every document, append ``end_id`` and write the ids in ascending order of ``doc_id`` to the folder ``path``.
 
     A null or empty text is the end id alone; null ids come first; rows with one id stay apart, in any order. An empty
-    table gives an empty folder. Range partitions of the texts are encoded where they are sorted, so nothing is gathered.
+    table gives empty tables. Range partitions of the texts are encoded where they are sorted, so nothing is gathered;
+    rows of one id, or of none, are parted by their texts.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(vocab_path))
@@ -195,19 +190,23 @@ def write(docs: DataFrame, vocab_path: str, path: str, end_id: int, partitions:
         if held:
             yield close()
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SEGMENT).write.mode("errorifexists").parquet(path)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").mapInArrow(run, SEGMENT)
+    ordered.write.options(**{"compression": "none", "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "false"}).mode("errorifexists").parquet(f"{path}/segments")
+    # One row for each partition that was written.
+    totals = _segments(spark, path).groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    starts = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    totals.select("shard", starts.alias("start")).write.mode("errorifexists").parquet(f"{path}/starts")
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEGMENT).parquet(f"{path}/segments")
 
 
 def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
     """Number of ids before each shard; one entry for each partition that was written."""
-    totals = spark.read.schema(SEGMENT).parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
-    starts, at = {}, 0
-    for row in sorted(totals):
-        starts[row["shard"]] = at
-        at += row["n"]
-    return starts
+    return dict(spark.read.schema("shard int, start long").parquet(f"{path}/starts").collect())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -236,16 +235,16 @@ def _read(spark: SparkSession, path: str, field: T.StructField, kind: pa.DataTyp
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + first, pa.int64()), pa.array(row["doc_lengths"], pa.int64()), pa.array(made, kind)], schema=schema)
 
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), field])
-    return spark.read.schema(SEGMENT).parquet(path).mapInArrow(run, out)
+    return _segments(spark, path).mapInArrow(run, out)
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int | None:
-    """The id at a position of the whole corpus; reads one segment's row and decodes nothing else. None beyond the end."""
+    """The id at a position of the whole corpus, by a look into each level of one segment; None beyond the end."""
     starts = shard_starts(spark, path)
     before = [s for s, at in starts.items() if at <= position]
     if position < 0 or not before:
         return None
     shard = max(before, key=lambda s: (starts[s], s))
     local = position - starts[shard]
-    row = spark.read.schema(SEGMENT).parquet(path).filter((F.col("shard") == shard) & (F.col("shard_offset") <= local) & (F.col("shard_offset") + F.col("n_ids") > local)).first()
+    row = _segments(spark, path).filter((F.col("shard") == shard) & (F.col("shard_offset") <= local) & (F.col("shard_offset") + F.col("n_ids") > local)).first()
     return None if row is None else AddressableCodes(row["chunks"], row["bitmaps"], row["ranks"])[local - row["shard_offset"]]
