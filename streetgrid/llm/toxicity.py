@@ -1,37 +1,44 @@
 """Convolutional text classifier for toxicity (operator 8).
 
-Words have hashed embeddings; filters of several widths run over the words of the whole text, each keeps its largest
-response, and a linear layer makes a logit of these. The net is trained here in numpy on a bounded sample of labelled
-rows. Rows without the label in training only calibrate: for each language, told from the text's most frequent words, the
+A word's embedding is the sum of hashed ones: of the word and of its beginnings. Filters of several widths run over the
+words of the whole text, each keeps its largest response, and a linear layer makes a logit of these. The net starts at
+random and is trained here in numpy on a bounded sample of labelled rows, whose words are hashed in Spark tasks. At first
+a softmax over the words stands in for the maximum, so that every word is tried, then the maximum itself is trained.
+
+Rows without their label in training only calibrate: for each language, told from the text's most frequent words, the
 logit at the best border between the labels is moved to the score of the fixed threshold.
 """
 
 from __future__ import annotations
 
-import heapq
-import sys
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import ChunkCache, chunks
+from .chunk_cache import CACHE_CHUNKS
 from .common import add_columns, strings
-from .labelled import labelled_sample
+from .labelled import held_out, labelled_sample
+
+__all__ = ["held_out"]
 
 #: A score from here on is predicted toxic.
 THRESHOLD = 0.7
 #: Labelled rows of each class that the net is fitted on, at most.
-PER_CLASS = 3000
-#: Buckets of the hashed embeddings (only those of known words have a row), their width, the filter widths and the filters of each width.
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 26, 8, (1, 2, 3), 8
-EPOCHS, BATCH, RATE, EMBEDDING_RATE, DECAY = 3, 128, 0.02, 0.5, 1e-5
-#: A unit (a word, or a word's beginning of so many letters) must be in so many training texts.
-LEAST_TEXTS, PREFIXES = 4, (4, 5, 6)
+PER_CLASS = 2000
+#: Rows of the hashed embeddings and their width, the filter widths, and the filters of each width.
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
+#: Letters of the beginnings of longer words that are hashed beside the whole word.
+PREFIXES = (4, 5, 6)
+#: Epochs with a softmax of these temperatures, then epochs with the maximum.
+SOFT, HARD = (1.0, 0.5), 3
+#: Texts and words of a batch, step length, part of the words left out in a step, decay of the weights.
+BATCH, BATCH_WORDS, RATE, DROP, DECAY = 64, 1 << 15, 0.02, 0.3, 1e-4
 #: Frequent words that tell the languages apart; fixed values.
 MARKERS = {
     "en": ("the", "and", "of", "to", "is", "that", "it", "was"),
@@ -41,8 +48,10 @@ MARKERS = {
 }
 LANGUAGES = (*MARKERS, "other")
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”‘’…—–"
-_PAD, _UNKNOWN = 0, 1
 _MARKER_OF = {w: i for i, ws in enumerate(MARKERS.values()) for w in ws}
+_UNITS = 1 + len(PREFIXES)
+#: Bucket of nothing; its embedding is zero.
+_NONE = 0
 
 
 def normal(chunk: str) -> str:
@@ -50,189 +59,209 @@ def normal(chunk: str) -> str:
     return chunk.strip(_STRIP).lower()
 
 
-def bucket(unit: str) -> int:
-    return 2 + zlib.crc32(unit.encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
+def _bucket(unit: str) -> int:
+    return 1 + zlib.crc32(unit.encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
 
 
-@dataclass
-class Net:
-    """The fitted net. ``units``: known words and beginnings (with ``^`` before them) -> row of the tables."""
+def units(word: str) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings."""
+    return (_bucket(word), *(_bucket("^" + word[:n]) if n < len(word) else _NONE for n in PREFIXES))
 
-    units: dict[str, int]
-    tables: dict[tuple[int, int], np.ndarray]
-    bias: dict[int, np.ndarray]
-    weights: np.ndarray
-    offset: float
-    borders: np.ndarray
-    scale: float
-
-    def row(self, chunk: str) -> int:
-        """Row of a word: its own, else that of its longest known beginning, else the unknown word's; no word: -1."""
-        word = normal(chunk)
-        if not word:
-            return -1
-        found = self.units.get(word)
-        if found is not None:
-            return found
-        for n in reversed(PREFIXES):
-            found = self.units.get("^" + word[:n])
-            if found is not None:
-                return found
-        return _UNKNOWN
-
-    def pooled(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each text; ``ids`` holds the texts one after the other, each padded behind."""
-        return pool(self.tables, self.bias, ids, starts)[0]
-
-    def scores(self, ids: np.ndarray, starts: np.ndarray, language: np.ndarray) -> np.ndarray:
-        logit = self.pooled(ids, starts) @ self.weights + self.offset
-        z = self.scale * (logit - self.borders[language]) + np.log(THRESHOLD / (1 - THRESHOLD))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-
-
-def pool(tables: dict, bias: dict, ids: np.ndarray, starts: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    best, places = [], []
-    for width in WIDTHS:
-        n = len(ids) - width + 1
-        response = tables[width, 0][ids[:n]]
-        for k in range(1, width):
-            response += tables[width, k][ids[k : n + k]]
-        top = np.maximum.reduceat(response, starts, axis=0)
-        best.append(np.maximum(top + bias[width], 0))
-        if where:
-            doc = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
-            hit = response == top[doc]
-            first = np.empty_like(top, dtype=np.int64)
-            for f in range(FILTERS):
-                at = np.flatnonzero(hit[:, f])[::-1]
-                first[doc[at], f] = at
-            places.append(first)
-    return np.hstack(best), (np.hstack(places) if where else None)
 
+class Words:
+    """Numbers the words of texts; ``units_of`` and ``marker_of`` hold what is known of each. -1 is no word."""
 
-def batch_ids(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each with padding behind that no filter reads across."""
-    pad = np.full(max(WIDTHS), _PAD, dtype=np.int32)
-    parts, starts, at = [], [], 0
-    for r in rows:
-        starts.append(at)
-        parts += [r, pad]
-        at += len(r) + len(pad)
-    return np.concatenate(parts), np.array(starts)
+    def __init__(self):
+        self._number: dict[str, int] = {}
+        self._units: list[tuple[int, ...]] = []
+        self._markers: list[int] = []
 
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self._number) > CACHE_CHUNKS:
+            self.__init__()
+        return [np.fromiter(map(self._of, t.split()), np.int32) for t in texts]
 
-def language_of(words: np.ndarray) -> int:
-    """The language whose markers are most frequent; ``words``: marker numbers, or -1 for other words."""
-    counts = np.bincount(words[words >= 0], minlength=len(MARKERS))
-    return int(counts.argmax()) if counts.any() else len(MARKERS)
+    def _of(self, chunk: str) -> int:
+        found = self._number.get(chunk)
+        if found is None:
+            word, found = normal(chunk), -1
+            if word:
+                found = len(self._units)
+                self._units.append(units(word))
+                self._markers.append(_MARKER_OF.get(word, -1))
+            self._number[chunk] = found
+        return found
 
+    def units_of(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array([self._units[i] for i in numbers], np.uint16).reshape(-1, _UNITS)
 
-def _surprise(other: float, own: float, share: float) -> float:
-    """How unlikely it is, as a log, that of so many texts with a word so many are of a class with this share."""
-    n, found = other + own, 0.0
-    for k, p in ((own, share), (other, 1 - share)):
-        found += k * np.log(k / n / p) if k else 0.0
-    return found
+    def language(self, words: np.ndarray) -> int:
+        """The language whose markers are most frequent in a text."""
+        marks = np.fromiter((m for m in map(self._markers.__getitem__, words) if m >= 0), np.int64)
+        return int(np.bincount(marks, minlength=len(MARKERS)).argmax()) if len(marks) else len(MARKERS)
 
 
-def _tables(embedding: np.ndarray, filters: dict) -> dict:
-    return {(w, k): (embedding @ filters[w][k]).astype(np.float32) for w in WIDTHS for k in range(w)}
+def _laid_out(rows: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, each with so much padding behind that no filter reads across; and where each starts."""
+    gap = np.full(max(WIDTHS), pad, dtype=np.int64)
+    parts = [p for r in rows for p in (r, gap)]
+    lengths = np.array([len(r) + len(gap) for r in rows])
+    return np.concatenate(parts), np.cumsum(lengths) - lengths
 
 
-def unlike(texts: list[str]) -> list[int]:
-    """Places of texts that are no copy, exact or near, of an earlier one: their rare words would pass for signs of a label.
+def _responses(table: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
+    """Responses of a width's filters at each place; ``table``: (width, words, filters)."""
+    n = len(ids) - width + 1
+    out = table[0][ids[:n]]
+    for k in range(1, width):
+        out += table[k][ids[k : n + k]]
+    return out
 
-    A text is left out when over a quarter of its 16 smallest hashes of four words were seen before.
-    """
-    seen: set[int] = set()
-    kept = []
-    for i, text in enumerate(texts):
-        words = text.split()
-        least = heapq.nsmallest(16, {zlib.crc32(" ".join(words[j : j + 4]).encode("utf-8", "surrogatepass")) for j in range(max(1, len(words) - 3))})
-        if sum(h in seen for h in least) * 4 <= len(least):
-            kept.append(i)
-        seen.update(least)
-    return kept
-
-
-def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Net:
-    """Train the net on the texts that are unlike each other; with one class or none at all every score is low."""
-    kept = unlike(texts)
-    texts, labels = [texts[i] for i in kept], labels[kept]
-    words = [[sys.intern(w) for w in map(normal, chunks(t)) if w] for t in texts]
-    seen: dict[str, list[int]] = {}
-    for ws, y in zip(words, labels, strict=True):
-        units = set(ws)
-        for unit in units | {"^" + w[:n] for w in units for n in PREFIXES if n < len(w)}:
-            seen.setdefault(unit, [0, 0])[y] += 1
-    known = [u for u, n in seen.items() if n[0] + n[1] >= LEAST_TEXTS]
-    rows = {b: i + 2 for i, b in enumerate(sorted({bucket(u) for u in known}))}
-    units = {u: rows[bucket(u)] for u in known}
+
+@dataclass
+class Net:
+    """The net: hashed embeddings, filters (width, DIM, FILTERS) and bias by width, the last layer, borders by language."""
+
+    embedding: np.ndarray
+    filters: dict[int, np.ndarray]
+    bias: dict[int, np.ndarray]
+    weights: np.ndarray
+    offset: float
+    borders: np.ndarray
+    scale: float = 1.0
+
+    @classmethod
+    def random(cls, rng: np.random.Generator) -> Net:
+        embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+        embedding[_NONE] = 0
+        filters = {w: rng.normal(0, (DIM * w) ** -0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
+        weights = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
+        return cls(embedding, filters, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, weights, 0.0, np.zeros(len(LANGUAGES)))
+
+    def tables(self, own: np.ndarray) -> dict[int, np.ndarray]:
+        return {w: own @ self.filters[w] for w in WIDTHS}
+
+    def logits(self, rows: list[np.ndarray], units: np.ndarray) -> np.ndarray:
+        """Logits of texts given as word numbers; ``units``: buckets of each word. A text without words has padding only."""
+        ids, starts = _laid_out(rows, len(units))
+        tables = self.tables(np.vstack([self.embedding[units].sum(1), np.zeros((1, DIM), np.float32)]))
+        pooled = [np.maximum.reduceat(_responses(tables[w], ids, w), starts, axis=0) + self.bias[w] for w in WIDTHS]
+        return np.maximum(np.hstack(pooled), 0) @ self.weights + self.offset
+
+    def scores(self, logits: np.ndarray, language: np.ndarray) -> np.ndarray:
+        z = self.scale * (logits - self.borders[language]) + np.log(THRESHOLD / (1 - THRESHOLD))
+        return _sigmoid(z)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _batches(order: np.ndarray, rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Texts in order, so many or so many words at a time; a longer text alone."""
+    at = 0
+    while at < len(order):
+        sizes = np.cumsum([len(rows[i]) for i in order[at : at + BATCH]])
+        n = max(1, int(np.searchsorted(sizes, BATCH_WORDS, side="right")))
+        yield order[at : at + n]
+        at += n
+
+
+def _sum_by(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values' rows by key."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
+class _Steps:
+    """Adam for the shared weights; AdaGrad, one rate for a row, for the embeddings."""
+
+    def __init__(self):
+        self._past: dict[str, list] = {}
+        self._rows = np.full(BUCKETS, 1e-8, np.float32)
+
+    def shared(self, name: str, value: np.ndarray, slope: np.ndarray) -> None:
+        past = self._past.setdefault(name, [np.zeros_like(value), np.zeros_like(value), 0])
+        past[0], past[1], past[2] = 0.9 * past[0] + 0.1 * slope, 0.999 * past[1] + 0.001 * slope**2, past[2] + 1
+        value -= 0.5 * RATE * (past[0] / (1 - 0.9 ** past[2])) / (np.sqrt(past[1] / (1 - 0.999 ** past[2])) + 1e-6)
+
+    def embedding(self, value: np.ndarray, buckets: np.ndarray, slope: np.ndarray) -> None:
+        self._rows[buckets] += (slope**2).mean(1)
+        value[buckets] -= RATE * (2 * slope / np.sqrt(self._rows[buckets])[:, None] + DECAY * value[buckets])
+
+
+def _train_batch(net: Net, steps: _Steps, rows: list[np.ndarray], units: np.ndarray, label: np.ndarray, balance: np.ndarray, heat: float | None, rng: np.random.Generator) -> None:
+    ids, starts = _laid_out(rows, len(units))
+    ids[rng.random(len(ids)) < DROP] = len(units)
+    own, ids = np.unique(ids, return_inverse=True)
+    own_units = np.vstack([units, np.zeros((1, _UNITS), units.dtype)])[own]
+    embedded = net.embedding[own_units].sum(1)
+    tables, pooled, places = net.tables(embedded), [], []
+    for w in WIDTHS:
+        response = _responses(tables[w], ids, w)
+        text = np.repeat(np.arange(len(starts)), np.diff([*starts, len(response)]))
+        top = np.maximum.reduceat(response, starts, axis=0)
+        if heat:
+            part = np.exp((response - top[text]) / heat)
+            part /= np.add.reduceat(part, starts, axis=0)[text]
+            pooled.append(np.add.reduceat(part * response, starts, axis=0))
+            places.append((text, part))
+        else:
+            at, f = np.nonzero(response == top[text])
+            first = np.zeros(top.shape, np.int64)
+            first[text[at[::-1]], f[::-1]] = at[::-1]
+            pooled.append(top)
+            places.append((None, first))
+    hidden = np.maximum(np.hstack([p + net.bias[w] for p, w in zip(pooled, WIDTHS, strict=True)]), 0)
+    error = ((_sigmoid(hidden @ net.weights + net.offset) - label) * balance / len(label)).astype(np.float32)
+    back = np.outer(error, net.weights) * (hidden > 0)
+    lost = np.zeros_like(embedded)
+    for j, w in enumerate(WIDTHS):
+        slope, (text, place) = back[:, j * FILTERS : (j + 1) * FILTERS], places[j]
+        filters = np.zeros_like(net.filters[w])
+        for k in range(w):
+            if heat:
+                by_word = _sum_by(ids[k : len(text) + k], place * slope[text], len(own))
+            else:
+                by_word = np.zeros((len(own), FILTERS), np.float32)
+                np.add.at(by_word, (ids[place + k], np.arange(FILTERS)), slope)
+            filters[k] = embedded.T @ by_word
+            lost += by_word @ net.filters[w][k].T
+        steps.shared(f"filters{w}", net.filters[w], filters + DECAY * net.filters[w])
+        steps.shared(f"bias{w}", net.bias[w], slope.sum(0))
+    steps.shared("weights", net.weights, hidden.T @ error + DECAY * net.weights)
+    net.offset -= RATE * float(error.sum())
+    flat = own_units.ravel()
+    buckets, at = np.unique(flat[flat != _NONE], return_inverse=True)
+    if len(buckets):
+        steps.embedding(net.embedding, buckets, _sum_by(at, np.repeat(lost, _UNITS, axis=0)[flat != _NONE], len(buckets)))
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, language: np.ndarray, seed: int = 0, soft: tuple = SOFT, hard: int = HARD) -> Net:
+    """Train on texts given as the buckets (words, units) of their words; with one class or none every score is low."""
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.02, (len(rows) + 2, DIM))
-    embedding[_PAD] = 0
-    filters = {w: rng.normal(0, 0.2, (w, DIM, FILTERS)) for w in WIDTHS}
-    bias = {w: np.zeros(FILTERS) for w in WIDTHS}
-    weights, offset = rng.normal(0, 0.1, FILTERS * len(WIDTHS)), -1.0
-    net = Net(units, _tables(embedding, filters), bias, weights, offset, np.zeros(len(LANGUAGES)), 1.0)
+    net = Net.random(rng)
     if not len(texts) or labels.min() == labels.max():
-        net.weights, net.offset, net.borders[:] = weights * 0, -1.0, 0.0
+        net.weights, net.offset = net.weights * 0, -1.0
         return net
-    # Training starts where the first component is a word's log odds, less its standard error and as far as these are
-    # beyond what chance makes among so many words, and the first filters read it.
-    totals = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=np.float64)
-    of_row: dict[int, list[float]] = {}
-    for u in known:
-        n = of_row.setdefault(units[u], [0.0, 0.0])
-        n[0], n[1] = n[0] + seen[u][0], n[1] + seen[u][1]
-    for row, n in of_row.items():
-        odds = np.log((n[1] + 0.5) / (n[0] + 0.5) * totals[0] / totals[1]) - np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-        embedding[row, 0] = np.clip(min(odds, _surprise(n[0], n[1], totals[1] / totals.sum()) - np.log(len(of_row))), 0, 4)
-    for w in WIDTHS:
-        filters[w][:, 0, 0] = 1.0
-        weights[WIDTHS.index(w) * FILTERS] = 1.0 / w
-    cache = ChunkCache(net.row)
-    ids = [np.array(list(map(cache.__getitem__, ws)), dtype=np.int32) for ws in words]
-    hold = rng.random(len(texts)) < 0.2
-    train = np.flatnonzero(~hold)
-    balance = np.where(labels == 1, 0.5 / totals[1], 0.5 / totals[0]) * len(labels)
-    speed: dict[str, np.ndarray] = {}
-
-    def step(name: str, value: np.ndarray, slope: np.ndarray) -> None:
-        """AdaGrad for the shared weights; embeddings, of which a batch touches few, go down the plain slope."""
-        past = speed.setdefault(name, np.full(value.shape, 1e-6))
-        past += slope**2
-        value -= RATE * slope / np.sqrt(past)
-
-    for _ in range(EPOCHS):
+    sizes = np.cumsum([0, *map(len, texts)])
+    packed = np.ascontiguousarray(np.vstack(texts), np.uint16).view(np.uint64).ravel()
+    words, numbers = np.unique(packed, return_inverse=True)
+    units = words.view(np.uint16).reshape(-1, _UNITS)
+    rows = [numbers[a:b] for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+    aside = rng.random(len(rows)) < 0.2
+    train, steps = np.flatnonzero(~aside), _Steps()
+    share = labels.mean()
+    balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    for heat in (*soft, *[None] * hard):
         rng.shuffle(train)
-        for at in range(0, len(train), BATCH):
-            chosen = train[at : at + BATCH]
-            flat, starts = batch_ids([ids[i] for i in chosen])
-            own_rows, flat = np.unique(flat, return_inverse=True)
-            local = embedding[own_rows]
-            hidden, places = pool(_tables(local, filters), bias, flat, starts, where=True)
-            logit = hidden @ weights + offset
-            error = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[chosen]) * balance[chosen] / len(chosen)
-            back = np.outer(error, weights) * (hidden > 0)
-            lost = np.zeros_like(local)
-            for j, w in enumerate(WIDTHS):
-                own = slice(j * FILTERS, (j + 1) * FILTERS)
-                slope = np.zeros_like(filters[w])
-                for k in range(w):
-                    word = flat[places[:, own] + k]
-                    for f in range(FILTERS):
-                        g = back[:, own][:, f]
-                        slope[k, :, f] = g @ local[word[:, f]]
-                        np.add.at(lost, word[:, f], np.outer(g, filters[w][k, :, f]))
-                step(f"filter{w}", filters[w], slope + DECAY * filters[w])
-                step(f"bias{w}", bias[w], back[:, own].sum(0))
-            used = np.flatnonzero(lost.any(axis=1) & (own_rows != _PAD))
-            embedding[own_rows[used]] -= EMBEDDING_RATE * lost[used]
-            step("weights", weights, hidden.T @ error + DECAY * weights)
-            offset -= RATE * float(error.sum())
-    net.tables, net.weights, net.offset = _tables(embedding, filters), weights, offset
-    _calibrate(net, words, ids, labels, hold)
+        for own in _batches(train, rows):
+            _train_batch(net, steps, [rows[i] for i in own], units, labels[own], balance[own], heat, rng)
+    _calibrate(net, rows, units, labels, language, aside)
     return net
 
 
@@ -250,31 +279,43 @@ def _best_border(logit: np.ndarray, label: np.ndarray) -> float:
     return float(ends[best[np.argmax(width[best])]])
 
 
-def _calibrate(net: Net, words: list, ids: list, labels: np.ndarray, hold: np.ndarray) -> None:
+def _calibrate(net: Net, rows: list, units: np.ndarray, labels: np.ndarray, language: np.ndarray, aside: np.ndarray) -> None:
     """Borders from rows held out of training, by language where both labels are frequent enough, else from all."""
-    rows = np.flatnonzero(hold)
-    if not len(rows) or labels[rows].min() == labels[rows].max():
-        rows = np.arange(len(ids))
-    logit = np.concatenate([net.pooled(*batch_ids([ids[i] for i in part])) @ net.weights + net.offset for part in np.array_split(rows, -(-len(rows) // 256))])
-    language = np.array([language_of(np.array([_MARKER_OF.get(w, -1) for w in words[i]], dtype=np.int64)) for i in rows])
-    net.borders[:] = _best_border(logit, labels[rows])
+    chosen = np.flatnonzero(aside)
+    if not len(chosen) or labels[chosen].min() == labels[chosen].max():
+        chosen = np.arange(len(rows))
+    logit = np.concatenate([net.logits([rows[i] for i in part], units) for part in _batches(chosen, rows)])
+    y, spoken = labels[chosen], language[chosen]
+    net.borders[:] = _best_border(logit, y)
     for j in range(len(LANGUAGES)):
-        own = language == j
-        if own.sum() and min(labels[rows][own].sum(), (1 - labels[rows][own]).sum()) >= 20:
-            net.borders[j] = _best_border(logit[own], labels[rows][own])
-    spread = np.abs(logit - net.borders[language])
-    net.scale = float(4.0 / max(1e-3, np.median(spread)))
+        own = spoken == j
+        if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
+            net.borders[j] = _best_border(logit[own], y[own])
+    net.scale = float(4.0 / max(1e-3, np.median(np.abs(logit - net.borders[spoken]))))
 
 
-def held_out(doc_id: Column) -> Column:
-    """The rows whose labels are never learned: crc32 of the id as text, modulo 3, is 1. Null ids are."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashed words, labels and languages of the labelled sample; the words are hashed where the texts are."""
+    rows = labelled_sample(docs, labels, "toxic", per_class, ["text"])
+    fields = [T.StructField("words", T.BinaryType()), T.StructField("spoken", T.IntegerType())]
+
+    def make():
+        words = Words()
+
+        def work(texts):
+            numbers = [n[n >= 0] for n in words(strings(texts))]
+            return [pa.array([words.units_of(n).tobytes() for n in numbers], pa.binary()), pa.array([words.language(n) for n in numbers], pa.int32())]
+
+        return work
+
+    found = sorted(add_columns(rows, make, ["text"], fields, keep=["doc_id", "_y"]).collect(), key=lambda r: r["doc_id"])
+    hashed = [np.frombuffer(r["words"], np.uint16).reshape(-1, _UNITS) for r in found]
+    return hashed, np.array([r["_y"] for r in found], np.int64), np.array([r["spoken"] for r in found], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
     """Fit the net on at most ``per_class`` labelled rows of each class outside the held-out third."""
-    rows = labelled_sample(docs, labels, "toxic", per_class, ["text"], only=~held_out(F.col("doc_id")))
-    return fit([r["text"] or "" for r in rows], np.array([r["_y"] for r in rows], dtype=np.int64))
+    return fit(*sample(docs, labels, per_class))
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -285,18 +326,14 @@ def score(docs: DataFrame, net: Net, text: str = "text", name: str = "score", ke
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def make():
-        own = shared.value
-        cache = ChunkCache(lambda c: (own.row(c), _MARKER_OF.get(normal(c), -1)))
-        get = cache.__getitem__
+        own, words = shared.value, Words()
 
         def work(texts):
-            rows, languages = [], []
-            for t in strings(texts):
-                both = np.array(list(map(get, chunks(t))), dtype=np.int32)
-                rows.append(both[both[:, 0] >= 0, 0])
-                languages.append(language_of(both[:, 1]))
-            flat, starts = batch_ids(rows)
-            return [pa.array(own.scores(flat, starts, np.array(languages)).astype(np.float64), pa.float64())]
+            rows = [n[n >= 0] for n in words(strings(texts))]
+            language = np.array([words.language(n) for n in rows])
+            used, at = np.unique(np.concatenate(rows), return_inverse=True)
+            cuts = np.cumsum([len(r) for r in rows])[:-1]
+            return [pa.array(own.scores(own.logits(np.split(at, cuts), words.units_of(used)), language).astype(np.float64), pa.float64())]
 
         return work
 
