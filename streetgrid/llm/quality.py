@@ -26,7 +26,7 @@ from .labelled import first_of_each, labelled_sample, learnable
 #: Labelled rows of each class that the views are fitted on, at most.
 PER_CLASS = 2500
 #: Rounds of co-training, and how many pseudo-labels a view gives the other in a round at most.
-ROUNDS, GIVEN = 3, 400
+ROUNDS, GIVEN = 2, 400
 #: A view is sure from the log odds on where, of the rows put aside, so many are right: lower bound, at so many deviations.
 SURE, DEVIATIONS = 0.98, 1.64
 #: Documents with at least this score are kept.
@@ -40,12 +40,30 @@ COLUMNS = ["text", "source", "lang", "n_chars"]
 
 def shape(chunk: str) -> str:
     """Runs of small letters, capitals and digits as one symbol each, other characters as they are, without repetition."""
-    kind = ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in chunk[:64])
-    return "".join(k for k, _ in groupby(kind))[:SHAPE_SYMBOLS]
+    word = chunk.rstrip(_MARKS)
+    return _shape_of(word) + (_runs(chunk[len(word) : len(word) + 64]) if len(word) < len(chunk) else "")
+
+
+def _shape_of(word: str) -> str:
+    if word.isalpha():
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    return _runs("".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:64]))
+
+
+def _runs(text: str) -> str:
+    return "".join(k for k, _ in groupby(text))[:SHAPE_SYMBOLS]
+
+
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def _buckets(chunk: str) -> int:
-    word = zlib.crc32(chunk.strip(".,;:!?").lower().encode("utf-8", "surrogatepass")) % WORDS
+    word = zlib.crc32(chunk.strip(_MARKS).lower().encode("utf-8", "surrogatepass")) % WORDS
     return word * SHAPES + zlib.crc32(shape(chunk).encode("utf-8", "surrogatepass")) % SHAPES
 
 
@@ -197,13 +215,15 @@ class CoTraining:
         good = y.mean()
         return np.where(y == 1, self.share / good, (1 - self.share) / (1 - good)) if 0 < self.share < 1 and 0 < good < 1 else np.ones(len(y))
 
-    def add(self, taker: int, rows: np.ndarray, labels: np.ndarray) -> None:
+    def add(self, taker: int, rows: np.ndarray, labels: np.ndarray) -> bool:
         """Train a view on further rows too; it goes back to what it was where that makes it worse on the rows put aside."""
         x, t = self._sets[taker]
         grown = np.vstack([x, rows]), np.append(t, labels.astype(float))
         model = Logistic().fit(*grown)
-        if self._loss(taker, model) <= self._loss(taker, self.models[taker]):
+        better = self._loss(taker, model) <= self._loss(taker, self.models[taker])
+        if better:
             self._sets[taker], self.models[taker] = grown, model
+        return better
 
     def _loss(self, view: int, model: Logistic) -> float:
         y, z = self.y[self.aside], model.logit(self.views[view][self.aside])
@@ -279,11 +299,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
         ids = spark.createDataFrame([(i,) for i in sorted({r["doc_id"] for r in given})], "doc_id long")
         new_text, new_meta, fetched = _viewed(first_of_each(docs, ids, COLUMNS), ["doc_id"])
         at = {r["doc_id"]: i for i, r in enumerate(fetched)}
+        grew = False
         for taker, new in ((0, new_text), (1, new_meta)):
             own = sorted((at[r["doc_id"]], r["label"]) for r in given if r["taker"] == taker)
             if own:
-                work.add(taker, new[[i for i, _ in own]], np.array([label for _, label in own]))
+                grew |= work.add(taker, new[[i for i, _ in own]], np.array([label for _, label in own]))
         taken |= set(at)
+        if not grew:  # the next round would score alike
+            break
     return work.finish()
 
 
