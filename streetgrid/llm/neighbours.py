@@ -2,9 +2,10 @@
 
 NN-descent: every vector starts with the best of some random-projection blocks; then, round by round, each vector's
 neighbours and the vectors it is a neighbour of meet at it (a join), are scored against each other, and each keeps the
-best it has met. Vectors travel as bytes with a scale. Queries walk the finished graph, both ways of each edge, greedily:
-in every round a query's best vectors that were not visited yet are joined with their neighbours; a query ends when its
-best EF vectors have all been visited. What it found is scored anew on the original vectors in double precision.
+best it has met. Vectors travel as bytes with a scale. Queries walk the finished graph, both ways of each edge, greedily.
+They enter it at a few vectors on their side of the random planes, never at themselves, so that any vector may ask. In
+every round a query's best vectors that were not visited yet are joined with their neighbours; a query ends when its best
+EF vectors have all been visited. What it found is scored anew on the original vectors in double precision.
 
 Inner product is made a likeness of equal-length vectors by one more component, which the queries have as 0.
 Equal vectors are one node of the graph, whatever their number.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut
+from .common import add_columns, cut, new_path
 
 #: Neighbours of a node, edges that are joined the other way in a round (a sample by hash), and rounds.
 NEIGHBOURS, REVERSED, ROUNDS = 24, 24, 3
@@ -32,7 +33,9 @@ TREES, BLOCK = 6, 256
 #: Edges the other way that the finished graph keeps of a node, best first.
 BACK = 48
 #: Vectors that a query visits at least, that it visits in a round, and that are scored anew.
-EF, VISITS, RESCORED = 480, 240, 64
+EF, VISITS, RESCORED = 240, 120, 64
+#: Vectors where a query enters the graph, in each of TREES ways, and those for queries that find none there.
+ENTRIES, ANYWHERE = 4, 8
 _SEED = 11
 
 _LISTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.FloatType()))])
@@ -147,22 +150,27 @@ def _merged(rows: DataFrame, most: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, _LISTS)
 
 
-def _first_places(packed: DataFrame, dim: int) -> DataFrame:
-    """(place, node, q, scale, least) of blocks of vectors on one side of some random planes, in each of TREES ways."""
-    total = packed.count()
+def _coded(rows: DataFrame, dim: int, total: int, kind: type, keep: list[str]) -> DataFrame:
+    """Add tree and code: the sides of random planes that ``q`` (raw numbers of ``kind``) lies on, in each of TREES ways."""
     bits = max(0, int(np.ceil(np.log2(max(1, total) / BLOCK))))
     planes = np.random.default_rng(_SEED).normal(size=(dim, TREES, max(1, bits))).astype(np.float32)
 
     def make():
         def work(q):
-            side = np.einsum("nd,dtb->ntb", _bytes(q).astype(np.float32), planes) > 0
+            x = np.frombuffer(b"".join(q.to_pylist()), kind).reshape(len(q), -1).astype(np.float32)
+            side = np.einsum("nd,dtb->ntb", x, planes) > 0
             codes = (side @ (1 << np.arange(max(1, bits)))) if bits else np.zeros((len(q), TREES), np.int64)
             return [pa.array(codes.tolist(), pa.list_(pa.int64()))]
 
         return work
 
-    coded = add_columns(packed, make, ["q"], [T.StructField("codes", T.ArrayType(T.LongType()))])
-    coded = coded.select("node", "q", "scale", F.posexplode("codes").alias("tree", "code"))
+    coded = add_columns(rows, make, ["q"], [T.StructField("codes", T.ArrayType(T.LongType()))])
+    return coded.select(*keep, F.posexplode("codes").alias("tree", "code"))
+
+
+def _first_places(packed: DataFrame, dim: int, total: int) -> DataFrame:
+    """(place, node, q, scale, least) of blocks of vectors on one side of some random planes, in each of TREES ways."""
+    coded = _coded(packed, dim, total, np.int8, ["node", "q", "scale"])
     sizes = coded.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n"))
     # A code that many vectors share is split at random.
     split = coded.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / (2 * BLOCK))))
@@ -180,9 +188,9 @@ def _best_back(edges: DataFrame, order: list[Column], most: int) -> DataFrame:
     return turned.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
 
 
-def build_graph(packed: DataFrame, dim: int, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(packed: DataFrame, dim: int, total: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, scores): NN-descent on (node, q, scale)."""
-    graph = cut(_merged(_local_joins(_first_places(packed, dim)), NEIGHBOURS))
+    graph = cut(_merged(_local_joins(_first_places(packed, dim, total)), NEIGHBOURS))
     for i in range(rounds):
         edges = _edges(graph)
         back = _best_back(edges, [F.xxhash64("node", "to", F.lit(i))], REVERSED)
@@ -256,9 +264,32 @@ def _gathered(state: DataFrame, found: DataFrame, ef: int) -> DataFrame:
     return both.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, _STATE)
 
 
-def _walk(starts: DataFrame, table: str, ef: int, visits: int) -> DataFrame:
-    """Greedy search from (query_id, q, node): each query's best nodes, (query_id, ids)."""
-    state = starts.select("query_id", "q", F.array("node").alias("ids"), F.array(F.lit(-1e30).cast("float")).alias("scores"), F.array(F.lit(False)).alias("visited"))
+def _starts(asked: DataFrame, packed: DataFrame, dim: int, total: int) -> DataFrame:
+    """The first state of queries (query_id, q, node): scored vectors of other nodes on their side of the planes."""
+    coded = _coded(packed, dim, total, np.int8, ["node"])
+    first = F.row_number().over(Window.partitionBy("tree", "code").orderBy(F.xxhash64("node", F.lit(_SEED))))
+    doors = coded.withColumn("r", first).filter(F.col("r") <= ENTRIES).select("tree", "code", F.col("node").alias("door"))
+    anywhere = [r["node"] for r in packed.select("node").orderBy(F.xxhash64("node"), "node").limit(ANYWHERE).collect()]
+    near = _coded(asked, dim, total, np.float32, ["query_id", "node"]).join(doors, ["tree", "code"]).select("query_id", "node", "door")
+    far = asked.select("query_id", "node", F.explode(F.array(*map(F.lit, anywhere))).alias("door"))
+    chosen = near.unionByName(far).filter("door <> node").select("query_id", "door").distinct()
+    met = chosen.join(packed.select(F.col("node").alias("door"), F.col("q").alias("x"), "scale"), "door").join(asked.select("query_id", "q"), "query_id")
+
+    def make():
+        def work(q, x, scale):
+            own = np.frombuffer(b"".join(q.to_pylist()), np.float32).reshape(len(q), -1)
+            return [pa.array((own * _bytes(x)).sum(axis=1) * scale.to_numpy(), pa.float32())]
+
+        return work
+
+    scored = add_columns(met, make, ["q", "x", "scale"], [T.StructField("score", T.FloatType())], keep=["query_id", "q", "door"])
+    lists = scored.groupBy("query_id").agg(F.first("q").alias("q"), F.sort_array(F.collect_list(F.struct("score", "door")), asc=False).alias("l"))
+    # A query that is alone has nothing to start from.
+    return lists.select("query_id", "q", F.col("l.door").alias("ids"), F.col("l.score").alias("scores"), F.transform("l", lambda _: F.lit(False)).alias("visited"))
+
+
+def _walk(state: DataFrame, table: str, ef: int, visits: int) -> DataFrame:
+    """Greedy search from states as ``_starts`` gives: each query's best nodes, (query_id, ids)."""
     while True:
         # The best that were not visited yet; these are marked as visited before their neighbours are looked at.
         turn = F.slice(F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: ~F.get("visited", i)), 1, visits)
@@ -285,25 +316,29 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ef: int = EF, roun
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("node"))
     nodes = cut(classes)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    shape = nodes.agg(F.max(F.sqrt(norm)).alias("longest"), F.max(F.size("v")).alias("d")).first()
+    shape = nodes.agg(F.max(F.sqrt(norm)).alias("longest"), F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     if shape["d"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = shape["longest"]
     packed = cut(_packed(nodes, longest))
-    name = f"neighbours_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    graph = build_graph(packed, shape["d"] + 1, rounds)
-    _with_vectors(graph, packed).repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node").saveAsTable(name)
-
+    dim, total = shape["d"] + 1, shape["n"]
     asked = cut(rows.filter("query").join(nodes, "v").select(F.col("vec_id").alias("query_id"), "v", "node"))
     scaled = F.concat(F.transform("v", lambda x: (x / longest).cast("float")), F.array(F.lit(0.0).cast("float")))
     as_bytes = add_columns(asked.withColumn("f", scaled), lambda: lambda f: [pa.array([np.array(x, np.float32).tobytes() for x in f.to_pylist()], pa.binary())], ["f"], [T.StructField("q", T.BinaryType())], keep=["query_id", "node"])
-    found = _walk(as_bytes, name, ef, VISITS)
-    spark.sql(f"DROP TABLE {name}")
 
-    # The walk gives no score to the node where it starts; the query's exact copies are there, so it is always scored anew.
-    best = F.array_union(F.slice("ids", 1, RESCORED + k), F.array("node"))
-    pairs = found.join(asked.select("query_id", "node"), "query_id").select("query_id", F.explode(best).alias("node"))
+    graph = build_graph(packed, dim, total, rounds)
+    # The neighbours' vectors are dealt by node once, in the shared folder, so that a round of the walk only deals queries.
+    name, parts = f"neighbours_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _with_vectors(graph, packed).repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node")
+    try:
+        dealt.option("path", new_path(spark, name)).saveAsTable(name)
+        found = _walk(_starts(as_bytes, packed, dim, total), name, ef, VISITS)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    # The query's own node holds its exact copies, so it is always scored anew.
+    best = F.array_union(F.coalesce(F.slice("ids", 1, RESCORED + k), F.array().cast("array<long>")), F.array("node"))
+    pairs = asked.select("query_id", "node").join(found, "query_id", "left").select("query_id", F.explode(best).alias("node"))
     pairs = pairs.join(nodes.withColumnRenamed("v", "x"), "node").join(asked.select("query_id", "v"), "query_id")
     product = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     scored = pairs.select("query_id", "node", product.alias("score"))
