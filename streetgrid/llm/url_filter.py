@@ -2,9 +2,10 @@
 
 Hosts of allowed pages are trusted seeds, hosts of blocked pages blocked seeds, each by its pages. Trust is the
 personalised PageRank of the trusted seeds along host edges: whom the trusted link to is trusted. Distrust is that of the
-blocked seeds along reversed edges: who links to the blocked is distrusted. A host that has more distrust than trust is
-blocked. Host edges are the pages' links to other hosts, the links inside a host, and the ties between a host and the
-domain it belongs to.
+blocked seeds along reversed edges: who links to the blocked is distrusted. A host whose score, the part of distrust in
+both ranks, is above a threshold is blocked. Host edges are the pages' links: those to other hosts, and those inside a
+host, relative ones too. Hosts that no link ties to others also pass rank to the domain that they belong to and get it
+from there, by one link a page, unless that domain is an IP address or a public suffix of two labels such as ``co.uk``.
 """
 
 from __future__ import annotations
@@ -18,11 +19,18 @@ from .common import cut
 
 #: Part of the rank that follows edges, and rounds of propagation (what is left after these is DAMPING ** ROUNDS).
 DAMPING, ROUNDS = 0.85, 20
+#: A host is blocked whose part of distrust in its trust and distrust is above this.
+THRESHOLD = 0.5
+#: Second-level labels under which strangers register names, where the last label has two letters; fixed values.
+SHARED_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Weight of the tie between a host and its domain, in links, for each page of the host.
 DOMAIN_TIE = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Links of a page that name a host.
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
+#: Links of a page, and those that name a host.
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+_NAMED = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(.*)"
+#: Links that lead to no page.
+_NOWHERE = r"(?i)^(?!(?:https?):)[a-z][a-z0-9+.-]*:(?!//)"
 
 
 @dataclass(frozen=True)
@@ -63,21 +71,29 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) of pages with host and html: links by number, each page inside its host, ties to domains."""
-    own = pages.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    inside = own.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.col("n").alias("weight"))
-    named = F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))
-    links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(named).alias("link"))
-    links = links.select("src", host_of(F.concat(F.lit("://"), F.regexp_extract("link", r"//(.*)", 1))).alias("dst")).filter("dst <> ''")
+    """(src, dst, weight) of pages with host and html: links by number, and ties to domains of hosts without outer links.
+
+    A port does not tell hosts apart in a domain. A host without any link has a loop, which keeps its rank.
+    """
+    read = pages.filter("host <> ''")
+    own = read.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    links = read.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("link")).filter(~F.col("link").rlike(_NOWHERE))
+    named = F.regexp_extract("link", _NAMED, 1)
+    links = links.select("src", F.when(F.col("link").rlike(_NAMED), host_of(F.concat(F.lit("://"), named))).otherwise(F.col("src")).alias("dst")).filter("dst <> ''")
     links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    # A domain's last two labels are taken as its owner's; above these there are no ties.
-    labels = F.split("host", r"\.")
-    chain = own.withColumn("up", F.explode(F.sequence(F.lit(0), F.size(labels) - 3))).filter(F.size(labels) >= 3)
+    outer = links.filter("src <> dst")
+    tied = own.join(outer.select(F.col("src").alias("host")).union(outer.select(F.col("dst").alias("host"))).distinct(), "host", "left_anti")
+    # From a host upwards to the domain of the last two labels, or three under a public suffix of two.
+    labels = F.split(F.regexp_replace("host", r":\d*$", ""), r"\.")
+    shared = (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(*SHARED_LABELS)
+    steps = F.size(labels) - F.when(shared, 3).otherwise(2)
+    chain = tied.filter(~F.col("host").rlike(r"^[\d.]+(:\d*)?$|^\[") & (F.size(labels) >= 3)).filter(steps > 0)
+    chain = chain.withColumn("up", F.explode(F.sequence(F.lit(0), steps - 1)))
     name = lambda skip: F.concat_ws(".", F.slice(labels, F.col("up") + 1 + skip, F.size(labels)))
-    ties = chain.select(name(0).alias("a"), name(1).alias("b"), (F.col("n") * DOMAIN_TIE).alias("weight"))
+    ties = chain.select(F.when(F.col("up") == 0, F.col("host")).otherwise(name(0)).alias("a"), name(1).alias("b"), (F.col("n") * DOMAIN_TIE).alias("weight"))
     ties = ties.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     both = ties.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(ties.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-    return inside.unionByName(links).unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
@@ -109,25 +125,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return rank.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add host, path, rule, verdict, trust and distrust to pages with url and html; columns of these names are replaced.
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+    """Add host, path, rule, verdict, trust, distrust and host_score to pages with url and html; columns of these names are replaced.
 
-    A rule decides where one fits; else the host's ranks do: more distrust than trust blocks. Hosts that nothing reaches,
-    and urls without host, are allowed. Null urls and texts count as empty; rows stay as they are. A host of any size is
-    one row in the graph; joining the verdict back deals a hot host's pages out by adaptive skew handling.
+    A rule decides where one fits; else the host's score does, distrust / (trust + distrust): above the threshold it
+    blocks. Hosts that nothing reaches score 0 and, like urls without host, are allowed. Null urls and texts count as
+    empty; rows stay as they are, under any column names. A host of any size is one row in the graph; joining the score
+    back deals a hot host's pages out by adaptive skew handling.
     """
-    added = ("host", "path", "rule", "verdict", "trust", "distrust")
+    added = ("host", "path", "rule", "verdict", "trust", "distrust", "host_score")
+    kept = {c: f"_page_{i}" for i, c in enumerate(pages.columns) if c.lower() not in added}
     url = F.coalesce(F.col("url"), F.lit(""))
-    read = pages.drop(*added).withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    read = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in kept.items()), "html", host_of(url).alias("host"), path_of(url).alias("path"))
     read = read.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     of_rule = F.lit(None).cast("string")
     for r in rules:
         of_rule = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(of_rule)
-    read = read.withColumn("_said", of_rule)
-    votes = lambda v: F.sum((F.col("_said") == v).cast("double"))
+    read = read.withColumn("said", of_rule)
+    votes = lambda v: F.sum((F.col("said") == v).cast("double"))
     seeds = read.filter("host <> ''").groupBy("host").agg(F.coalesce(votes("allow"), F.lit(0.0)).alias("trusted"), F.coalesce(votes("block"), F.lit(0.0)).alias("blocked"))
     ranks = cut(propagate(cut(host_edges(read.select("host", "html"))), cut(seeds)))
-    found = read.join(ranks, "host", "left")
-    by_rank = F.when(F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    found = found.withColumn("verdict", F.coalesce("_said", by_rank))
-    return found.select(*[c for c in pages.columns if c.lower() not in added], *added[:4], *(F.coalesce(c, F.lit(0.0)).alias(c) for c in added[4:]))
+    both = F.col("trust") + F.col("distrust")
+    ranks = ranks.withColumn("host_score", F.when(both > 0, F.col("distrust") / both).otherwise(0.0))
+    found = read.join(ranks, "host", "left").fillna(0.0, ["trust", "distrust", "host_score"])
+    found = found.withColumn("verdict", F.coalesce("said", F.when(F.col("host_score") > threshold, "block").otherwise("allow")))
+    return found.select(*(F.col(n).alias(c) for c, n in kept.items()), *added)

@@ -35,33 +35,47 @@ def ranks(edges, seeds, hosts):
 
 
 def expected(rows):
-    """rows: (page_id, url, html) -> page_id -> (host, path, rule, verdict, trust, distrust)"""
-    edges, good, bad, read = {}, {}, {}, []
+    """rows: (page_id, url, html) -> (page_id, host, path, rule, verdict, trust, distrust, score)"""
+    edges, good, bad, read, pages = {}, {}, {}, [], {}
+
+    def add(a, b):
+        edges[a, b] = edges.get((a, b), 0) + 1.0
+
     for page, url, html in rows:
         host, path = parse(url)
         r = rule(host, path)
         read.append((page, host, path, r))
         if not host:
             continue
-
-        def add(a, b):
-            edges[a, b] = edges.get((a, b), 0) + 1.0
-
-        add(host, host)
-        for link in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)""", html or "", re.I):
-            if target := parse("://" + link.split("//", 1)[1])[0]:
+        pages[host] = pages.get(host, 0) + 1
+        for link in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)""", html or "", re.I):
+            if re.match(r"(?!(https?):)[a-z][a-z0-9+.-]*:(?!//)", link, re.I):
+                continue
+            named = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//(.*)", link, re.I)
+            if target := parse("://" + named[1])[0] if named else host:
                 add(host, target)
-        labels = host.split(".")
-        for i in range(len(labels) - 2):
-            a, b = ".".join(labels[i:]), ".".join(labels[i + 1 :])
-            add(a, b)
-            add(b, a)
         if r:
             seeds = good if r.verdict == "allow" else bad
             seeds[host] = seeds.get(host, 0) + 1
-    hosts = {h for e in edges for h in e}
+    outside = {h for a, b in edges if a != b for h in (a, b)}
+    for host, n in pages.items():
+        labels = re.sub(r":\d*$", "", host).split(".")
+        if host in outside or len(labels) < 3 or all(x.isdigit() for x in labels):
+            continue
+        least = 3 if len(labels[-1]) == 2 and labels[-2] in uf.SHARED_LABELS else 2
+        for i in range(len(labels) - least):
+            a, b = ".".join(labels[i:]) if i else host, ".".join(labels[i + 1 :])
+            for _ in range(n):
+                add(a, b)
+                add(b, a)
+    hosts = {h for e in edges for h in e} | set(pages)
     trust, distrust = ranks(edges, good, hosts), ranks({(b, a): w for (a, b), w in edges.items()}, bad, hosts)
-    return [(p, h, path, r and r.name, r.verdict if r else ("block" if distrust.get(h, 0) > trust.get(h, 0) else "allow"), trust.get(h, 0.0), distrust.get(h, 0.0)) for p, h, path, r in read]
+    out = []
+    for p, h, path, r in read:
+        t, d = trust.get(h, 0.0), distrust.get(h, 0.0)
+        part = d / (t + d) if t + d else 0.0
+        out.append((p, h, path, r and r.name, r.verdict if r else ("block" if part > uf.THRESHOLD else "allow"), t, d, part))
+    return out
 
 
 def same(found, want):
@@ -82,9 +96,13 @@ def test_odd_urls_links_and_clashing_columns(spark):
         (6, "x://a.b.example.com?q=://z/de/", link), (7, "http://example.com/de", ""), (8, "http://deep.sub.example.com/de/1#f", link),
         (9, "http://notexample.net/en/", ""), (10, "ftp://example.net/en/../x", ""), (11, "http://good.example.org/fr/", ""), (11, "http://good.example.org/fr/", ""),
         (12, "http:///path", ""), (13, "http://lone.host/a", '<a href="http://other.lone/">'), (14, "http://é.ORG/fr/É", "\n<a\nhref='http://x.example.org'>"),
+        (15, "http://one.shop.co.uk/", '<a href="mailto:a@b.net">'), (16, "http://two.shop.co.uk:8080/", None), (17, "http://other.co.uk/", None), (18, "http://10.0.0.1/", None),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     same(uf.judge(pages).drop("url", "html").collect(), expected(rows))
-    clash = pages.selectExpr("*", "1 AS trust", "'x' AS host")
-    assert uf.judge(clash).columns == ["page_id", "url", "html", "host", "path", "rule", "verdict", "trust", "distrust"]
+    clash = pages.selectExpr("*", "1 AS trust", "'x' AS host", "'mine' AS said", "2 AS dst")
+    assert uf.judge(clash).columns == ["page_id", "url", "html", "said", "dst", "host", "path", "rule", "verdict", "trust", "distrust", "host_score"]
+    assert {r["said"] for r in uf.judge(clash).collect()} == {"mine"}
+    strict, lax = (uf.judge(pages, threshold=x).filter("rule is null and verdict = 'block'").count() for x in (0.0, 1.0))
+    assert strict > 0 and lax == 0
     assert uf.judge(pages.limit(0)).count() == 0
