@@ -42,8 +42,13 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
         else:
             high = middle
     got = np.floor(votes / high + 0.5).astype(np.int64)
-    for _ in range(int(seats - got.sum())):
-        got[np.argmax(votes / (2 * got + 1))] += 1
+    # What is left are ties at this divisor, to rounding: one seat each, by quotient.
+    left = int(seats - got.sum())
+    while left > 0:
+        best = np.argsort(-votes / (2 * got + 1), kind="stable")[: min(left, int((votes > 0).sum()))]
+        tied = best[votes[best] / (2 * got[best] + 1) >= votes[best[0]] / (2 * got[best[0]] + 1) * (1 - 1e-12)]
+        got[tied] += 1
+        left -= len(tied)
     return got
 
 
@@ -74,7 +79,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, bl
     """Add source_size, target and taken to documents with doc_id, source and size.
 
     A null source is a source, the last one. Documents without words, and sources without such documents, take nothing;
-    repeated rows are documents of their own. An empty table stays empty. ``measured`` may give (doc_id, source, size) of
+    repeated rows are documents of their own. An empty table stays empty. Columns that are called as an added one are
+    replaced; others may have any name. ``measured`` may give (doc_id, source, size) of
     the same rows where these are cheaper to read. One row for each source and for each shard of some thousand documents
     is gathered; documents are only sorted inside their shards.
     """
@@ -93,18 +99,29 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, bl
     def placed(df: DataFrame) -> DataFrame:
         s = sources.withColumnRenamed("source", "_source")
         joined = df.join(s, df["source"].eqNullSafe(s["_source"]), "left").drop("_source")
-        return joined.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")))
+        # Repeated and null ids are dealt out by their sizes as well.
+        return joined.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("shards")))
 
     per_shard = placed(base).groupBy("source", "shard", "seats", "target", "source_size").agg(F.sum("size").alias("shard_size"))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", kind="stable")
-        blocks = sainte_lague(pdf["shard_size"].to_numpy(), int(pdf["seats"].iloc[0]))
-        quota = np.minimum(blocks * block_words, MOST_TIMES * pdf["shard_size"].to_numpy())
+        size = pdf["shard_size"].to_numpy()
+        most, seats = MOST_TIMES * size, int(pdf["seats"].iloc[0])
+        quota, full = np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+        while True:
+            # What a full shard cannot take is dealt to the others.
+            quota[~full] = sainte_lague(size[~full], seats - int(-(-most[full].sum() // block_words))) * block_words
+            over = ~full & (quota > most)
+            quota[over], full = most[over], full | over
+            if not over.any():
+                break
         return pd.DataFrame({"_source": pdf["source"], "_shard": pdf["shard"], "shard_size": pdf["shard_size"], "quota": quota})
 
     by_shard = cut(per_shard.groupBy("source").applyInPandas(quotas, "_source string, _shard long, shard_size long, quota long"))
-    rows = placed(docs)
+    # Under names of their own, whatever the documents' columns are called.
+    given = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    rows = placed(docs.select("doc_id", "source", "size", *(F.col(f"`{c}`").alias(n) for c, n in given.items())))
     rows = rows.join(by_shard, rows["source"].eqNullSafe(by_shard["_source"]) & (rows["shard"] == by_shard["_shard"]), "left")
     order = Window.partitionBy("_source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -112,7 +129,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, bl
     rest = F.coalesce(F.col("quota"), F.lit(0)) - rounds * F.col("shard_size")
     part = F.least(F.greatest(rest - before, F.lit(0)), F.col("size"))
     out = rows.withColumn("taken", (rounds * F.col("size") + part).cast("long"))
-    return out.select(*docs.columns, "source_size", "target", "taken")
+    added = ("source_size", "target", "taken")
+    return out.select(*(F.col(n).alias(c) for c, n in given.items() if c.lower() not in added), *added)
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:

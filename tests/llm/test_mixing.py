@@ -1,5 +1,9 @@
 """Operator 10 against its definition, and the pipeline on small tables."""
 
+import collections
+import os
+import sys
+
 import numpy as np
 import pandas as pd
 from hypothesis import given, settings
@@ -64,9 +68,38 @@ def test_odd_rows_and_small_shards(spark):
         assert ((by["taken"] - by["target"]).abs() <= 4 + 2).all()
     copies = mixing.mix_documents(docs.selectExpr("*", "1 AS taken"))
     assert copies.columns == ["doc_id", "text", "source", "taken"] and 0 < copies.count()
+    clash = sized.selectExpr("*", "1 AS shards", "'q' AS quota", "7 AS shard", "2 AS seats", "3 AS Target", "'n' AS _source")
+    mixed = mixing.mix(clash)
+    assert mixed.columns == ["doc_id", "text", "source", "size", "shards", "quota", "shard", "seats", "_source", "source_size", "target", "taken"]
+    assert mixed.select("shards", "quota", "shard", "seats", "_source").distinct().collect() == [(1, "q", 7, 2, "n")]
     assert mixing.mix(sized.limit(0)).count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_pipeline_near_duplicates_and_mixing_by_brute_force(spark, sf_dir):
+    """Kept are the documents that no chain of links leads to a smaller id; the mix copies each as often as rounding says."""
+    sys.path.insert(0, os.path.dirname(__file__))
+    from test_jaccard import brute
+
+    docs = table(spark, sf_dir, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, docs, sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c, _ in brute(rows, 5, 80, 100) if i == c)
+    taken = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix(mixing.with_sizes(docs)).collect()}
+    copies = collections.Counter(r["doc_id"] for r in stages["mixing"](spark, docs, sf_dir).collect())
+    assert copies == {i: int(t / n + 0.5) for i, (n, t) in taken.items() if n and int(t / n + 0.5)}
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir):
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "w " * 9000, "xx", None, -5), (None, "no id", "de", "s", 5), (2, "", "en", "s", 0)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns, name
+        assert stage(spark, docs, sf_dir).count() <= 3 * len(odd)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(odd)
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     names = docs.columns
