@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.shared import cut, new_path, shared_dir
+
+__all__ = ["cut", "new_path", "shared_dir"]
+
 #: Rows that Python holds at once; whole texts are long, so few.
 SLICE_ROWS = 256
 #: A slice is cut earlier when its strings reach this many bytes.
@@ -21,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="streetgrid-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else writes to."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of bounded rows and, single long rows aside, bounded bytes."""
     start, total = 0, batch.num_rows
