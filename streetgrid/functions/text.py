@@ -10,9 +10,9 @@ SINGLE = {
     "sidewalk": ("none", "one_side", "both_sides", "unknown"),
     "crosswalk": ("present", "absent", "unknown"),
     "bike_lane": ("present", "absent", "unknown"),
-    "transit_stop": ("present", "absent", "unknown"),
     "traffic_volume": ("low", "med", "high", "unknown"),
     "tree_canopy": ("none", "sparse", "moderate", "dense", "unknown"),
+    "transit_stop": ("present", "absent", "unknown"),
     "lighting": ("good", "poor", "unknown"),
     "maintenance": ("good", "fair", "poor", "unknown"),
 }
@@ -20,13 +20,15 @@ MULTI = {
     "land_use": ("residential", "commercial", "industrial", "mixed", "unknown"),
     "barriers": ("highway", "rail", "river", "fence", "none", "unknown"),
 }
+#: Fields of the canonical answer in its order; ``traffic`` is what it calls ``traffic_volume``. Fixed values.
+CANONICAL = ("sidewalk", "crosswalk", "bike_lane", "traffic", "tree_canopy", "land_use", "transit_stop", "lighting", "maintenance", "barriers")
 #: Ordinal codes; unknown has none.
 ORDINAL = {
     "sidewalk": {"none": 0, "one_side": 1, "both_sides": 2},
     "crosswalk": {"absent": 0, "present": 1},
-    "transit_stop": {"absent": 0, "present": 1},
     "traffic_volume": {"low": 0, "med": 1, "high": 2},
     "tree_canopy": {"none": 0, "sparse": 1, "moderate": 2, "dense": 3},
+    "transit_stop": {"absent": 0, "present": 1},
 }
 #: Prefixes of compound point ids; fixed values.
 CITY_OF_PREFIX = {"MSP": "msp", "SEA": "seattle", "DC": "dc", "PGH": "pittsburgh"}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-PAIRS = ("sidewalk", "crosswalk", "tree_canopy")
+#: Pairs of a caption's and a mask's code that make the score; that of stops is only reported, as a stop may be near but not in view.
+PAIRS, REPORTED = ("sidewalk", "crosswalk", "tree_canopy"), "transit_stop"
 
 
 def validated(captions: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def validated(captions: DataFrame) -> DataFrame:
     found = text.parse_answer(F.col("answer"))
     fields = {f: text.pick_single(f, found[f]) for f in text.SINGLE} | {f: F.array_join(text.pick_multi(f, found[f]), "|") for f in text.MULTI}
     out = captions.withColumns(fields)
-    return out.withColumn("canonical", F.concat_ws(", ", *(F.concat(F.lit(f + "="), F.col(f)) for f in fields)))
+    said = (F.concat(F.lit(f + "="), F.col("traffic_volume" if f == "traffic" else f)) for f in text.CANONICAL)
+    return out.withColumn("canonical", F.concat_ws(", ", *said))
 
 
 def features(captions: DataFrame) -> DataFrame:
@@ -33,20 +35,22 @@ def binned(value: Column, low: float, high: float) -> Column:
 
 
 def mask_codes(points: DataFrame) -> DataFrame:
-    """Codes of mask features: fixed borders for walks, the table's own quantiles for trees."""
+    """Codes of points' features: fixed borders for the largest walk and crossing of a point, the table's own quantiles for
+    its mean of trees, and whether a stop is within 400 m; null features stay null."""
     cuts = points.agg(F.percentile("vegetation_mean", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))).alias("cuts"))
     v = F.col("vegetation_mean")
-    trees = F.when(v.isNull(), None).when(v < F.col("cuts")[0], 0).when(v < F.col("cuts")[1], 1).when(v < F.col("cuts")[2], 2).otherwise(3)
+    trees = F.when(v.isNull(), None).when(v <= F.col("cuts")[0], 0).when(v <= F.col("cuts")[1], 1).when(v <= F.col("cuts")[2], 2).otherwise(3)
     coded = points.crossJoin(F.broadcast(cuts))  # one row
-    return coded.withColumns({"b_sidewalk": binned(F.col("sidewalk_mean"), 0.02, 0.095), "b_crosswalk": F.when(F.col("crosswalk_mean").isNotNull(), (F.col("crosswalk_mean") > 0.02).cast("int")), "b_tree_canopy": trees}).drop("cuts")
+    codes = {"b_sidewalk": binned(F.col("sidewalk_max"), 0.02, 0.095), "b_crosswalk": (F.col("crosswalk_max") > 0.02).cast("int"), "b_tree_canopy": trees, "b_transit_stop": (F.col("stops_400m") > 0).cast("int")}
+    return coded.withColumns(codes).drop("cuts")
 
 
 def score(captions: DataFrame, masks: DataFrame, key: list[str]) -> DataFrame:
     """Mean of the pairs that can be compared: walks and trees agree within one step, crossings when equal; with a tier."""
-    both = captions.withColumns({f"a_{f}": text.ordinal(f, F.col(f)) for f in PAIRS}).join(masks, key)
+    both = captions.withColumns({f"a_{f}": text.ordinal(f, F.col(f)) for f in (*PAIRS, REPORTED)}).join(masks, key)
     flag = lambda f, most: (F.abs(F.col(f"a_{f}") - F.col(f"b_{f}")) <= most).cast("int")
-    both = both.withColumns({"ok_sidewalk": flag("sidewalk", 1), "ok_crosswalk": flag("crosswalk", 0), "ok_tree_canopy": flag("tree_canopy", 1)})
+    both = both.withColumns({"ok_sidewalk": flag("sidewalk", 1), "ok_crosswalk": flag("crosswalk", 0), "ok_tree_canopy": flag("tree_canopy", 1), "ok_transit_stop": flag("transit_stop", 0)})
     flags = F.filter(F.array(*(F.col(f"ok_{f}") for f in PAIRS)), lambda x: x.isNotNull())
     mean = F.when(F.size(flags) > 0, F.round(F.aggregate(flags, F.lit(0), lambda a, x: a + x) / F.size(flags), 4))
-    tier = F.when(F.col("score") <= 0.4999, "low").when(F.col("score") <= 0.7499, "medium").when(F.col("score").isNotNull(), "high")
+    tier = F.when(F.col("score") <= 0.4999, "disagreement").when(F.col("score") <= 0.7499, "partial").when(F.col("score").isNotNull(), "high_confidence")
     return both.withColumn("score", mean).withColumn("tier", tier)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def degrees(edges: DataFrame, least: int = 3) -> DataFrame:
     """(node, degree, is_intersection): ends of edges, parallel ones and loops counted, whatever the direction."""
@@ -25,7 +27,7 @@ def bounded_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFr
         steps = frontier.join(near, frontier["node"] == near["u"]).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("new"))
         steps = steps.filter(F.col("new") <= cutoff).groupBy("source", "node").agg(F.min("new").alias("new"))
         merged = best.join(steps, ["source", "node"], "full").select("source", "node", F.least("dist", "new").alias("dist"), (F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))).alias("better"))
-        merged = merged.checkpoint(eager=True)
+        merged = cut(merged)
         best, frontier = merged.select("source", "node", "dist"), merged.filter("better").select("source", "node", "dist")
         if frontier.isEmpty():
             return best

@@ -7,30 +7,46 @@ handling.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_LAT, METRES_LON, haversine_m
+from ..sources.shared import cut
+
+#: Metres beyond which there is nothing on the globe.
+HALF_ROUND = 2.1e7
+
+
+def _band(lat: Column, radius: float) -> Column:
+    """Band of latitude, a little higher than the radius."""
+    return F.floor(lat / (radius * 1.02 / METRES_LAT))
+
 
+def _cells_around(band: Column, radius: float) -> Column:
+    """Cells around the globe in a band: the most that are wider than the radius in this band and those beside it."""
+    far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(radius * 1.02 / METRES_LAT), F.lit(90.0))
+    width = radius * 1.02 / METRES_LON
+    return F.greatest(F.floor(F.lit(360.0) * F.greatest(F.cos(F.radians(far)), F.lit(0.0)) / width), F.lit(1)).cast("long")
 
-def _cells(df: DataFrame, lat: str, lon: str, radius: float, max_lat: float) -> tuple[Column, Column]:
-    x = radius * 1.02 / (METRES_LON * math.cos(math.radians(max_lat)))
-    return F.floor(df[lon] / x), F.floor(df[lat] / (radius * 1.02 / METRES_LAT))
 
+def _cell(lon: Column, cells: Column) -> Column:
+    return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * cells).cast("long")
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: str = "city", left_at=("lat", "lon"), right_at=("lat", "lon"), max_lat: float = 66.0, prefix: str = "r_") -> DataFrame:
+
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, by: str = "city", left_at=("lat", "lon"), right_at=("lat", "lon"), prefix: str = "r_") -> DataFrame:
     """All pairs of one ``by`` at most ``radius`` metres apart (inclusive), with ``dist``; right columns get ``prefix``.
 
-    Rows without coordinates pair with nothing. ``max_lat`` bounds the latitudes, so that cells are wide enough.
+    Rows without coordinates pair with nothing. Cells go round the globe in bands of latitude, as many in a band as are
+    wider than the radius there, so pairs across the antimeridian and near the poles are found.
     """
-    lx, ly = _cells(left, *left_at, radius, max_lat)
-    a = left.filter(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull()).withColumns({"_cx": lx, "_cy": ly})
-    rx, ry = _cells(right, *right_at, radius, max_lat)
-    b = right.filter(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull())
-    b = b.withColumns({"_x": rx, "_y": ry}).withColumn("_d", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    b = b.select(F.col(by).alias("_by"), (F.col("_x") + F.col("_d.i")).alias("_rx"), (F.col("_y") + F.col("_d.j")).alias("_ry"), *(F.col(c).alias(prefix + c) for c in right.columns))
+    known = lambda df, at: df.filter(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull())
+    a = known(left, left_at).withColumn("_cy", _band(F.col(left_at[0]), radius))
+    a = a.withColumn("_cx", _cell(F.col(left_at[1]), _cells_around(F.col("_cy"), radius)))
+    b = known(right, right_at).withColumn("_y", _band(F.col(right_at[0]), radius))
+    b = b.withColumn("_ry", F.explode(F.array(*(F.col("_y") + j for j in (-1, 0, 1))))).withColumn("_n", _cells_around(F.col("_ry"), radius))
+    around = F.array_distinct(F.array(*(F.pmod(_cell(F.col(right_at[1]), F.col("_n")) + i, F.col("_n")) for i in (-1, 0, 1))))
+    b = b.withColumn("_rx", F.explode(around))
+    b = b.select(F.col(by).alias("_by"), "_rx", "_ry", *(F.col(c).alias(prefix + c) for c in right.columns))
     joined = a.join(b, (a[by] == b["_by"]) & (a["_cx"] == b["_rx"]) & (a["_cy"] == b["_ry"]))
     dist = haversine_m(F.col(left_at[0]), F.col(left_at[1]), F.col(prefix + right_at[0]), F.col(prefix + right_at[1]))
     return joined.withColumn("dist", dist).filter(F.col("dist") <= radius).drop("_cx", "_cy", "_rx", "_ry", "_by")
@@ -73,36 +89,33 @@ def nearest_within(points: DataFrame, features: DataFrame, key: list[str], featu
 def knn(points: DataFrame, k: int, point_id: str = "point_id", by: str = "city", first_radius: float = 300.0, others: DataFrame | None = None) -> DataFrame:
     """(by, point_id, neighbour, dist, rank): the ``k`` nearest others of each point, ties to the smaller id.
 
-    Rings of cells: points with k others inside the radius are done, the rest look again in twice the radius, until all
-    points of a city are inside. Without ``others`` a point's own row is left out.
+    Rings of cells: points with k others inside the radius are done, the rest look again in four times the radius. Without ``others`` a point's own row is left out.
     """
     self_join = others is None
     others = points if self_join else others
-    todo, done, radius, world = points, None, first_radius, 2.1e7
     order = Window.partitionBy(by, point_id).orderBy("dist", "neighbour")
+    # Points of a small group are done when they have found all others of it.
+    sizes = others.groupBy(by).agg((F.count(F.lit(1)) - int(self_join)).alias("_all"))
+    todo, done, radius = points.join(sizes, by).filter("_all > 0"), None, first_radius
     while True:
-        pairs = pairs_within(todo, others, min(radius, world)) if radius < 2e5 else _all_pairs(todo, others, by)
+        last = radius > HALF_ROUND
+        pairs = pairs_within(todo, others, min(radius, HALF_ROUND))
         if self_join:
             pairs = pairs.filter(F.col(point_id) != F.col("r_" + point_id))
-        ranked = pairs.select(by, point_id, F.col("r_" + point_id).alias("neighbour"), "dist").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        if radius >= 2e5:
-            return ranked if done is None else done.unionByName(ranked)
-        full = ranked.groupBy(by, point_id).count().filter(F.col("count") >= k).drop("count")
-        part = ranked.join(full, [by, point_id], "left_semi")
+        ranked = pairs.select(by, point_id, "_all", F.col("r_" + point_id).alias("neighbour"), "dist").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        # Each ring is worked out once.
+        ranked = cut(ranked)
+        full = ranked.groupBy(by, point_id).agg(F.count(F.lit(1)).alias("n"), F.max("_all").alias("_all")).filter((F.col("n") >= k) | (F.col("n") >= F.col("_all")) | F.lit(last))
+        part = ranked.join(full, [by, point_id], "left_semi").drop("_all")
         done = part if done is None else done.unionByName(part)
-        todo = todo.join(full, [by, point_id], "left_anti")
+        if last:
+            return done
+        todo = cut(todo.join(full, [by, point_id], "left_anti"))
         if todo.isEmpty():
             return done
         radius *= 4
 
 
-def _all_pairs(points: DataFrame, others: DataFrame, by: str) -> DataFrame:
-    """For the few points whose city has fewer than k others nearby."""
-    b = others.select(F.col(by).alias("_by"), *(F.col(c).alias("r_" + c) for c in others.columns))
-    joined = points.join(b, points[by] == b["_by"]).drop("_by")
-    return joined.withColumn("dist", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-
-
 def outside_buffer(train: DataFrame, test: DataFrame, radius: float, key: list[str]) -> DataFrame:
     """Training rows more than ``radius`` metres (strictly) from every test row."""
     return train.join(pairs_within(train, test, radius).select(*key).distinct(), key, "left_anti")

@@ -22,9 +22,9 @@ def held_out_of(log: DataFrame) -> DataFrame:
 
 
 def first_choice(rows: DataFrame, by: list[str], choice: str, order: list[str]) -> DataFrame:
-    """Of each group the row whose ``choice`` comes first in an order."""
+    """Of each group the row whose ``choice`` comes first in an order; ties go to the least of the other columns."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(choice))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(place))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(place, *(c for c in rows.columns if c not in by)))
     return rows.filter(place > 0).withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 

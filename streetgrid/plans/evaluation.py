@@ -340,6 +340,28 @@ def delong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.delong(_wide(spark, sf_dir), ["seed", "city"], "y_bin", "a", "b")
 
 
+_SEED_MEANS = f"SELECT 0 AS seed, city, point_id, max(y_bin) AS y_bin, avg(CASE WHEN backbone = 'siglip' THEN score END) AS a, avg(CASE WHEN backbone = 'clip' THEN score END) AS b FROM ({_P}) GROUP BY city, point_id"
+
+
+@query(
+    "headline_cells",
+    "backbone city mean:f std:f n:i p:f cell",
+    _DELONG.replace(_WIDE, _SEED_MEANS)
+    + f""", s AS ({_auc_sql(_P, _BY)}), c AS (SELECT backbone, city, avg(auroc) AS mean, coalesce(stddev_samp(auroc), 0) AS std, count(auroc) AS n FROM s GROUP BY backbone, city)
+    SELECT c.*, CASE WHEN backbone <> 'siglip' THEN f.p END AS p, printf('%.3f', mean) || CASE WHEN n > 1 THEN ' ± ' || printf('%.3f', std) ELSE '' END || CASE WHEN backbone <> 'siglip' AND f.p < 5e-2 THEN '*' ELSE '' END AS cell FROM c JOIN f USING (city)""",
+)
+def headline_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of each cell over its seeds; a star where the paired test against the frozen backbone has p below 0.05."""
+    rows = metrics.finite(_rows(spark, sf_dir), "y_bin")
+    cells = metrics.auroc(rows, RUN, "y_bin", "score").groupBy("backbone", "city").agg(F.avg("auroc").alias("mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("std"), F.count("auroc").alias("n"))
+    pick = lambda b: F.avg(F.when(F.col("backbone") == b, F.col("score")))
+    means = rows.groupBy("city", "point_id").agg(F.max("y_bin").alias("y_bin"), pick("siglip").alias("a"), pick("clip").alias("b"))
+    tests = inference.delong(means, ["city"], "y_bin", "a", "b").select("city", "p")
+    found = cells.join(tests, "city").withColumn("p", F.when(F.col("backbone") != "siglip", F.col("p")))
+    spread = F.when(F.col("n") > 1, F.format_string(" ± %.3f", "std")).otherwise("")
+    return found.withColumn("cell", F.concat(F.format_string("%.3f", "mean"), spread, F.when(F.col("p") < 0.05, "*").otherwise("")))
+
+
 @query("holm", "seed:i city p:f p_holm:f", _DELONG + ", q AS (SELECT *, row_number() OVER (ORDER BY p, seed, city) - 1 AS k, count(*) OVER () AS m FROM f) SELECT seed, city, p, least(max((m - k) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS p_holm FROM q")
 def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One family of all tests; a row for each run pair."""

@@ -89,7 +89,8 @@ SELECT doc_id AS seq, CAST(floor(doc_id / 4e0) AS BIGINT) % 230 AS point_id,
               ', crosswalk=', CASE n_chars % 3 WHEN 0 THEN 'present' WHEN 1 THEN 'absent' ELSE 'unknown' END,
               ', traffic=', CASE n_chars % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'med' WHEN 2 THEN 'high' ELSE 'unknown' END,
               ', tree_canopy=', CASE n_chars % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'sparse' WHEN 2 THEN 'moderate' WHEN 3 THEN 'dense' ELSE 'unknown' END,
-              ', land_use=', CASE n_chars % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'commercial|residential' ELSE 'unknown' END) AS answer
+              ', land_use=', CASE n_chars % 3 WHEN 0 THEN 'residential' WHEN 1 THEN 'commercial|residential' ELSE 'unknown' END,
+              ', transit_stop=', CASE n_chars % 7 WHEN 0 THEN 'present' WHEN 1 THEN 'absent' WHEN 2 THEN 'absent' ELSE 'unknown' END) AS answer
 FROM documents
 """,
     "fx_ext_labels": """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
 import uuid
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import geo
 from ..operators import features, metrics, models, tables
 from ..sources import files
+from ..sources.shared import new_path
 from ..streaming import jobs
 from .fixtures import load
 from .registry import query
@@ -21,12 +21,6 @@ from .registry import query
 KEY = ["city", "point_id"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streetgrid-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _COMP = "SELECT city, point_id, avg(sidewalk_frac) AS walk, ln(1 + greatest(avg(sidewalk_width_px), 0)) AS width, avg(vegetation_frac) AS trees FROM fx_mask_stats GROUP BY city, point_id"
 COMPONENTS = ["walk", "width", "trees"]
 
@@ -124,10 +118,10 @@ def dimension_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "group_summaries",
     "city heading:i n:i mean:f pop:f samp:f least_:f most:f n_wide:i always_zero:i bg_r2:f",
-    "SELECT city, heading, count(*) AS n, avg(vegetation_frac) AS mean, stddev_pop(vegetation_frac) AS pop, stddev_samp(vegetation_frac) AS samp, min(vegetation_frac) AS least_, max(vegetation_frac) AS most, count(CASE WHEN sidewalk_width_px > 150 THEN 1 END) AS n_wide, CASE WHEN max(abs(crosswalk_frac - crosswalk_frac)) = 0 THEN 1 ELSE 0 END AS always_zero, 1 - avg(power(vegetation_frac - sidewalk_frac * 4, 2)) / var_pop(vegetation_frac) AS bg_r2 FROM fx_mask_stats GROUP BY city, heading",
+    "SELECT city, heading, count(*) AS n, avg(vegetation_frac) AS mean, stddev_pop(vegetation_frac) AS pop, stddev_samp(vegetation_frac) AS samp, min(vegetation_frac) AS least_, max(vegetation_frac) AS most, count(CASE WHEN sidewalk_width_px > 150 THEN 1 END) AS n_wide, CASE WHEN max(abs(coalesce(CASE WHEN city = 'dc' THEN 0e0 ELSE sidewalk_width_px END, 0))) = 0 THEN 1 ELSE 0 END AS always_zero, 1 - avg(power(vegetation_frac - sidewalk_frac * 4, 2)) / var_pop(vegetation_frac) AS bg_r2 FROM fx_mask_stats GROUP BY city, heading",
 )
 def group_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "fx_mask_stats").withColumn("zero", F.col("crosswalk_frac") - F.col("crosswalk_frac"))
+    m = load(spark, sf_dir, "fx_mask_stats").withColumn("zero", F.when(F.col("city") == "dc", 0.0).otherwise(F.coalesce("sidewalk_width_px", F.lit(0.0))))
     v, by = F.col("vegetation_frac"), ["city", "heading"]
     stats = m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("pop"), F.stddev_samp(v).alias("samp"), F.min(v).alias("least_"), F.max(v).alias("most"), F.count_if(F.col("sidewalk_width_px") > 150).alias("n_wide"), (F.max(F.abs("zero")) == 0).cast("int").alias("always_zero"))
     fit = metrics.regression_errors(m.withColumn("p", F.col("sidewalk_frac") * 4), by, "vegetation_frac", "p")
@@ -282,7 +276,7 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_roundtrip", "format n:i total:f", " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS n, sum(lat + lon + point_id) AS total FROM fx_points" for f in ("csv", "jsonl", "geojson", "parquet_wkb", "by_city")))
 def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points written in each format and read back; a broken JSON line drops out."""
-    p, out = load(spark, sf_dir, "fx_points"), scratch(spark, "roundtrip")
+    p, out = load(spark, sf_dir, "fx_points"), new_path(spark, "roundtrip")
     p.write.option("header", True).csv(f"{out}/csv")
     lines = p.select(F.to_json(F.struct("point_id", "lat", "lon")).alias("value"))
     lines.unionByName(p.limit(1).select(F.lit('{"point_id": 1, "lat": ').alias("value"))).write.text(f"{out}/jsonl")
@@ -312,7 +306,7 @@ def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_run_log", "backbone train_city test_city ablation run_index auroc:f", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY backbone, train_city, test_city, ablation ORDER BY ts DESC, run_index DESC) AS r FROM fx_run_log) WHERE r = 1")
 def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log arrives as files; the latest run of each cell is kept up to date."""
-    out = scratch(spark, "stream-runs")
+    out = new_path(spark, "stream-runs")
     load(spark, sf_dir, "fx_run_log").repartition(3).write.parquet(f"{out}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
     return jobs.latest_runs(stream, f"{out}/out").select("backbone", "train_city", "test_city", "ablation", "run_index", "auroc")
@@ -321,7 +315,7 @@ def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_dedup", "event_id n:i", "SELECT event_id, 1 AS n FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping fetches of events; each key comes through once."""
-    out = scratch(spark, "stream-dedup")
+    out = new_path(spark, "stream-dedup")
     e = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     e.unionByName(e.filter("event_id % 3 = 0")).repartition(2).write.parquet(f"{out}/in")
     stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{out}/in")
@@ -332,7 +326,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_windows", "start event_type n:i", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and kind, counted as they arrive."""
-    out = scratch(spark, "stream-windows")
+    out = new_path(spark, "stream-windows")
     load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(2).write.parquet(f"{out}/in")
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(f"{out}/in")
     name = f"w{uuid.uuid4().hex}"

@@ -81,12 +81,6 @@ def log_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("backbone", "test_city", "b.auroc", "b.run_index", F.date_format("b.ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("headline_cells", "backbone test_city mean:f std:f n:i cell", f"SELECT *, printf('%.3f', mean) || ' ± ' || printf('%.3f', std) || CASE WHEN n >= 5 THEN '*' ELSE '' END AS cell FROM (SELECT backbone, test_city, avg(auroc) AS mean, coalesce(stddev_samp(auroc), 0) AS std, count(*) AS n FROM ({_LATEST}) GROUP BY backbone, test_city)")
-def headline_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = runlog.latest(_log(spark, sf_dir)).groupBy("backbone", "test_city").agg(F.avg("auroc").alias("mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("std"), F.count(F.lit(1)).alias("n"))
-    return cells.withColumn("cell", F.concat(F.format_string("%.3f ± %.3f", "mean", "std"), F.when(F.col("n") >= 5, "*").otherwise("")))
-
-
 @query("resume_set", "city point_id", "SELECT p.city, p.point_id FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM fx_captions c WHERE c.city = p.city AND c.point_id = p.point_id AND c.answer NOT LIKE '%sidewalk=unknown%')")
 def resume_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that have no good caption yet."""

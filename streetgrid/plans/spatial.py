@@ -225,17 +225,7 @@ _PATHS = """WITH RECURSIVE e AS (SELECT u, v, min(length) AS length FROM fx_edge
 @query("bounded_paths", "source:i node:i dist:f", _PATHS + " SELECT source, node, dist FROM d WHERE node <> source")
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = load(spark, sf_dir, "fx_points").select(F.col("osmid").alias("node"))
-    return graph.bounded_paths(load(spark, sf_dir, "fx_edges"), _checked(sources), 400.0).filter("node <> source")
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    """The session has a checkpoint folder; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streetgrid-"))
-    return df
+    return graph.bounded_paths(load(spark, sf_dir, "fx_edges"), sources, 400.0).filter("node <> source")
 
 
 @query(
@@ -250,7 +240,7 @@ def _checked(df: DataFrame) -> DataFrame:
 def graph_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "fx_points")
     values = points.join(load(spark, sf_dir, "fx_mask_stats"), KEY).groupBy(F.col("osmid").alias("node")).agg(F.avg("sidewalk_frac").alias("sidewalk"))
-    paths = graph.bounded_paths(load(spark, sf_dir, "fx_edges"), _checked(points.select(F.col("osmid").alias("node"))), 400.0)
+    paths = graph.bounded_paths(load(spark, sf_dir, "fx_edges"), points.select(F.col("osmid").alias("node")), 400.0)
     return graph.network_features(paths, values, 8, ["sidewalk"], 400.0)
 
 

@@ -172,16 +172,16 @@ def _sql_field(field: str, name: str | None = None) -> str:
     return f"CASE WHEN {got} IN ({allowed}) THEN {got} ELSE 'unknown' END AS {field}"
 
 
-_CAP = "SELECT *, " + ", ".join([_sql_field("sidewalk"), _sql_field("crosswalk"), _sql_field("traffic_volume", "traffic"), _sql_field("tree_canopy")]) + ", CASE _L WHEN 'residential' THEN 'residential' WHEN 'commercial|residential' THEN 'residential|commercial' ELSE 'unknown' END AS land_use".replace("_L", _FIELD.replace("FIELD", "land_use")) + " FROM fx_captions"
+_CAP = "SELECT *, " + ", ".join([_sql_field("sidewalk"), _sql_field("crosswalk"), _sql_field("traffic_volume", "traffic"), _sql_field("tree_canopy"), _sql_field("transit_stop")]) + ", CASE _L WHEN 'residential' THEN 'residential' WHEN 'commercial|residential' THEN 'residential|commercial' ELSE 'unknown' END AS land_use".replace("_L", _FIELD.replace("FIELD", "land_use")) + " FROM fx_captions"
 
 
-@query("caption_parse", "seq sidewalk traffic_volume land_use n_keys:i", f"SELECT seq, {_FIELD.replace('FIELD', 'sidewalk')} AS sidewalk, {_FIELD.replace('FIELD', 'traffic')} AS traffic_volume, {_FIELD.replace('FIELD', 'land_use')} AS land_use, 5 AS n_keys FROM fx_captions")
+@query("caption_parse", "seq sidewalk traffic_volume land_use n_keys:i", f"SELECT seq, {_FIELD.replace('FIELD', 'sidewalk')} AS sidewalk, {_FIELD.replace('FIELD', 'traffic')} AS traffic_volume, {_FIELD.replace('FIELD', 'land_use')} AS land_use, 6 AS n_keys FROM fx_captions")
 def caption_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = text.parse_answer(F.col("answer"))
     return load(spark, sf_dir, "fx_captions").select("seq", *(m[f].alias(f) for f in ("sidewalk", "traffic_volume", "land_use")), F.size(m).alias("n_keys"))
 
 
-@query("caption_validate", "seq sidewalk crosswalk traffic_volume tree_canopy land_use canonical", f"SELECT *, concat('sidewalk=', sidewalk, ', crosswalk=', crosswalk, ', bike_lane=unknown, transit_stop=unknown, traffic_volume=', traffic_volume, ', tree_canopy=', tree_canopy, ', lighting=unknown, maintenance=unknown, land_use=', land_use, ', barriers=unknown') AS canonical FROM ({_CAP})")
+@query("caption_validate", "seq sidewalk crosswalk traffic_volume tree_canopy land_use canonical", f"SELECT *, concat('sidewalk=', sidewalk, ', crosswalk=', crosswalk, ', bike_lane=unknown, traffic=', traffic_volume, ', tree_canopy=', tree_canopy, ', land_use=', land_use, ', transit_stop=', transit_stop, ', lighting=unknown, maintenance=unknown, barriers=unknown') AS canonical FROM ({_CAP})")
 def caption_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.validated(load(spark, sf_dir, "fx_captions")).select("seq", "sidewalk", "crosswalk", "traffic_volume", "tree_canopy", "land_use", "canonical")
 
@@ -196,7 +196,7 @@ def _code(field: str) -> str:
     f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY city, point_id ORDER BY seq) AS f, row_number() OVER (PARTITION BY city, point_id ORDER BY seq DESC) AS l FROM ({_CAP})),
     k AS (SELECT *, 'first' AS keep FROM c WHERE f = 1 UNION ALL SELECT *, 'last' FROM c WHERE l = 1)
     SELECT city, point_id, keep, seq, {_code("sidewalk")} AS sidewalk_code, {_code("traffic_volume")} AS traffic_volume_code, CASE WHEN land_use LIKE '%residential%' THEN 1 ELSE 0 END AS use_residential, CASE WHEN land_use LIKE '%commercial%' THEN 1 ELSE 0 END AS use_commercial,
-    u AS unknown_count, 1 - u / 8e0 AS known_fraction FROM (SELECT *, 4 + (CASE WHEN sidewalk = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN crosswalk = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN traffic_volume = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN tree_canopy = 'unknown' THEN 1 ELSE 0 END) AS u FROM k)""",
+    u AS unknown_count, 1 - u / 8e0 AS known_fraction FROM (SELECT *, 3 + (CASE WHEN transit_stop = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN sidewalk = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN crosswalk = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN traffic_volume = 'unknown' THEN 1 ELSE 0 END) + (CASE WHEN tree_canopy = 'unknown' THEN 1 ELSE 0 END) AS u FROM k)""",
 )
 def caption_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both readings of repeated captions: the first record and the last."""
@@ -228,7 +228,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn("cost", (F.col("prompt_tokens") * 2.5 + F.col("completion_tokens") * 10.0) / 1e6 * 0.5)
 
 
-_ROLL = "SELECT city, point_id, avg(sidewalk_frac) AS sw, avg(crosswalk_frac) AS cw, avg(vegetation_frac) AS veg FROM fx_mask_stats GROUP BY city, point_id"
+_ROLL = "SELECT city, point_id, max(sidewalk_frac) AS sw, max(crosswalk_frac) AS cw, avg(vegetation_frac) AS veg FROM fx_mask_stats GROUP BY city, point_id"
 
 
 def _null_code(field: str) -> str:
@@ -236,28 +236,33 @@ def _null_code(field: str) -> str:
 
 
 _SCORE = f"""WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city, point_id ORDER BY seq DESC) AS l FROM ({_CAP})) WHERE l = 1), m AS ({_ROLL}),
+  p AS (SELECT DISTINCT a.city, a.point_id FROM fx_points a JOIN fx_stops b ON a.city = b.city AND b.location_type <= 1 AND {hav("a", "b", "stop_lat", "stop_lon")} <= 400),
   q AS (SELECT quantile_cont(veg, 2e-1) AS q1, quantile_cont(veg, 5e-1) AS q2, quantile_cont(veg, 8e-1) AS q3 FROM m),
   f AS (SELECT c.city, c.point_id, CASE WHEN abs({_null_code("sidewalk")} - CASE WHEN sw < 2e-2 THEN 0 WHEN sw >= 95e-3 THEN 2 ELSE 1 END) <= 1 THEN 1 WHEN {_null_code("sidewalk")} IS NULL THEN NULL ELSE 0 END AS f1,
     CASE WHEN {_null_code("crosswalk")} IS NULL THEN NULL WHEN {_null_code("crosswalk")} = CASE WHEN cw > 2e-2 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS f2,
-    CASE WHEN {_null_code("tree_canopy")} IS NULL THEN NULL WHEN abs({_null_code("tree_canopy")} - CASE WHEN veg < q1 THEN 0 WHEN veg < q2 THEN 1 WHEN veg < q3 THEN 2 ELSE 3 END) <= 1 THEN 1 ELSE 0 END AS f3
-    FROM c JOIN m ON m.city = c.city AND m.point_id = c.point_id CROSS JOIN q),
+    CASE WHEN {_null_code("tree_canopy")} IS NULL THEN NULL WHEN abs({_null_code("tree_canopy")} - CASE WHEN veg <= q1 THEN 0 WHEN veg <= q2 THEN 1 WHEN veg <= q3 THEN 2 ELSE 3 END) <= 1 THEN 1 ELSE 0 END AS f3,
+    CASE WHEN {_null_code("transit_stop")} IS NULL THEN NULL WHEN {_null_code("transit_stop")} = CASE WHEN p.city IS NOT NULL THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS f4
+    FROM c JOIN m ON m.city = c.city AND m.point_id = c.point_id LEFT JOIN p ON p.city = c.city AND p.point_id = c.point_id CROSS JOIN q),
   s AS (SELECT *, round((coalesce(f1, 0) + coalesce(f2, 0) + coalesce(f3, 0)) / CAST(nullif((CASE WHEN f1 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN f2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN f3 IS NULL THEN 0 ELSE 1 END), 0) AS DOUBLE), 4) AS score FROM f),
-  t AS (SELECT *, CASE WHEN score <= 4999e-4 THEN 'low' WHEN score <= 7499e-4 THEN 'medium' WHEN score IS NOT NULL THEN 'high' END AS tier FROM s)"""
+  t AS (SELECT *, CASE WHEN score <= 4999e-4 THEN 'disagreement' WHEN score <= 7499e-4 THEN 'partial' WHEN score IS NOT NULL THEN 'high_confidence' END AS tier FROM s)"""
 
 
 def _scored(spark, sf_dir):
     captions = tables.keep_one(agreement.validated(load(spark, sf_dir, "fx_captions")), KEY, [F.desc("seq")])
-    return agreement.score(captions, agreement.mask_codes(tables.heading_rollup(load(spark, sf_dir, "fx_mask_stats"))), KEY)
+    stops = load(spark, sf_dir, "fx_stops").filter("location_type <= 1")
+    near_stops = near.count_and_sum(load(spark, sf_dir, "fx_points"), stops, KEY, {"400": 400.0}, right_at=("stop_lat", "stop_lon"))
+    masks = tables.heading_rollup(load(spark, sf_dir, "fx_mask_stats")).join(near_stops.withColumnRenamed("n_400", "stops_400m"), KEY)
+    return agreement.score(captions, agreement.mask_codes(masks), KEY)
 
 
-@query("agreement_score", "city point_id score:f tier", _SCORE + " SELECT city, point_id, score, tier FROM t")
+@query("agreement_score", "city point_id ok_sidewalk:i ok_crosswalk:i ok_tree_canopy:i ok_transit_stop:i score:f tier", _SCORE + " SELECT city, point_id, f1 AS ok_sidewalk, f2 AS ok_crosswalk, f3 AS ok_tree_canopy, f4 AS ok_transit_stop, score, tier FROM t")
 def agreement_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select(*KEY, "score", "tier")
+    return _scored(spark, sf_dir).select(*KEY, *(f"ok_{f}" for f in (*agreement.PAIRS, agreement.REPORTED)), "score", "tier")
 
 
-@query("agreement_summary", "city n:i mean:f std:f median:f n_high:i rate_sidewalk:f", _SCORE + " SELECT coalesce(city, 'all') AS city, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS std, quantile_cont(score, 5e-1) AS median, count(CASE WHEN tier = 'high' THEN 1 END) AS n_high, avg(f1) AS rate_sidewalk FROM t GROUP BY GROUPING SETS ((city), ())")
+@query("agreement_summary", "city n:i mean:f std:f median:f n_high:i rate_sidewalk:f", _SCORE + " SELECT coalesce(city, 'all') AS city, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS std, quantile_cont(score, 5e-1) AS median, count(CASE WHEN tier = 'high_confidence' THEN 1 END) AS n_high, avg(f1) AS rate_sidewalk FROM t GROUP BY GROUPING SETS ((city), ())")
 def agreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _scored(spark, sf_dir).groupingSets([[F.col("city")], []], F.col("city")).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.percentile("score", 0.5).alias("median"), F.count_if(F.col("tier") == "high").alias("n_high"), F.avg("ok_sidewalk").alias("rate_sidewalk"))
+    found = _scored(spark, sf_dir).groupingSets([[F.col("city")], []], F.col("city")).agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.percentile("score", 0.5).alias("median"), F.count_if(F.col("tier") == "high_confidence").alias("n_high"), F.avg("ok_sidewalk").alias("rate_sidewalk"))
     return found.fillna("all", ["city"])
 
 

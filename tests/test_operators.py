@@ -1,13 +1,14 @@
 """Corner cases and known values that the tables do not hold."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streetgrid.functions import geo, text
-from streetgrid.operators import geometry, graph, inference, metrics, models, near, runlog
+from streetgrid.operators import agreement, geometry, graph, inference, metrics, models, near, runlog
 from streetgrid.sources import files
 
 #: Confusion tables (rows: reference) with published kappa, both areas and raw agreement.
@@ -156,3 +157,62 @@ def test_tree_baselines_have_the_sizes_asked_for(spark, monkeypatch):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(200)], "x double, y double")
     assert models.tree_baselines(df, df, "y", ["x"]).count() == 200
     assert (asked["RandomForestRegressor"]["numTrees"], asked["RandomForestRegressor"]["maxDepth"], asked["GBTRegressor"]["maxIter"]) == (300, 30, 100)
+
+
+def _haversine(a, b):
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371008.8 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+@pytest.mark.parametrize("lat,lon", [(44.9, -93.2), (78.2, 15.6), (-77.8, 166.7), (0.0, 180.0), (65.0, -180.0), (89.9985, 0.0)])
+def test_pairs_within_anywhere(spark, lat, lon):
+    """Every pair, at high latitudes, across the antimeridian and around a pole."""
+    rnd = random.Random(5)
+    wide = 180.0 if lat > 89 else 0.006 / math.cos(math.radians(lat))
+    spots = [(i, min(90.0, lat + rnd.uniform(-0.004, 0.004)), (lon + rnd.uniform(-wide, wide) + 180) % 360 - 180) for i in range(150)]
+    df = spark.createDataFrame([("c", *s) for s in spots], "city string, point_id long, lat double, lon double")
+    found = {(r["point_id"], r["r_point_id"]) for r in near.pairs_within(df, df, 200.0).collect()}
+    assert found == {(a[0], b[0]) for a in spots for b in spots if _haversine(a[1:], b[1:]) <= 200.0}
+    assert len(found) > 200
+
+
+def test_knn_of_small_and_scattered_groups(spark):
+    """Groups with fewer than k others, and others that are a world away, by brute force."""
+    rnd = random.Random(2)
+    rows = [("far", i, rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(12)] + [("two", 1, 0.0, 0.0), ("two", 2, 0.0, 179.0), ("one", 1, 5.0, 5.0)]
+    rows += [("near", i, 10 + i * 1e-4, 20.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "city string, point_id long, lat double, lon double")
+    found = {(r["city"], r["point_id"], r["rank"]): r["neighbour"] for r in near.knn(df, 4).collect()}
+    want = {}
+    for c, i, *at in rows:
+        others = sorted((_haversine(at, r[2:]), r[1]) for r in rows if r[0] == c and r[1] != i)[:4]
+        want |= {(c, i, k): j for k, (_, j) in enumerate(others, 1)}
+    assert found == want
+
+
+def test_sector_and_clips_without_length(spark):
+    """Edges of no length, parallel ones and horizontal ones divide by nothing."""
+    rows = [(0.0, 5.0, 0.0, 5.0), (-1.0, 2.0, 1.0, 2.0), (0.0, 1.0, 0.0, 9.0), (3.0, 3.0, 3.0, 3.0), (20.0, 0.0, 20.0, 9.0)]
+    df = spark.createDataFrame(rows, "x0 double, y0 double, x1 double, y1 double")
+    cs = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    found = df.select(geometry.segment_in_sector(*cs, F.lit(0.0), 15.0, 30.0).alias("hit"), geometry.length_in_circle(*cs, 4.0).alias("m"), geometry.edge_area(*cs, 4.0).alias("a"), geometry.segment_distance(*cs).alias("d")).collect()
+    assert [r["hit"] for r in found] == [True, True, True, False, False]
+    assert [round(r["m"], 6) for r in found] == [0.0, 2.0, 3.0, 0.0, 0.0] and found[0]["a"] == found[3]["a"] == 0.0
+    assert [round(r["d"], 6) for r in found] == [5.0, 2.0, 1.0, round(math.sqrt(18), 6), 20.0]
+
+
+def test_canonical_answer_and_agreement_by_hand(spark):
+    """Expected values worked out from the written rules, not from the SQL."""
+    answer = "traffic=med, sidewalk=one_side, barriers=rail|none, land_use=commercial|residential, transit_stop=present, tree_canopy=dense, crosswalk=absent"
+    rows = agreement.validated(spark.createDataFrame([("c", i, answer) for i in range(5)], "city string, point_id long, answer string"))
+    assert rows.first()["canonical"] == "sidewalk=one_side, crosswalk=absent, bike_lane=unknown, traffic=med, tree_canopy=dense, land_use=residential|commercial, transit_stop=present, lighting=unknown, maintenance=unknown, barriers=none"
+    # Trees 0, .1, .2, .3, .4: cuts at .08, .2 and .32; the third lies on its cut and belongs below.
+    masks = [("c", i, s, x, i / 10, n) for i, (s, x, n) in enumerate([(0.0, 0.0, 0), (0.02, 0.02, 2), (0.095, 0.021, 0), (0.5, 0.5, 1), (0.01, 0.0, 1)])]
+    coded = agreement.mask_codes(spark.createDataFrame(masks, "city string, point_id long, sidewalk_max double, crosswalk_max double, vegetation_mean double, stops_400m long"))
+    found = {r["point_id"]: r for r in agreement.score(rows, coded, ["city", "point_id"]).collect()}
+    code = [[found[i][f"b_{f}"] for i in range(5)] for f in ("sidewalk", "crosswalk", "tree_canopy", "transit_stop")]
+    assert code == [[0, 1, 2, 2, 0], [0, 0, 1, 1, 0], [0, 1, 1, 2, 3], [0, 1, 0, 1, 1]]
+    assert [found[i]["score"] for i in range(5)] == [0.6667, 0.6667, 0.3333, 0.6667, 1.0]
+    assert [found[i]["tier"] for i in range(5)] == ["partial", "partial", "disagreement", "partial", "high_confidence"]
+    assert [found[i]["ok_transit_stop"] for i in range(5)] == [0, 1, 0, 1, 1]
