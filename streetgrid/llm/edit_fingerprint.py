@@ -11,6 +11,7 @@ fingerprints verify them.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, strings
+from .common import add_columns, cut, slices, strings
 from .components import components
 
 #: Positions in a fingerprint, one byte each.
@@ -33,6 +34,8 @@ GRAM = 3
 WALK_CHARS = 6_000_000
 #: With so few texts left, each is walked alone.
 FEW = 8
+#: Fingerprints of one bucket that are compared with another such block in one task, about.
+BLOCK = 8192
 _SEED = 20_240_607
 
 
@@ -217,23 +220,74 @@ def against_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return rows.select("doc_id", "text", "range", "guest").mapInArrow(run, _EDITED)
 
 
-def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 16) -> DataFrame:
-    """(doc_id, group_id) for rows (doc_id, fingerprint): the smallest id that verified likeness reaches.
+def _linked(least: int, columns: list[str]):
+    """For one pair of blocks of a bucket: links (u, v) that join its groups as far as verified likeness does."""
 
-    Fingerprints equal in a whole band of sampled positions are candidates. In each band's group every fingerprint is held
-    against the group's least one, so a group of any size costs its rows; candidates with at least ``least`` equal
-    positions are linked. Equal fingerprints are one from the start. Null ids and fingerprints are left out.
+    def work(rows: pa.Table) -> pa.Table:
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        names, label = np.unique(np.array(rows.column("group").to_pylist(), object), return_inverse=True)
+        block, own = np.array(rows.column("block")), label.copy()
+        u, v = [], []
+        for r in np.flatnonzero(block == i):
+            others = np.flatnonzero((label != label[r]) & (block == j))
+            near = others[(prints[others] == prints[r]).sum(axis=1) >= least]
+            # Each group once: what is linked now is one group from here on, so links stay fewer than rows.
+            found, first = np.unique(label[near], return_index=True)
+            u += [names[own[r]]] * len(found)
+            v += [names[k] for k in own[near[first]]]
+            label[np.isin(label, found)] = label[r]
+        return pa.table([pa.array(u, pa.string()), pa.array(v, pa.string())], names=columns)
+
+    return work
+
+
+def groups(prints: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
+    """(fingerprint, group_id) for each different fingerprint of rows (doc_id, fingerprint).
+
+    ``group_id`` is the smallest id that links reach; a link joins fingerprints with at least ``least`` equal positions, and
+    equal ones are one from the start. It is null where no row of the group has an id; null fingerprints are left out.
+
+    Fingerprints equal in a whole band of sampled positions are candidates. More bands than positions may differ are needed
+    (else ValueError), so that every link has a band in common. Each band's bucket is first held against its least
+    fingerprint, which costs its rows. Where the rest of a bucket is still in several groups, it is compared block by block,
+    each row sent once for each block of the bucket; a task holds two blocks, whatever the bucket.
     """
-    known = prints.filter("doc_id is not null and fingerprint is not null")
-    classes = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    need = math.ceil(least * SAMPLES - 1e-9)
+    if SAMPLES % bands or SAMPLES - need >= bands:
+        raise ValueError(f"{bands} bands of {SAMPLES} positions cannot find every link of {least}")
+    classes = cut(prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
     width = 2 * SAMPLES // bands
-    each = classes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    each = classes.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
     each = each.withColumn("value", F.substring(F.col("fingerprint"), F.col("band") * width + 1, F.lit(width)))
-    hubs = each.groupBy("band", "value").agg(F.min("fingerprint").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = each.join(hubs, ["band", "value"]).filter("fingerprint <> hub").select("fingerprint", "hub").distinct()
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.substring(F.col("fingerprint"), i * 2 + 1, F.lit(2)) == F.substring(F.col("hub"), i * 2 + 1, F.lit(2))))
-    links = pairs.filter(equal >= least * SAMPLES)
-    ends = links.join(classes.withColumnRenamed("rep", "u"), "fingerprint").drop("fingerprint").join(classes.select(F.col("fingerprint").alias("hub"), F.col("rep").alias("v")), "hub")
-    reached = components(ends.select("u", "v"))
-    named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("group_id"))
-    return known.select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "group_id")
+    hubs = each.groupBy("band", "value").agg(F.min("fingerprint").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spokes = cut(each.join(hubs, ["band", "value"]).filter("fingerprint <> hub"))
+    at = lambda c, i: F.substring(F.col(c), i * 2 + 1, F.lit(2))
+    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: at("fingerprint", i) == at("hub", i)))
+    links = spokes.select("fingerprint", "hub").distinct().filter(equal >= need).select(F.col("fingerprint").alias("u"), F.col("hub").alias("v"))
+    near_hubs = cut(components(links))
+    # The hubs are done; of the rest, only buckets of several groups can hold a link that is not known.
+    rest = spokes.filter("n > 2").drop("hub", "n").join(near_hubs.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    rest = rest.withColumn("group", F.coalesce("component", "fingerprint"))
+    open_ = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a < b")
+    rest = rest.join(open_.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "value"])
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", "value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "group", F.unhex("fingerprint").alias("print"))
+    more = rest.groupBy("band", "value", "i", "j").applyInArrow(_linked(need, ["u", "v"]), "u string, v string")
+    reached = components(near_hubs.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    named = classes.join(reached.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("group_id"))
+    return named.select("fingerprint", "component").join(least_id, "component").select("fingerprint", "group_id")
+
+
+def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
+    """(doc_id, group_id) for rows (doc_id, fingerprint) with both, by ``groups``; rows without id take part in links."""
+    named = groups(prints, least, bands, block)
+    return prints.filter("doc_id is not null").select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "group_id")
+
+
+def with_groups(rows: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
+    """Rows with the ``group_id`` of their fingerprint; rows are computed once, and kept in the shared folder."""
+    rows = cut(rows)
+    return rows.join(groups(rows, least, bands, block), "fingerprint", "left").select(*rows.columns, "group_id")

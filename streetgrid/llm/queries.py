@@ -53,8 +53,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text and of its edit with the next document."""
-    return edit_fingerprint.against_next(table(spark, sf_dir, "documents"))
+    """Fingerprints of every whole text and of its edit with the next document, and the group of near fingerprints."""
+    return edit_fingerprint.with_groups(edit_fingerprint.against_next(table(spark, sf_dir, "documents")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from streetgrid.llm import edit_fingerprint as ef
 from streetgrid.llm.common import table
@@ -45,6 +46,18 @@ def test_likeness_falls_with_edits():
     assert like[0] == 1 and like[1] > 0.6 and 0.2 < like[2] < 0.8 and like[3] < 0.2
 
 
+def plain_groups(rows, least=52):
+    """Every fingerprint against every other one."""
+    ids, prints = [i for i, _ in rows], np.array([list(bytes.fromhex(p)) for _, p in rows])
+    group = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in np.flatnonzero((prints[i] == prints).sum(axis=1) >= least):
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    least_id = {g: min((i for i, h in zip(ids, group, strict=True) if h == g and i is not None), default=None) for g in set(group)}
+    return {i: least_id[g] for i, g in zip(ids, group, strict=True) if i is not None}
+
+
 def expected(rows):
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []
@@ -59,7 +72,9 @@ def expected(rows):
 
 def test_op7_query(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").collect()]
-    assert sorted(map(tuple, op7_fingerprints(spark, sf_dir).collect()), key=str) == expected(rows)
+    found = op7_fingerprints(spark, sf_dir)
+    assert sorted((tuple(r)[:-1] for r in found.collect()), key=str) == expected(rows)
+    assert dict(found.select("doc_id", "group_id").collect()) == plain_groups([(r[0], r[3]) for r in expected(rows)])
 
 
 def test_odd_rows(spark):
@@ -79,3 +94,37 @@ def test_bands_link_near_and_equal_texts(spark):
     rows = [*enumerate(texts), (10, texts[2]), (11, texts[3][:900] + "!" + texts[3][900:]), (12, None), (None, texts[0])]
     groups = {r["doc_id"]: r["group_id"] for r in ef.near_groups(ef.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert groups == {**{i: i for i in range(6)}, 10: 2, 11: 3, 12: 12}
+
+
+def test_groups_lose_no_link_between_pages_of_a_template(spark):
+    """Pages some 0.7 alike with pairs above 0.8 among them: most buckets hold fingerprints that are not near the least one."""
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(3):
+        page = [rnd.randint(1, 128) for _ in range(64)]
+        for _ in range(25):
+            own = [x if rnd.random() < 0.8 else rnd.randint(1, 128) for x in page]
+            for changed in (0, rnd.randint(8, 16)):
+                at = set(rnd.sample(range(64), changed))
+                rows.append((len(rows), bytes(rnd.randint(1, 128) if i in at else x for i, x in enumerate(own)).hex()))
+    rows += [(1000 + i, rows[7][1]) for i in range(40)] + [(None, rows[9][1]), (None, "00" * 64)]
+    want = plain_groups(rows)
+    assert 20 < len(set(want.values())) < 140
+    frame = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    for block in (2, 10_000):
+        assert dict(ef.near_groups(frame, block=block).collect()) == want
+    # Two fingerprints equal in 52 positions, with four others the least ones of the bands they share.
+    a = bytes([5] * 52 + [7] * 12)
+    b = bytes([5] * 52 + [9] * 12)
+    least = [bytes([1] * (4 * k) + [5] * (52 - 4 * k) + [1] * 12) for k in range(10, 13)]
+    pair = [(50, a.hex()), (40, b.hex()), *((i, p.hex()) for i, p in enumerate(least))]
+    assert dict(ef.near_groups(spark.createDataFrame(pair, "doc_id long, fingerprint string")).collect()) == plain_groups(pair)
+
+
+def test_groups_of_odd_rows(spark):
+    frame = spark.createDataFrame([(None, "00" * 64), (3, None), (5, "05" * 64), (5, "06" * 64), (5, "05" * 64), (4, "05" * 64)], "doc_id long, fingerprint string")
+    assert sorted(map(tuple, ef.near_groups(frame).collect())) == [(4, 4), (5, 4), (5, 4), (5, 5)]
+    assert sorted(map(tuple, ef.with_groups(frame).collect()), key=str) == sorted([(None, "00" * 64, None), (3, None, None), (4, "05" * 64, 4), (5, "05" * 64, 4), (5, "05" * 64, 4), (5, "06" * 64, 5)], key=str)
+    assert ef.near_groups(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        ef.near_groups(frame, least=0.7)
