@@ -220,24 +220,24 @@ def against_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return rows.select("doc_id", "text", "range", "guest").mapInArrow(run, _EDITED)
 
 
-def _linked(least: int, columns: list[str]):
+def _linked(least: int):
     """For one pair of blocks of a bucket: links (u, v) that join its groups as far as verified likeness does."""
 
     def work(rows: pa.Table) -> pa.Table:
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         prints = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        names, label = np.unique(np.array(rows.column("group").to_pylist(), object), return_inverse=True)
-        block, own = np.array(rows.column("block")), label.copy()
+        own, block = np.array(rows.column("group")), np.array(rows.column("block"))
+        label = own.copy()
         u, v = [], []
         for r in np.flatnonzero(block == i):
             others = np.flatnonzero((label != label[r]) & (block == j))
             near = others[(prints[others] == prints[r]).sum(axis=1) >= least]
             # Each group once: what is linked now is one group from here on, so links stay fewer than rows.
             found, first = np.unique(label[near], return_index=True)
-            u += [names[own[r]]] * len(found)
-            v += [names[k] for k in own[near[first]]]
+            u += [own[r]] * len(found)
+            v += own[near[first]].tolist()
             label[np.isin(label, found)] = label[r]
-        return pa.table([pa.array(u, pa.string()), pa.array(v, pa.string())], names=columns)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return work
 
@@ -256,38 +256,34 @@ def groups(prints: DataFrame, least: float = 0.8, bands: int = 16, block: int =
     need = math.ceil(least * SAMPLES - 1e-9)
     if SAMPLES % bands or SAMPLES - need >= bands:
         raise ValueError(f"{bands} bands of {SAMPLES} positions cannot find every link of {least}")
-    classes = cut(prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep")))
-    width = 2 * SAMPLES // bands
-    each = classes.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    each = each.withColumn("value", F.substring(F.col("fingerprint"), F.col("band") * width + 1, F.lit(width)))
-    hubs = each.groupBy("band", "value").agg(F.min("fingerprint").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spokes = cut(each.join(hubs, ["band", "value"]).filter("fingerprint <> hub"))
-    at = lambda c, i: F.substring(F.col(c), i * 2 + 1, F.lit(2))
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: at("fingerprint", i) == at("hub", i)))
-    links = spokes.select("fingerprint", "hub").distinct().filter(equal >= need).select(F.col("fingerprint").alias("u"), F.col("hub").alias("v"))
-    near_hubs = cut(components(links))
+    classes = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    # Numbers are stored with their fingerprints, so buckets are pairs of two numbers; only candidates get their bytes back.
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), F.unhex("fingerprint").alias("print"), "rep"))
+    width = SAMPLES // bands
+    each = classes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("print", k * width + 1, width)) for k in range(bands)))).alias("key"))
+    hubs = each.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spokes = cut(each.join(hubs, "key").filter("node <> hub"))
+    known = classes.select("node", "print")
+    pairs = spokes.select("node", "hub").distinct().join(known, "node").join(known.select(F.col("node").alias("hub"), F.col("print").alias("other")), "hub")
+    at = lambda c, i: F.substring(F.col(c), i + 1, F.lit(1))
+    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: at("print", i) == at("other", i)))
+    near_hubs = cut(components(pairs.filter(equal >= need).select(F.col("node").alias("u"), F.col("hub").alias("v"))))
     # The hubs are done; of the rest, only buckets of several groups can hold a link that is not known.
-    rest = spokes.filter("n > 2").drop("hub", "n").join(near_hubs.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    rest = rest.withColumn("group", F.coalesce("component", "fingerprint"))
-    open_ = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a < b")
-    rest = rest.join(open_.select("band", "value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "value"])
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    rest = spokes.filter("n > 2").drop("hub", "n").join(near_hubs, "node", "left")
+    rest = rest.withColumn("group", F.coalesce("component", "node"))
+    unsettled = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a < b")
+    rest = rest.join(unsettled.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(known, "node")
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", "value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "group", F.unhex("fingerprint").alias("print"))
-    more = rest.groupBy("band", "value", "i", "j").applyInArrow(_linked(need, ["u", "v"]), "u string, v string")
+    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "group", "print")
+    more = rest.groupBy("key", "i", "j").applyInArrow(_linked(need), "u long, v long")
     reached = components(near_hubs.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    named = classes.join(reached.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("group_id"))
-    return named.select("fingerprint", "component").join(least_id, "component").select("fingerprint", "group_id")
+    return named.select(F.lower(F.hex("print")).alias("fingerprint"), "component").join(least_id, "component").select("fingerprint", "group_id")
 
 
 def near_groups(prints: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
     """(doc_id, group_id) for rows (doc_id, fingerprint) with both, by ``groups``; rows without id take part in links."""
     named = groups(prints, least, bands, block)
     return prints.filter("doc_id is not null").select("doc_id", "fingerprint").join(named, "fingerprint").select("doc_id", "group_id")
-
-
-def with_groups(rows: DataFrame, least: float = 0.8, bands: int = 16, block: int = BLOCK) -> DataFrame:
-    """Rows with the ``group_id`` of their fingerprint; rows are computed once, and kept in the shared folder."""
-    rows = cut(rows)
-    return rows.join(groups(rows, least, bands, block), "fingerprint", "left").select(*rows.columns, "group_id")

@@ -53,8 +53,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text and of its edit with the next document, and the group of near fingerprints."""
-    return edit_fingerprint.with_groups(edit_fingerprint.against_next(table(spark, sf_dir, "documents")))
+    """Fingerprints of every whole text and of its edit with the next document."""
+    return edit_fingerprint.against_next(table(spark, sf_dir, "documents"))
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near fingerprints of every whole text; operator 7 as well, in a query of its own."""
+    prints = cut(edit_fingerprint.fingerprint(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return edit_fingerprint.near_groups(prints)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
+    "near_fingerprints": near_fingerprints,
 }
 
 _OP9_SQL = r"""
