@@ -216,3 +216,21 @@ def test_canonical_answer_and_agreement_by_hand(spark):
     assert [found[i]["score"] for i in range(5)] == [0.6667, 0.6667, 0.3333, 0.6667, 1.0]
     assert [found[i]["tier"] for i in range(5)] == ["partial", "partial", "disagreement", "partial", "high_confidence"]
     assert [found[i]["ok_transit_stop"] for i in range(5)] == [0, 1, 0, 1, 1]
+
+
+def test_report_tables_on_few_rows(spark):
+    from streetgrid.operators import reports
+
+    said = spark.createDataFrame([("a", "worse"), ("a", "better"), ("b", "worse"), ("b", "inconclusive"), ("c", "equivalent"), ("d", "inconclusive")], "k string, v string")
+    assert {r["k"]: r["overall"] for r in reports.overall_verdict(said, ["k"], "v").collect()} == {"a": "mixed", "b": "not_better_with_inconclusive", "c": "not_better", "d": "inconclusive"}
+    one = spark.createDataFrame([("x", 1, 0.5, 1.0), ("x", 1, 0.7, None), ("y", 1, 0.2, 1.0), ("y", 2, 0.4, 3.0), ("y", 3, None, 2.0)], "k string, g int, s double, t double")
+    assert {r["k"]: (r["n_groups"], r["r2"] is None) for r in reports.group_rollup(one, ["k"], "g", "t", "s").collect()} == {"x": (1, True), "y": (2, False)}
+    rows = spark.createDataFrame([("c", i, i * 37 % 50) for i in range(25)] + [("d", i, 0) for i in range(5)], "k string, i int, o int")
+    # 0.7 * 5 is 3.5 and rounds to 4; 0.7 * 25 is 17.5 and rounds to 18.
+    split = reports.split_share(rows, ["k"], F.col("o"), "i", 0.7, 10).filter("is_train = 1").groupBy("k").count()
+    assert {r["k"]: r["count"] for r in split.collect()} == {"c": 18, "d": 4}
+    assert reports.split_share(rows.limit(0), ["k"], F.col("o"), "i", 0.7, 10).count() == 0
+    top = reports.top_values(spark.createDataFrame([("b",), ("a",), (None,), (None,), ("c",), ("c",)], "v string"), [], "v", 2)
+    assert sorted((r["place"], r["v"], r["n"]) for r in top.collect()) == [(1, "c", 2), (2, "a", 1)]
+    gone = reports.fallback_rate(spark.createDataFrame([("p", i) for i in range(100)], "k string, i int"), spark.createDataFrame([(i,) for i in range(99)], "i int"), ["k"], "i").first()
+    assert (gone["n_in_graph"], gone["fallback_pct"], gone["rebuild"]) == (99, 1.0, 1)
