@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, jaccard, mixing, neighbours, quality, token_files, toxicity, unigram, url_filter
+from . import bpe, edit_fingerprint, jaccard, mixing, neighbours, periodic, quality, token_files, toxicity, unigram, url_filter
 from .common import cut, new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text, every tenth with a tail that repeats, and what is left of it, as digests."""
+    made = periodic.collapse_runs(periodic.with_periodic_tail(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    made = made.withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return made.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -93,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
     "near_fingerprints": near_fingerprints,
 }
 
