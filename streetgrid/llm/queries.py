@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, jaccard, mixing, neighbours, periodic, quality, token_files, toxicity, unigram, url_filter
+from . import bpe, edit_fingerprint, jaccard, mixing, neighbours, periodic, quality, spelling, token_files, toxicity, unigram, url_filter
 from .common import cut, new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -99,6 +99,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all whole texts, some with a letter deleted."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling": op12_spelling,
     "near_fingerprints": near_fingerprints,
 }
 
