@@ -7,6 +7,8 @@ from collections.abc import Callable
 #: Chunks that one generation of a task's memory holds; when it is full it becomes the old one, from which chunks that
 #: come again are taken over. Results never depend on it.
 CACHE_CHUNKS = 300_000
+#: The same where a value takes some 300 bytes, so that two workers of an executor hold under 100 MB.
+REMEMBERED = 80_000
 #: Longer chunks are not remembered.
 LONGEST = 48
 

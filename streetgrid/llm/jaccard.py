@@ -16,6 +16,7 @@ Frequencies are counted over all documents, for a fixed part of all tokens that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import ChunkCache
 from .common import add_columns, cut, new_path, slices
 from .components import components
 
@@ -33,7 +33,7 @@ FIRST_TIMES = 1.6
 #: Sets that share a prefix token are listed as pairs where so many sets have the token at most; beyond, they are one part.
 RARE = 32
 #: Tokens and sets that a block of a part may hold, about; larger parts are compared block by block.
-BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 4096
+BLOCK_TOKENS, BLOCK_SETS = 1 << 19, 4096
 #: Bits of the map by which texts that take no part are left out before the others are dealt; 8 MB, whatever the corpus.
 TEXT_MAP_BITS = 1 << 26
 #: Bits of the parity maps by which unlike pairs are told without reading their sets.
@@ -53,13 +53,12 @@ class Shingler:
 
     def __init__(self, words: int):
         self._n = words
-        self._hash = ChunkCache(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self._hash.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = min(self._n, len(h))
         rows = len(h) - n + 1
         out = np.full(rows, n, np.uint64)
@@ -270,6 +269,25 @@ def listed_links(sets: list[np.ndarray], partners: list[list[int]], num: int, de
             yield i, np.array(others)[den * both >= num * (total - both)]
 
 
+class _Row(NamedTuple):
+    """A set at the place where it is compared."""
+
+    place: tuple
+    key: int
+    side: int
+    rep: int
+    copies: int
+    partners: np.ndarray | None
+    prefix0: np.ndarray | None
+    prefix1: np.ndarray | None
+    members: np.ndarray
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The rows of a list column as arrays of their own, without nulls inside."""
+    return [None if not x.is_valid else x.values.drop_null().to_numpy(zero_copy_only=False).copy() for x in column]
+
+
 _FOUND = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -281,7 +299,7 @@ def _verify(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """
     columns = [*_PLACE, "key", "side", "partners", "prefix0", "prefix1", "rep", "copies", "text"]
 
-    def links(rows: list[dict]) -> Iterator[tuple]:
+    def links(rows: list[_Row]) -> Iterator[tuple]:
         if len(rows) < 2:
             return
         root = list(range(len(rows)))
@@ -291,19 +309,18 @@ def _verify(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 root[a] = a = root[root[a]]
             return a
 
-        copies = np.array([r["copies"] for r in rows])
+        copies = np.array([r.copies for r in rows])
         count = np.zeros(len(rows), np.int64)
-        sets = [r["members"] for r in rows]
-        if rows[0]["partners"] is not None:
-            at = {r["key"]: i for i, r in enumerate(rows)}
-            found = listed_links(sets, [[at[k] for k in r["partners"]] for r in rows], num, den)
+        sets = [r.members for r in rows]
+        if rows[0].partners is not None:
+            at = {r.key: i for i, r in enumerate(rows)}
+            found = listed_links(sets, [[at[k] for k in r.partners.tolist()] for r in rows], num, den)
         else:
-            sides = np.array([r["side"] for r in rows])
+            sides = np.array([r.side for r in rows])
             # Pairs of one side belong to the block itself, where they are counted.
-            if rows[0]["i"] != rows[0]["j"] and sides.min() == sides.max():
+            if rows[0].place[2] != rows[0].place[3] and sides.min() == sides.max():
                 return
-            prefixes = [[np.array(r[p], np.int64) for r in rows] for p in ("prefix0", "prefix1")]
-            found = linked(sides, sets, prefixes, num, den)
+            found = linked(sides, sets, [[r.prefix0 for r in rows], [r.prefix1 for r in rows]], num, den)
         for i, others in found:
             count[i] += copies[others].sum()
             count[others] += copies[i]
@@ -311,23 +328,27 @@ def _verify(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 a, b = find(i), find(int(k))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    yield rows[i]["rep"], rows[k]["rep"], None
+                    yield rows[i].rep, rows[k].rep, None
         for i in np.flatnonzero(count):
-            yield rows[i]["rep"], None, int(count[i])
+            yield rows[i].rep, None, int(count[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        held: list[dict] = []
+        held: list[_Row] = []
         out: list[tuple] = []
         for batch in batches:
             for part in slices(batch):
-                for row in part.to_pylist():
-                    if held and any(held[0][g] != row[g] for g in _PLACE):
+                column = lambda name: part.column(columns.index(name))  # noqa: E731, B023
+                places = list(zip(*(column(c).to_pylist() for c in _PLACE), strict=True))
+                keys, sides, reps, copies = (column(c).to_pylist() for c in ("key", "side", "rep", "copies"))
+                arrays = [_arrays(column(c)) for c in ("partners", "prefix0", "prefix1")]
+                for k, place in enumerate(places):
+                    if held and held[0].place != place:
                         out += links(held)
                         held = []
-                    members = shingles(row.pop("text"))
-                    if _key(members) == row["key"] and not (held and held[-1]["key"] == row["key"]):
-                        held.append(row | {"members": members})
+                    members = shingles(column("text")[k].as_py())
+                    if _key(members) == keys[k] and not (held and held[-1].key == keys[k]):
+                        held.append(_Row(place, keys[k], sides[k], reps[k], copies[k], *(a[k] for a in arrays), members))
                 if len(out) > 10_000:
                     yield _rows(out)
                     out = []

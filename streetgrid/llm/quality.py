@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import ChunkCache
+from .chunk_cache import REMEMBERED, ChunkCache
 from .common import add_columns, new_path, strings
 from .labelled import first_of_each, labelled_sample, learnable
 
@@ -73,7 +73,7 @@ class TextView:
     size = WORDS + SHAPES + 2
 
     def __init__(self):
-        self._of = ChunkCache(_buckets).__getitem__
+        self._of = ChunkCache(_buckets, REMEMBERED).__getitem__
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """One row for each text; an empty text has zeros."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import CACHE_CHUNKS
+from .chunk_cache import REMEMBERED
 from .common import add_columns, strings
 from .labelled import held_out, labelled_sample
 
@@ -77,7 +77,7 @@ class Words:
         self._markers: list[int] = []
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._number) > CACHE_CHUNKS:
+        if len(self._number) > REMEMBERED:
             self.__init__()
         return [np.fromiter(map(self._of, t.split()), np.int32) for t in texts]
 
