@@ -9,18 +9,31 @@ from streetgrid.llm.common import new_path, table
 from streetgrid.llm.queries import WORD_BPE
 
 
+#: Rows of an Arrow batch; with Spark's 10,000, a batch of whole texts takes some 100 MB in each of a task's two processes.
+BATCH_ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of bounded rows where they are as large as Spark has them by itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(_bounded(spark), sf_dir, "labels"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic."""
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, table(_bounded(spark), sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8 or more."""
+    _bounded(spark)
     return jaccard.keep_one(docs, words=5, num=80, den=100)
 
 
@@ -31,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, with doc_id, source and lang."""
+    _bounded(spark)
     return bpe.encode(docs, WORD_BPE, keep=["doc_id", "source", "lang"])
 
 
