@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .chunk_cache import ChunkCache, chunks
+from .chunk_cache import REMEMBERED, ChunkCache, chunks
 from .common import add_columns, lists, strings
 
 #: A word's last symbol is another symbol than the same letter inside; it is held as one character in this private range.
@@ -127,7 +127,7 @@ class PrefixBpe:
         self._automaton = SuffixAutomaton(usable)
         self._whole = usable
         self._len_of = {i: len(s) for s, i in usable.items()}
-        self._of_piece = ChunkCache(self._encode_piece)
+        self._of_piece = ChunkCache(self._encode_piece, REMEMBERED)
 
     def _symbols(self, token: str) -> str:
         """A vocabulary entry as one character for each symbol."""

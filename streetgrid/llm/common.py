@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -62,10 +64,19 @@ def add_columns(
             for part in slices(batch):
                 made = work(*(part.column(needed.index(c)) for c in inputs))
                 yield pa.RecordBatch.from_arrays([*(part.column(needed.index(c)) for c in kept), *made], names=names)
+        del work
+        release()
 
     return df.select(*(df[c] for c in needed)).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give free memory back to the system: Python's workers live on after a task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of a column; null is empty."""
     return ["" if x is None else x for x in column.to_pylist()]

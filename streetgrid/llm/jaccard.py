@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, new_path, slices
+from .common import add_columns, cut, new_path, release, slices
 from .components import components
 
 #: The tokens that come first in every order, rare before frequent, are so many times what a prefix takes of all.
@@ -353,8 +353,10 @@ def _verify(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     yield _rows(out)
                     out = []
         out += links(held)
+        held = []
         if out:
             yield _rows(out)
+        release()
 
     def _rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v", "n"])
