@@ -1,37 +1,152 @@
 """Resampling inference: bootstraps by points and by cells, paired tests, corrections and verdicts.
 
-Replicates are drawn by a fixed integer rule, so that every engine and every run draws the same. A drawn row becomes a
-weight, so points are joined once for each replicate and the weighted metrics rank them.
+A replicate gives every unit (a point or a cell) a Poisson weight of mean 1, which is what drawing n of n units with
+replacement tends to. The weight is a fixed function of unit and replicate, so it is worked out beside each row, in any
+engine alike: no draw is a row, nothing is joined or broadcast, and rows of one unit agree wherever they lie.
+
+Areas of all replicates come from one pass over rows in order of score: tasks sum blocks of rows, and blocks are then
+strung together by carried sums. No task holds more than a block.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metrics
 
-
-def draw(rep: Column, i: Column, n: Column) -> Column:
-    """The row, 0 to n - 1, that draw ``i`` of replicate ``rep`` takes."""
-    return F.pmod(rep * 1103515245 + i * 12345 + F.pmod((rep + 1) * (i + 7), F.lit(65537)) * 40503, n)
-
-
-def hashed_draw(rep: Column, i: Column, n: Column) -> Column:
-    """As ``draw``, by a hash. ``draw``, whose factors all divide by 3, reaches only every third row where 3 divides n."""
-    return F.pmod(F.xxhash64(rep, i), n)
-
-
-def weights(units: DataFrame, by: list[str], index: str, replicates: int, rule=draw) -> DataFrame:
-    """(*by, rep, index, w): how often each unit, numbered from 0 in its group, is drawn in each replicate."""
-    sizes = units.groupBy(*by).agg((F.max(index) + 1).alias("n"))
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    draws = reps.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return draws.groupBy(*by, "rep", rule(F.col("rep"), F.col("i"), F.col("n")).alias(index)).agg(F.count(F.lit(1)).alias("w"))
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "idx") -> DataFrame:
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+#: Weights come from squares modulo a prime; what a unit and a replicate are multiplied with. Fixed values.
+PRIME, OF_UNIT, OF_REPLICATE = 2147483647, 48271, 69621
+#: Borders of the weights 0, 1, 2, ... on the scale of the prime.
+BORDERS = [math.ceil(PRIME * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(10)]
+#: Rows of a block, and (row, replicate) pairs that a task works on at once.
+BLOCK_ROWS, AT_ONCE = 1 << 15, 1 << 21
+
+
+def replicate_weights(units: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Weights of units (numbers below ``PRIME``) in replicates ``first`` to ``last`` - 1: one row for each unit."""
+    u, r = units.astype(np.int64)[:, None], np.arange(first, last, dtype=np.int64)[None, :]
+    x0 = (u * OF_UNIT + r * OF_REPLICATE + 12345) % PRIME
+    x = (x0 * x0 + u) % PRIME
+    x = (x * x + r) % PRIME
+    x = (x * x + x0) % PRIME
+    return np.searchsorted(np.array(BORDERS), x, side="right").astype(np.float64)
+
+
+def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, replicates: int) -> list[tuple[float, bool, np.ndarray]]:
+    """Sums of a block in order of score: its first score's rows, those between, its last score's rows.
+
+    Each piece is (least score, one score only, sums); sums are the replicates' positive weights, negative weights, and
+    pairs of a positive above a negative (half where they tie), which are left to later where the score is one only.
+    """
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    cuts = [0] if len(starts) == 1 else [0, *([starts[1]] if len(starts) > 2 else []), starts[-1]]
+    out = [np.zeros((3, replicates)) for _ in cuts]
+    step = max(1, AT_ONCE // len(score))
+    for k in range(0, replicates, step):
+        w = replicate_weights(units, k, min(k + step, replicates))
+        p, n = np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w * (1 - y)[:, None], starts)
+        below = np.cumsum(n, axis=0) - n / 2
+        bounds = np.searchsorted(starts, [*cuts, len(score)])
+        for sums, i, j in zip(out, bounds[:-1], bounds[1:], strict=True):
+            before = n[:i].sum(axis=0)
+            sums[0, k : k + step], sums[1, k : k + step] = p[i:j].sum(axis=0), n[i:j].sum(axis=0)
+            sums[2, k : k + step] = (p[i:j] * (below[i:j] - before)).sum(axis=0)
+    return [(float(score[c]), j - i == 1, sums) for c, i, j, sums in zip(cuts, bounds[:-1], bounds[1:], out, strict=True)]
+
+
+_PIECE = [T.StructField("_score", T.DoubleType()), T.StructField("_sums", T.BinaryType())]
+
+
+def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Column, replicates: int, name: str = "auroc") -> DataFrame:
+    """(*by, rep, area under the ROC curve) of every replicate; null where it has one class only.
+
+    ``unit`` numbers what is drawn. Rows are range-partitioned by group and score, ties spread by their unit; what comes
+    back of a block are three sums for each replicate.
+    """
+    key = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by))
+    rows = metrics.finite(df, y, score).select(*by, key.alias("_key"), F.col(score).cast("double").alias("_s"), (F.col(y) == 1).cast("double").alias("_y"), F.pmod(unit.cast("long"), F.lit(PRIME)).alias("_u"))
+    rows = rows.repartitionByRange(*by, "_s", "_u").sortWithinPartitions("_key", "_s")
+    fields = [rows.schema[c] for c in by]
+    names = [*by, "_score", "_sums"]
+
+    def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = pa.Table.from_batches(held)
+            keys = block.column("_key").to_numpy()
+            edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            values = [block.column(c).to_numpy() for c in ("_s", "_y", "_u")]
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = _pieces(*(v[i:j] for v in values), replicates)
+                group = [pa.array([block.column(c)[i].as_py()] * len(found), block.schema.field(c).type) for c in by]
+                yield pa.RecordBatch.from_arrays([*group, pa.array([f[0] for f in found], pa.float64()), pa.array([f[2].tobytes() for f in found], pa.binary())], names=names)
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(k, BLOCK_ROWS)
+                if held and sum(b.num_rows for b in held) + part.num_rows > BLOCK_ROWS:
+                    yield from flush()
+                    held = []
+                held.append(part)
+        if held:
+            yield from flush()
+
+    blocks = rows.mapInArrow(sum_blocks, T.StructType([*fields, *_PIECE]))
+
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = at = None
+        total, same = np.zeros((3, replicates)), np.zeros((3, replicates))
+
+        def close(group: tuple) -> pa.RecordBatch:
+            _string(total, same)
+            p, n, pairs = total
+            values = [v if ok else None for v, ok in zip((pairs / np.maximum(p * n, 1)).tolist(), (p * n > 0).tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*(pa.array([g] * replicates, t) for g, t in zip(group, types, strict=True)), pa.array(np.arange(replicates)), pa.array(values, pa.float64())], names=[*by, "rep", name])
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            for g, s, raw in zip(groups, batch.column("_score").to_pylist(), batch.column("_sums").to_pylist(), strict=True):
+                sums = np.frombuffer(raw).reshape(3, replicates)
+                if group is not None and g != group:
+                    yield close(group)
+                    total, same = np.zeros((3, replicates)), np.zeros((3, replicates))
+                elif group is not None and s != at:
+                    _string(total, same)
+                    same = np.zeros((3, replicates))
+                # Pieces of one score add up and tie with each other.
+                pairs = same[2] + sums[2] + (same[0] * sums[1] + same[1] * sums[0]) / 2
+                same = np.stack([same[0] + sums[0], same[1] + sums[1], pairs])
+                group, at = g, s
+        if group is not None:
+            yield close(group)
+
+    strung = blocks.repartition(*by).sortWithinPartitions(*by, "_score") if by else blocks.coalesce(1).sortWithinPartitions("_score")
+    return strung.mapInArrow(string, T.StructType([*fields, T.StructField("rep", T.LongType()), T.StructField(name, T.DoubleType())]))
+
+
+def _string(total: np.ndarray, same: np.ndarray) -> None:
+    """Put sums of higher scores behind those of all lower ones."""
+    total[2] += same[2] + same[0] * total[1]
+    total[0] += same[0]
+    total[1] += same[1]
+
+
+def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], unit: Column, replicates: int) -> DataFrame:
+    """(*by, rep, m_<score> for each of ``scores``): areas of all replicates, on the same weights. Rows of one unit go together."""
+    rows, out = metrics.finite(df, y, *scores), None
+    for s in scores:
+        found = replicate_areas(rows, by, y, s, unit, replicates, name=f"m_{s}")
+        out = found if out is None else out.join(found, [*by, "rep"])
+    return out
 
 
 def interval(values: DataFrame, by: list[str], value: str, prefix: str = "") -> DataFrame:
@@ -48,29 +163,6 @@ def settled_interval(values: DataFrame, rows: DataFrame, by: list[str], value: s
     return found.withColumns(ends | {"mean": F.when(enough, F.col("mean")), "n": F.when(enough, F.coalesce("n", F.lit(0))).otherwise(0)}).drop("_rows")
 
 
-def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], order: list[str], replicates: int, metric=metrics.auroc, rule=draw) -> DataFrame:
-    """(*by, rep, one value for each of ``scores``) on the same draws."""
-    rows = numbered(metrics.finite(df, y, *scores), by, order)
-    drawn = weights(rows, by, "idx", replicates, rule).join(rows, [*by, "idx"])
-    out = None
-    for s in scores:
-        found = metric(drawn, [*by, "rep"], y, s, "w", name=f"m_{s}")
-        out = found if out is None else out.join(found, [*by, "rep"])
-    return out
-
-
-def block_bootstrap(df: DataFrame, by: list[str], cell: list[str], y: str, scores: list[str], replicates: int, metric=metrics.auroc, rule=draw) -> DataFrame:
-    """As ``bootstrap``, drawing whole cells; every group of rows has its cells numbered in order."""
-    rows = metrics.finite(df, y, *scores)
-    rows = rows.withColumn("idx", (F.dense_rank().over(Window.partitionBy(*by).orderBy(*cell)) - 1).cast("long"))
-    drawn = weights(rows.select(*by, "idx"), by, "idx", replicates, rule).join(rows, [*by, "idx"])
-    out = None
-    for s in scores:
-        found = metric(drawn, [*by, "rep"], y, s, "w", name=f"m_{s}")
-        out = found if out is None else out.join(found, [*by, "rep"])
-    return out
-
-
 def paired_p(diff: Column) -> Column:
     """Two-sided share of replicates on the other side of 0, as an aggregate."""
     share = lambda c: F.avg(c.cast("double"))

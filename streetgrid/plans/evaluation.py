@@ -10,8 +10,7 @@ from .fixtures import load
 from .registry import query
 
 RUN = ["backbone", "seed", "city"]
-#: Draws of the queries that SQL repeats, and of the whole queries: their replicates, and how many must be known for an interval by points and by cells.
-REPLICATES = 20
+#: Replicates of the bootstraps, and how many must be known for an interval by points and by cells.
 WHOLE, LEAST_POINTS, LEAST_CELLS = 1000, 100, 50
 _P = "SELECT backbone, seed, city, point_id, y_bin, y_reg, score FROM fx_predictions WHERE y_bin IS NOT NULL"
 
@@ -182,139 +181,124 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("city", "point_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_seeds"), F.count_distinct("backbone").alias("_b")).filter("_b = 2").drop("_b")
 
 
-def _boot_sql(source: str, by: str, order: str, scores: list[str], number: str = "row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1", y: str = "y_bin") -> str:
-    """CTEs: r (numbered rows), w (weights), and one m_<score> for each score: (by, rep, auroc)."""
-    first = by.split(", ")
-    match = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in first)
-    ctes = f"""r AS (SELECT *, {number.format(by=by, order=order)} AS idx FROM ({source})), z AS (SELECT {by}, max(idx) + 1 AS n FROM r GROUP BY {by}),
-    w AS (SELECT {by}, rep, idx, count(*) AS w FROM (SELECT {by}, rep, (rep * 1103515245 + i * 12345 + ((rep + 1) * (i + 7)) % 65537 * 40503) % n AS idx FROM (SELECT z.*, rep, unnest(range(0, n)) AS i FROM z, range(0, {REPLICATES}) q(rep))) GROUP BY ALL),
-    d AS (SELECT r.*, w.rep, CAST(w.w AS DOUBLE) AS wt FROM w JOIN r ON {match("w", "r")} AND w.idx = r.idx)"""
-    for s in scores:
-        ctes += f", m_{s} AS ({_auc_sql('SELECT * FROM d', by + ', rep', 'wt', y, s)})"
-    return ctes
+def _weighted(source: str, unit: str) -> str:
+    """SQL: rows of ``source`` once for each replicate, with the weight w of their unit."""
+    p = inference.PRIME
+    weight = " + ".join(f"CAST(x >= {border} AS INT)" for border in inference.BORDERS)
+    x0 = f"SELECT *, (u * {inference.OF_UNIT} + rep * {inference.OF_REPLICATE} + 12345) % {p} AS x0 FROM (SELECT *, (CAST({unit} AS BIGINT) % {p} + {p}) % {p} AS u FROM ({source})) CROSS JOIN range(0, {WHOLE}) q(rep)"
+    x1 = f"SELECT *, (x0 * x0 + u) % {p} AS x1 FROM ({x0})"
+    x2 = f"SELECT *, (x1 * x1 + rep) % {p} AS x2 FROM ({x1})"
+    x3 = f"SELECT *, (x2 * x2 + x0) % {p} AS x FROM ({x2})"
+    return f"SELECT *, CAST({weight} AS DOUBLE) AS w FROM ({x3})"
 
 
-_CI = "quantile_cont(auroc, 25e-3) AS lo, quantile_cont(auroc, 975e-3) AS hi, avg(auroc) AS mean, stddev_samp(auroc) AS std, count(auroc) AS n"
+def _areas(source: str, by: str, unit: str, s: str = "score") -> str:
+    """SQL: (by, rep, auroc) of all replicates."""
+    return _auc_sql(_weighted(source, unit), f"{by}, rep", "w", "y_bin", s)
 
 
-@query("bootstrap_ci", "backbone seed:i city lo:f hi:f mean:f std:f n:i", f"WITH {_boot_sql(_P, _BY, 'point_id', ['score'])} SELECT {_BY}, {_CI} FROM m_score GROUP BY {_BY}")
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = inference.bootstrap(_rows(spark, sf_dir), RUN, "y_bin", ["score"], ["point_id"], REPLICATES)
-    return inference.interval(reps, RUN, "m_score")
+def _settled_sql(values: str, rows: str, by: str, value: str, least: int) -> str:
+    """SQL of the interval with the rules on few rows and few known replicates."""
+    many = f"k >= 30 AND n >= {least}"
+    return f"""SELECT {by}, CASE WHEN {many} THEN l END AS lo, CASE WHEN {many} THEN h END AS hi, CASE WHEN k >= 30 THEN m END AS mean, CASE WHEN {many} THEN d END AS std, CASE WHEN k >= 30 THEN coalesce(n, 0) ELSE 0 END AS n, pv
+    FROM (SELECT {by}, count(*) AS k FROM ({rows}) GROUP BY {by}) LEFT JOIN (SELECT {by}, quantile_cont({value}, 25e-3) AS l, quantile_cont({value}, 975e-3) AS h, avg({value}) AS m, stddev_samp({value}) AS d, count({value}) AS n,
+    least(2 * least(avg(CASE WHEN {value} >= 0 THEN 1e0 WHEN {value} < 0 THEN 0e0 END), avg(CASE WHEN {value} <= 0 THEN 1e0 WHEN {value} > 0 THEN 0e0 END)), 1) AS pv FROM ({values}) GROUP BY {by}) USING ({by})"""
 
 
-_WIDE = f"SELECT seed, city, point_id, max(y_bin) AS y_bin, max(CASE WHEN backbone = 'siglip' THEN score END) AS a, max(CASE WHEN backbone = 'clip' THEN score END) AS b FROM ({_P}) GROUP BY seed, city, point_id"
+_POINT_CI = _settled_sql(_areas(_P, _BY, "point_id"), _P, _BY, "auroc", LEAST_POINTS)
+_CI_COLUMNS = "backbone seed:i city lo:f hi:f mean:f std:f n:i"
 
 
-def _wide(spark, sf_dir):
-    rows = metrics.finite(_rows(spark, sf_dir), "y_bin")
-    pick = lambda b: F.max(F.when(F.col("backbone") == b, F.col("score")))
-    return rows.groupBy("seed", "city", "point_id").agg(F.max("y_bin").alias("y_bin"), pick("siglip").alias("a"), pick("clip").alias("b"))
+def _settled_areas(rows: DataFrame, unit, least: int) -> DataFrame:
+    reps = inference.bootstrap(rows, RUN, "y_bin", ["score"], unit, WHOLE)
+    return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", least)
 
 
-@query(
-    "paired_bootstrap",
-    "seed:i city lo:f hi:f mean:f p:f",
-    f"WITH {_boot_sql(_WIDE, 'seed, city', 'point_id', ['a', 'b'])}, j AS (SELECT seed, city, m_a.auroc - m_b.auroc AS diff FROM m_a JOIN m_b USING (seed, city, rep)) SELECT seed, city, quantile_cont(diff, 25e-3) AS lo, quantile_cont(diff, 975e-3) AS hi, avg(diff) AS mean, least(2 * least(avg(CASE WHEN diff >= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN diff <= 0 THEN 1e0 ELSE 0e0 END)), 1) AS p FROM j GROUP BY seed, city",
-)
-def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = inference.bootstrap(_wide(spark, sf_dir), ["seed", "city"], "y_bin", ["a", "b"], ["point_id"], REPLICATES).withColumn("diff", F.col("m_a") - F.col("m_b"))
-    p = reps.groupBy("seed", "city").agg(inference.paired_p(F.col("diff")).alias("p"))
-    return inference.interval(reps, ["seed", "city"], "diff").select("seed", "city", "lo", "hi", "mean").join(p, ["seed", "city"])
-
-
-_CELLED = f"SELECT p.*, floor(e.lon * 111320e0 * cos(radians(45e0)) / 1000) AS cx, floor(e.lat * 110540e0 / 1000) AS cy FROM ({_P}) p JOIN fx_ext_labels e ON e.label_id = p.point_id"
+@query("bootstrap_ci_1000", _CI_COLUMNS, _POINT_CI)
+def bootstrap_ci_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of each run's area over drawn points."""
+    return _settled_areas(_rows(spark, sf_dir), F.col("point_id"), LEAST_POINTS)
 
 
-def _celled(spark, sf_dir):
-    from ..functions.geo import block_cell
+_WIDE = f"SELECT seed, city, point_id, max(y_bin) AS y_bin, max(CASE WHEN backbone = 'siglip' THEN score END) AS a, max(CASE WHEN backbone = 'clip' THEN score END) AS b FROM ({_P}) GROUP BY seed, city, point_id"
 
-    x, y = block_cell(F.col("lat"), F.col("lon"), F.lit(45.0), 1000.0)
-    return _two(spark, sf_dir).withColumns({"cx": x, "cy": y})
 
+def _wide(spark, sf_dir):
+    rows = metrics.finite(_rows(spark, sf_dir), "y_bin")
+    pick = lambda b: F.max(F.when(F.col("backbone") == b, F.col("score")))
+    return rows.groupBy("seed", "city", "point_id").agg(F.max("y_bin").alias("y_bin"), pick("siglip").alias("a"), pick("clip").alias("b"))
 
-_BLOCK = _boot_sql(_CELLED, _BY, "", ["score"], "dense_rank() OVER (PARTITION BY backbone, seed, city ORDER BY cx, cy) - 1")
 
+def _paired_sql(source: str, unit: str, least: int) -> str:
+    by = "seed, city"
+    gaps = f"SELECT seed, city, rep, x.auroc - z.auroc AS diff FROM ({_areas(source, by, unit, 'a')}) x JOIN ({_areas(source, by, unit, 'b')}) z USING (seed, city, rep)"
+    return _settled_sql(gaps, source, by, "diff", least)
 
-@query("block_bootstrap", "backbone seed:i city lo:f hi:f mean:f std:f n:i n_cells:i", f"WITH {_BLOCK} SELECT {_BY}, m.*, z.n AS n_cells FROM (SELECT {_BY}, {_CI} FROM m_score GROUP BY {_BY}) m JOIN (SELECT backbone, seed, city, n FROM z) z USING (backbone, seed, city)".replace(f"SELECT {_BY}, m.*, z.n", "SELECT m.*, z.n"))
-def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _celled(spark, sf_dir)
-    reps = inference.block_bootstrap(rows, RUN, ["cx", "cy"], "y_bin", ["score"], REPLICATES)
-    cells = rows.groupBy(*RUN).agg(F.count_distinct("cx", "cy").alias("n_cells"))
-    return inference.interval(reps, RUN, "m_score").join(cells, RUN)
 
+def _paired(rows: DataFrame, unit, least: int) -> DataFrame:
+    by = ["seed", "city"]
+    reps = inference.bootstrap(rows, by, "y_bin", ["a", "b"], unit, WHOLE).withColumn("diff", F.col("m_a") - F.col("m_b")).filter("diff IS NOT NULL")
+    found = inference.settled_interval(reps, metrics.finite(rows, "y_bin", "a", "b"), by, "diff", least)
+    p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
+    return found.join(p, by, "left")
 
-@query("ci_width_ratio", "backbone seed:i city width:f naive_width:f ratio:f", f"SELECT backbone, seed, city, b.w AS width, a.w AS naive_width, b.w / nullif(a.w, 0) AS ratio FROM (WITH {_boot_sql(_P, _BY, 'point_id', ['score'])} SELECT {_BY}, quantile_cont(auroc, 975e-3) - quantile_cont(auroc, 25e-3) AS w FROM m_score GROUP BY {_BY}) a JOIN (WITH {_BLOCK} SELECT {_BY}, quantile_cont(auroc, 975e-3) - quantile_cont(auroc, 25e-3) AS w FROM m_score GROUP BY {_BY}) b USING (backbone, seed, city)")
-def ci_width_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    width = lambda reps, name: inference.interval(reps, RUN, "m_score").select(*RUN, (F.col("hi") - F.col("lo")).alias(name))
-    cells = width(inference.block_bootstrap(_celled(spark, sf_dir), RUN, ["cx", "cy"], "y_bin", ["score"], REPLICATES), "width")
-    points = width(inference.bootstrap(_rows(spark, sf_dir), RUN, "y_bin", ["score"], ["point_id"], REPLICATES), "naive_width")
-    return cells.join(points, RUN).withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
 
+@query("paired_bootstrap_1000", "seed:i city lo:f hi:f mean:f std:f n:i p:f", f"SELECT *, CASE WHEN lo IS NOT NULL THEN pv END AS p FROM ({_paired_sql(_WIDE, 'point_id', LEAST_POINTS)})")
+def paired_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of two scores over drawn points."""
+    return _paired(_wide(spark, sf_dir), F.col("point_id"), LEAST_POINTS).withColumn("p", F.when(F.col("lo").isNotNull(), F.col("p")))
 
-# The same with all replicates, drawn by a hash, and the rules on few rows; the SQL stays that of the 20 fixed draws.
 
+_CELLS_SQL = "SELECT label_id AS point_id, CAST(floor(lon * 111320e0 * cos(radians(45e0)) / 1000) AS BIGINT) AS cx, CAST(floor(lat * 110540e0 / 1000) AS BIGINT) AS cy FROM fx_ext_labels"
+_CELLED = f"SELECT p.*, cx, cy FROM ({_P}) p JOIN ({_CELLS_SQL}) e USING (point_id)"
+#: Number of a cell; a point without a place is a cell of its own.
+_CELL_UNIT = "cx * 200003 + cy"
+_ALONE_UNIT = f"CASE WHEN cx IS NULL OR cy IS NULL THEN -1 - point_id ELSE {_CELL_UNIT} END"
+_PAIRED_CELLED = f"SELECT p.*, cx, cy FROM ({_WIDE}) p LEFT JOIN ({_CELLS_SQL}) e USING (point_id)"
 
-def _point_interval(rows: DataFrame) -> DataFrame:
-    reps = inference.bootstrap(rows, RUN, "y_bin", ["score"], ["point_id"], WHOLE, rule=inference.hashed_draw)
-    return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", LEAST_POINTS)
 
+def _cells(spark, sf_dir):
+    from ..functions.geo import block_cell
 
-def _cell_interval(rows: DataFrame) -> DataFrame:
-    reps = inference.block_bootstrap(rows, RUN, ["cx", "cy"], "y_bin", ["score"], WHOLE, rule=inference.hashed_draw)
-    return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", LEAST_CELLS)
+    x, y = block_cell(F.col("lat"), F.col("lon"), F.lit(45.0), 1000.0)
+    return load(spark, sf_dir, "fx_ext_labels").select(F.col("label_id").alias("point_id"), x.cast("long").alias("cx"), y.cast("long").alias("cy"))
 
 
-@query("bootstrap_ci_1000")
-def bootstrap_ci_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _point_interval(_rows(spark, sf_dir))
+def _celled(spark, sf_dir):
+    return metrics.finite(_rows(spark, sf_dir), "y_bin", "score").join(_cells(spark, sf_dir), "point_id")
 
 
-@query("paired_bootstrap_1000")
-def paired_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by, rows = ["seed", "city"], _wide(spark, sf_dir)
-    reps = inference.bootstrap(rows, by, "y_bin", ["a", "b"], ["point_id"], WHOLE, rule=inference.hashed_draw).withColumn("diff", F.col("m_a") - F.col("m_b"))
-    found = inference.settled_interval(reps, metrics.finite(rows, "y_bin", "a", "b"), by, "diff", LEAST_POINTS)
-    p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
-    return found.join(p, by, "left").withColumn("p", F.when(F.col("lo").isNotNull(), F.col("p")))
+_CELL_CI = _settled_sql(_areas(_CELLED, _BY, _CELL_UNIT), _CELLED, _BY, "auroc", LEAST_CELLS)
 
 
-@query("block_bootstrap_1000")
+@query("block_bootstrap_1000", _CI_COLUMNS + " n_cells:i", f"SELECT * FROM ({_CELL_CI}) JOIN (SELECT {_BY}, count(DISTINCT {_CELL_UNIT}) AS n_cells FROM ({_CELLED}) GROUP BY {_BY}) USING ({_BY})")
 def block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.finite(_celled(spark, sf_dir), "y_bin", "score")
+    """Interval of each run's area over drawn cells."""
+    rows = _celled(spark, sf_dir)
     cells = rows.groupBy(*RUN).agg(F.count_distinct("cx", "cy").alias("n_cells"))
-    return _cell_interval(rows).join(cells, RUN)
+    return _settled_areas(rows, F.expr(_CELL_UNIT), LEAST_CELLS).join(cells, RUN)
 
 
-@query("ci_width_ratio_1000")
+@query("ci_width_ratio_1000", "backbone seed:i city width:f naive_width:f ratio:f", f"SELECT {_BY}, c.hi - c.lo AS width, p.hi - p.lo AS naive_width, (c.hi - c.lo) / nullif(p.hi - p.lo, 0) AS ratio FROM ({_CELL_CI}) c JOIN ({_POINT_CI}) p USING ({_BY})")
 def ci_width_ratio_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width of the interval over cells by that over points."""
     width = lambda found, name: found.select(*RUN, (F.col("hi") - F.col("lo")).alias(name))
-    both = width(_cell_interval(_celled(spark, sf_dir)), "width").join(width(_point_interval(_rows(spark, sf_dir)), "naive_width"), RUN)
+    both = width(_settled_areas(_celled(spark, sf_dir), F.expr(_CELL_UNIT), LEAST_CELLS), "width").join(width(bootstrap_ci_1000(spark, sf_dir), "naive_width"), RUN)
     return both.withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
 
 
-def _cells(spark, sf_dir):
-    from ..functions.geo import block_cell
-
-    x, y = block_cell(F.col("lat"), F.col("lon"), F.lit(45.0), 1000.0)
-    return load(spark, sf_dir, "fx_ext_labels").select(F.col("label_id").alias("point_id"), x.alias("cx"), y.alias("cy"))
+_PAIRED_CELLS = f"SELECT *, CASE WHEN n > 0 THEN pv END AS p FROM ({_paired_sql(_PAIRED_CELLED, _ALONE_UNIT, LEAST_CELLS)})"
 
 
-@query("paired_block_bootstrap_1000")
+@query("paired_block_bootstrap_1000", "seed:i city lo:f hi:f mean:f std:f n:i p:f n_cells:i", f"SELECT * FROM ({_PAIRED_CELLS}) JOIN (SELECT seed, city, count(DISTINCT {_ALONE_UNIT}) AS n_cells FROM ({_PAIRED_CELLED}) GROUP BY seed, city) USING (seed, city)")
 def paired_block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two scores over drawn cells; a point without a place is a cell of its own."""
-    by = ["seed", "city"]
     rows = metrics.finite(_wide(spark, sf_dir), "y_bin", "a", "b").join(_cells(spark, sf_dir), "point_id", "left")
-    rows = rows.withColumn("alone", F.when(F.col("cx").isNull() | F.col("cy").isNull(), F.col("point_id")))
-    cell = ["cx", "cy", "alone"]
-    reps = inference.block_bootstrap(rows, by, cell, "y_bin", ["a", "b"], WHOLE, rule=inference.hashed_draw).withColumn("diff", F.col("m_a") - F.col("m_b"))
-    cells = rows.groupBy(*by).agg(F.count_distinct(F.struct(*cell)).alias("n_cells"))
-    p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
-    found = inference.settled_interval(reps, rows, by, "diff", LEAST_CELLS).join(p, by, "left").withColumn("p", F.when(F.col("n") > 0, F.col("p")))
-    return found.join(cells, by)
+    cells = rows.groupBy("seed", "city").agg(F.count_distinct(F.expr(_ALONE_UNIT)).alias("n_cells"))
+    return _paired(rows, F.expr(_ALONE_UNIT), LEAST_CELLS).withColumn("p", F.when(F.col("n") > 0, F.col("p"))).join(cells, ["seed", "city"])
 
 
-@query("equivalence_verdict_1000")
+@query("equivalence_verdict_1000", "seed:i city verdict", f"SELECT seed, city, CASE WHEN lo IS NULL OR hi IS NULL THEN 'inconclusive' WHEN lo > 2e-2 THEN 'better' WHEN hi < -2e-2 THEN 'worse' WHEN lo > -2e-2 AND hi < 2e-2 THEN 'equivalent' WHEN hi < 2e-2 THEN 'not_better' ELSE 'inconclusive' END AS verdict FROM ({_PAIRED_CELLS})")
 def equivalence_verdict_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the interval over cells; better and worse have to clear the margin."""
     found = paired_block_bootstrap_1000(spark, sf_dir)
@@ -340,26 +324,30 @@ def delong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.delong(_wide(spark, sf_dir), ["seed", "city"], "y_bin", "a", "b")
 
 
-_SEED_MEANS = f"SELECT 0 AS seed, city, point_id, max(y_bin) AS y_bin, avg(CASE WHEN backbone = 'siglip' THEN score END) AS a, avg(CASE WHEN backbone = 'clip' THEN score END) AS b FROM ({_P}) GROUP BY city, point_id"
+_SEED_MEANS = f"SELECT 0 AS seed, city, point_id, max(y_bin) AS y_bin, round(avg(CASE WHEN backbone = 'siglip' THEN score END), 9) AS a, round(avg(CASE WHEN backbone = 'clip' THEN score END), 9) AS b FROM ({_P}) GROUP BY city, point_id"
 
 
 @query(
     "headline_cells",
-    "backbone city mean:f std:f n:i p:f cell",
+    "backbone city mean:f std:f n:i lo:f hi:f p:f cell",
     _DELONG.replace(_WIDE, _SEED_MEANS)
-    + f""", s AS ({_auc_sql(_P, _BY)}), c AS (SELECT backbone, city, avg(auroc) AS mean, coalesce(stddev_samp(auroc), 0) AS std, count(auroc) AS n FROM s GROUP BY backbone, city)
-    SELECT c.*, CASE WHEN backbone <> 'siglip' THEN f.p END AS p, printf('%.3f', mean) || CASE WHEN n > 1 THEN ' ± ' || printf('%.3f', std) ELSE '' END || CASE WHEN backbone <> 'siglip' AND f.p < 5e-2 THEN '*' ELSE '' END AS cell FROM c JOIN f USING (city)""",
+    + f""", s AS ({_auc_sql(_P, _BY)}), c AS (SELECT backbone, city, avg(auroc) AS mean, coalesce(stddev_samp(auroc), 0) AS std, count(auroc) AS n FROM s GROUP BY backbone, city), i AS (SELECT backbone, city, avg(lo) AS lo, avg(hi) AS hi FROM ({_POINT_CI}) GROUP BY backbone, city)
+    SELECT c.*, lo, hi, CASE WHEN backbone <> 'siglip' THEN f.p END AS p, printf('%.3f', mean) || CASE WHEN n > 1 THEN ' ± ' || printf('%.3f', std) ELSE '' END || CASE WHEN lo IS NOT NULL THEN ' [' || printf('%.3f', lo) || ', ' || printf('%.3f', hi) || ']' ELSE '' END || CASE WHEN backbone <> 'siglip' AND f.p < 5e-2 THEN '*' ELSE '' END AS cell FROM c JOIN f USING (city) JOIN i USING (backbone, city)""",
 )
 def headline_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area of each cell over its seeds; a star where the paired test against the frozen backbone has p below 0.05."""
+    """Area of each cell over its seeds, the mean of their intervals, and a star where the paired test against the frozen backbone has p below 0.05.
+
+    Mean scores are rounded before they are ranked, so that equal means tie whatever the order of their sums.
+    """
     rows = metrics.finite(_rows(spark, sf_dir), "y_bin")
     cells = metrics.auroc(rows, RUN, "y_bin", "score").groupBy("backbone", "city").agg(F.avg("auroc").alias("mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("std"), F.count("auroc").alias("n"))
-    pick = lambda b: F.avg(F.when(F.col("backbone") == b, F.col("score")))
+    pick = lambda b: F.round(F.avg(F.when(F.col("backbone") == b, F.col("score"))), 9)
     means = rows.groupBy("city", "point_id").agg(F.max("y_bin").alias("y_bin"), pick("siglip").alias("a"), pick("clip").alias("b"))
     tests = inference.delong(means, ["city"], "y_bin", "a", "b").select("city", "p")
-    found = cells.join(tests, "city").withColumn("p", F.when(F.col("backbone") != "siglip", F.col("p")))
+    intervals = bootstrap_ci_1000(spark, sf_dir).groupBy("backbone", "city").agg(F.avg("lo").alias("lo"), F.avg("hi").alias("hi"))
+    found = cells.join(tests, "city").join(intervals, ["backbone", "city"]).withColumn("p", F.when(F.col("backbone") != "siglip", F.col("p")))
     spread = F.when(F.col("n") > 1, F.format_string(" ± %.3f", "std")).otherwise("")
-    return found.withColumn("cell", F.concat(F.format_string("%.3f", "mean"), spread, F.when(F.col("p") < 0.05, "*").otherwise("")))
+    return found.withColumn("cell", F.concat(F.format_string("%.3f", "mean"), spread, F.when(F.col("lo").isNotNull(), F.format_string(" [%.3f, %.3f]", "lo", "hi")).otherwise(""), F.when(F.col("p") < 0.05, "*").otherwise("")))
 
 
 @query("holm", "seed:i city p:f p_holm:f", _DELONG + ", q AS (SELECT *, row_number() OVER (ORDER BY p, seed, city) - 1 AS k, count(*) OVER () AS m FROM f) SELECT seed, city, p, least(max((m - k) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS p_holm FROM q")
@@ -369,16 +357,6 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.holm(tests, "p", ["seed", "city"])
 
 
-@query(
-    "equivalence_verdict",
-    "seed:i city verdict",
-    f"WITH {_boot_sql(_WIDE, 'seed, city', 'point_id', ['a', 'b'])}, j AS (SELECT seed, city, quantile_cont(m_a.auroc - m_b.auroc, 25e-3) AS lo, quantile_cont(m_a.auroc - m_b.auroc, 975e-3) AS hi FROM m_a JOIN m_b USING (seed, city, rep) GROUP BY seed, city) SELECT seed, city, CASE WHEN lo IS NULL OR hi IS NULL THEN 'inconclusive' WHEN lo > 0 THEN 'better' WHEN hi < 0 THEN 'worse' WHEN lo > -2e-2 AND hi < 2e-2 THEN 'equivalent' WHEN hi < 2e-2 THEN 'not_better' ELSE 'inconclusive' END AS verdict FROM j",
-)
-def equivalence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = inference.bootstrap(_wide(spark, sf_dir), ["seed", "city"], "y_bin", ["a", "b"], ["point_id"], REPLICATES).withColumn("diff", F.col("m_a") - F.col("m_b"))
-    return inference.interval(reps, ["seed", "city"], "diff").select("seed", "city", inference.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
-
-
 @query("construct_validity", "backbone city n:i rho:f t:f verdict", f"SELECT backbone, city, n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, CASE WHEN n >= 10 AND rho >= 5e-1 AND rho * sqrt((n - 2) / (1 - rho * rho)) > 196e-2 THEN 'FEATURE' ELSE 'HOLD' END AS verdict FROM (SELECT backbone, coalesce(city, 'all') AS city, n, rho FROM (SELECT backbone, city, count(*) AS n, corr(ra, rb) AS rho FROM ({_ranked('SELECT * FROM fx_predictions WHERE seed = 42', 'backbone, city', 'y_reg', 'score')}) GROUP BY backbone, city UNION ALL SELECT backbone, NULL, count(*), corr(ra, rb) FROM ({_ranked('SELECT * FROM fx_predictions WHERE seed = 42', 'backbone', 'y_reg', 'score')}) GROUP BY backbone))")
 def construct_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation with an outside score, each city and all, for one seed; the test is by its t statistic."""
