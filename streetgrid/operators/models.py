@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -45,11 +45,6 @@ def logistic_probe(train: DataFrame, test: DataFrame, y: str, strengths=(0.1, 1.
     return fitted(train, best, train.count())(test)
 
 
-def ridge_probe(train: DataFrame, test: DataFrame, y: str, alpha: float = 10.0) -> DataFrame:
-    model = LinearRegression(featuresCol="features", labelCol=y, elasticNetParam=0.0, regParam=alpha / max(1, train.count()), standardization=False, solver="normal").fit(train)
-    return model.transform(test)
-
-
 def tree_baselines(train: DataFrame, test: DataFrame, y: str, columns: list[str], seed: int = 42, trees: int = 300, depth: int = 30, rounds: int = 100, round_depth: int = 5) -> DataFrame:
     """Random forest and boosted trees on plain columns: columns ``forest`` and ``boosted``.
 

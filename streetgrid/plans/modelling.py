@@ -211,13 +211,6 @@ def linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auroc(scored, ["run"], "y", "score")
 
 
-@query("ridge_probe")
-def ridge_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _vectors(spark, sf_dir)
-    scored = models.ridge_probe(train, test, "target").withColumn("run", F.lit("ridge"))
-    return metrics.spearman(scored, ["run"], "target", "prediction").join(metrics.regression_errors(scored, ["run"], "target", "prediction"), "run")
-
-
 @query("forest_baseline")
 def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees on place alone, scored on the city left out."""
