@@ -105,12 +105,6 @@ def read_gtfs(spark: SparkSession, folder: str, tables: dict[str, str]) -> dict[
     return {name: read_csv(spark, f"{folder}/{name}.txt", schema) for name, schema in tables.items()}
 
 
-def in_box(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    """Shapes whose stored box (xmin, ymin, xmax, ymax) meets a box; row groups outside are not read. Empty shapes go."""
-    meets = (F.col("xmin") <= east) & (F.col("xmax") >= west) & (F.col("ymin") <= north) & (F.col("ymax") >= south)
-    return df.filter(meets & (F.size("rings") > 0))
-
-
 def decode_points(df: DataFrame, wkb: str = "wkb") -> DataFrame:
     """x and y of point WKB of either byte order, in Arrow batches; null where the bytes are no point."""
     @pandas_udf("struct<x: double, y: double>")
