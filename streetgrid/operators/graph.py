@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from . import near
 
 
 def degrees(edges: DataFrame, least: int = 3) -> DataFrame:
@@ -47,7 +48,39 @@ def network_features(paths: DataFrame, values: DataFrame, k: int, columns: list[
     return out.select("node", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("mean_dist", F.lit(cutoff)).alias("mean_dist"), *(F.coalesce("near_" + c, c).alias("near_" + c) for c in columns))
 
 
-def snap(points: DataFrame, nodes: DataFrame, node_id: str = "osmid") -> DataFrame:
-    """Points whose node is in the graph keep it; ``anchored`` tells. The others are to be placed by a nearest join."""
-    known = nodes.select(F.col("node").alias(node_id)).distinct().withColumn("_in", F.lit(1))
-    return points.join(known, node_id, "left").withColumn("anchored", F.coalesce("_in", F.lit(0))).drop("_in")
+def anchored(points: DataFrame, nodes: DataFrame, by: str = "city", node_id: str = "osmid") -> DataFrame:
+    """Points with the graph node they stand for: ``node``, ``fallback`` (1 where it is the nearest one) and ``unanchored``.
+
+    A point whose own node is in the graph keeps it. Others take the nearest node (ties: the smaller one) of their ``by``;
+    those without coordinates, or whose ``by`` has no node with coordinates, have none. ``points``: by, point_id, node id,
+    lat, lon; ``nodes``: by, node, lat, lon (null for nodes without a place).
+    """
+    known = nodes.select(F.col("node").alias("_node")).distinct()
+    found = points.join(known, points[node_id] == F.col("_node"), "left")
+    away = found.filter("_node IS NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(by, "point_id", "lat", "lon")
+    placed = nodes.filter("lat IS NOT NULL AND lon IS NOT NULL").select(by, F.col("node").alias("point_id"), "lat", "lon")
+    nearest = near.knn(away, 1, by=by, others=placed).select(by, "point_id", F.col("neighbour").alias("_near"))
+    out = found.join(nearest, [by, "point_id"], "left").withColumn("node", F.coalesce("_node", "_near"))
+    return out.withColumns({"fallback": (F.col("_node").isNull() & F.col("_near").isNotNull()).cast("int"), "unanchored": F.col("node").isNull().cast("int")}).drop("_node", "_near")
+
+
+def anchored_features(points: DataFrame, edges: DataFrame, values: DataFrame, key: list[str], columns: list[str], k: int, cutoff: float, node_id: str = "osmid") -> DataFrame:
+    """Features of every point of ``anchored`` from what lies near along the network.
+
+    Neighbours are the other points' nodes within ``cutoff`` of a point's node: their number, mean and largest distance of
+    the ``k`` nearest (ties: smaller node), and means of ``columns`` (of ``values``: key, columns) weighted by
+    1 / max(dist, 1). Points without neighbours, or without a node, have their own values, count 0 and the cutoff as distance.
+    """
+    paths = bounded_paths(edges, points.filter("node IS NOT NULL").select("node").distinct(), cutoff).filter("node <> source")
+    others = points.select(*(F.col(c).alias("_o_" + c) for c in key), F.col(node_id).alias("node")).join(values.select(*(F.col(c).alias("_o_" + c) for c in key), *columns), ["_o_" + c for c in key])
+    reached = points.select(*key, F.col("node").alias("source")).join(paths, "source").join(others, "node")
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(c) == F.col("_o_" + c))
+    ranked = reached.filter(~same).withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("dist", "node")))
+    top = lambda c: F.when(F.col("_r") <= k, c)
+    w = 1.0 / F.greatest(F.col("dist"), F.lit(1.0))
+    found = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_near"), F.avg(top(F.col("dist"))).alias("mean_dist"), F.max(top(F.col("dist"))).alias("max_dist"), *((F.sum(top(w * F.col(c))) / F.sum(top(w))).alias("near_" + c) for c in columns))
+    out = points.join(values, key).join(found, key, "left")
+    far = {c: F.coalesce(c, F.lit(cutoff)) for c in ("mean_dist", "max_dist")}
+    return out.select(*key, "fallback", "unanchored", F.coalesce("n_near", F.lit(0)).alias("n_near"), *(v.alias(c) for c, v in far.items()), *(F.coalesce("near_" + c, c).alias("near_" + c) for c in columns))

@@ -116,6 +116,27 @@ def knn(points: DataFrame, k: int, point_id: str = "point_id", by: str = "city",
         radius *= 4
 
 
+def context_features(points: DataFrame, columns: list[str], k: int, radii: tuple[float, ...] = (200.0, 400.0, 800.0), mean_radius: float = 400.0, by: str = "city") -> DataFrame:
+    """Features of every point (by, point_id, lat, lon, columns) from the others around it.
+
+    Mean and largest distance of its ``k`` nearest, numbers of others within each radius, means of ``columns`` over the
+    nearest, weighted by 1 / max(dist, 1), and their plain means within ``mean_radius`` (its own value where nobody is).
+    A point without others has null distances and its own values.
+    """
+    key = [by, "point_id"]
+    of = points.select(by, F.col("point_id").alias("neighbour"), *(F.col(c).alias("_o_" + c) for c in columns))
+    w = 1.0 / F.greatest(F.col("dist"), F.lit(1.0))
+    nearest = knn(points.select(*key, "lat", "lon"), k, by=by).join(of, [by, "neighbour"]).groupBy(*key)
+    nearest = nearest.agg(F.avg("dist").alias("mean_dist"), F.max("dist").alias("max_dist"), *((F.sum(w * F.col("_o_" + c)) / F.sum(w)).alias("_w_" + c) for c in columns))
+    pairs = pairs_within(points.select(*key, "lat", "lon"), points, max(*radii, mean_radius)).filter("point_id <> r_point_id")
+    inside = F.col("dist") <= mean_radius
+    counts = [F.count_if(F.col("dist") <= r).alias(f"n_{int(r)}m") for r in radii]
+    around = pairs.groupBy(*key).agg(*counts, *(F.avg(F.when(inside, F.col("r_" + c))).alias("_m_" + c) for c in columns))
+    out = points.join(nearest, key, "left").join(around, key, "left")
+    numbers = [F.coalesce(f"n_{int(r)}m", F.lit(0)).alias(f"n_{int(r)}m") for r in radii]
+    return out.select(*key, "mean_dist", "max_dist", *numbers, *(F.coalesce("_w_" + c, c).alias("near_" + c) for c in columns), *(F.coalesce("_m_" + c, c).alias("mean_" + c) for c in columns))
+
+
 def outside_buffer(train: DataFrame, test: DataFrame, radius: float, key: list[str]) -> DataFrame:
     """Training rows more than ``radius`` metres (strictly) from every test row."""
     return train.join(pairs_within(train, test, radius).select(*key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import geometry, graph, near
+from ..operators import features, geometry, graph, near
 from .fixtures import load
 from .registry import hav, query, xy
 
@@ -244,6 +244,55 @@ def graph_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.network_features(paths, values, 8, ["sidewalk"], 400.0)
 
 
+_ANCHORED = """WITH RECURSIVE e AS (SELECT u, v, min(length) AS length FROM fx_edges WHERE u % 17 <> 0 AND v % 17 <> 0 GROUP BY u, v), nodes AS (SELECT u AS n FROM e UNION SELECT v FROM e),
+  placed AS (SELECT city, osmid AS node, lat, lon FROM fx_points WHERE osmid IN (SELECT n FROM nodes)),
+  pt AS (SELECT city, point_id, osmid, CASE WHEN osmid % 51 <> 0 THEN lat END AS lat, CASE WHEN osmid % 51 <> 0 THEN lon END AS lon FROM fx_points),
+  far AS (SELECT * FROM (SELECT a.city, a.point_id, b.node, row_number() OVER (PARTITION BY a.city, a.point_id ORDER BY HAV, b.node) AS r FROM pt a JOIN placed b ON a.city = b.city WHERE a.lat IS NOT NULL AND a.osmid NOT IN (SELECT n FROM nodes)) WHERE r = 1),
+  anc AS (SELECT pt.city, pt.point_id, osmid, CASE WHEN osmid IN (SELECT n FROM nodes) THEN osmid ELSE far.node END AS node, CASE WHEN osmid NOT IN (SELECT n FROM nodes) AND far.node IS NOT NULL THEN 1 ELSE 0 END AS fallback FROM pt LEFT JOIN far ON far.city = pt.city AND far.point_id = pt.point_id),
+  p(source, node, dist) AS (SELECT DISTINCT node, node, 0e0 FROM anc WHERE node IS NOT NULL UNION SELECT p.source, e.v, p.dist + e.length FROM p JOIN e ON p.node = e.u WHERE p.dist + e.length <= 400),
+  d AS (SELECT source, node, min(dist) AS dist FROM p GROUP BY source, node),
+  v AS (SELECT city, point_id, avg(sidewalk_frac) AS sidewalk FROM fx_mask_stats GROUP BY city, point_id),
+  t AS (SELECT anc.city, anc.point_id, d.dist, v.sidewalk, row_number() OVER (PARTITION BY anc.city, anc.point_id ORDER BY d.dist, d.node) AS r FROM anc JOIN d ON d.source = anc.node AND d.node <> d.source JOIN fx_points o ON o.osmid = d.node JOIN v ON v.city = o.city AND v.point_id = o.point_id WHERE NOT (o.city = anc.city AND o.point_id = anc.point_id)),
+  f AS (SELECT city, point_id, count(*) AS n, avg(CASE WHEN r <= 8 THEN dist END) AS m, max(CASE WHEN r <= 8 THEN dist END) AS x, sum(CASE WHEN r <= 8 THEN sidewalk / greatest(dist, 1) END) / sum(CASE WHEN r <= 8 THEN 1 / greatest(dist, 1) END) AS s FROM t GROUP BY city, point_id)
+  SELECT anc.city, anc.point_id, fallback, CASE WHEN anc.node IS NULL THEN 1 ELSE 0 END AS unanchored, coalesce(n, 0) AS n_near, coalesce(m, 400) AS mean_dist, coalesce(x, 400) AS max_dist, coalesce(s, v.sidewalk) AS near_sidewalk
+  FROM anc JOIN v ON v.city = anc.city AND v.point_id = anc.point_id LEFT JOIN f ON f.city = anc.city AND f.point_id = anc.point_id""".replace("HAV", hav("a", "b"))
+
+
+@query("graph_anchored_features", "city point_id fallback:i unanchored:i n_near:i mean_dist:f max_dist:f near_sidewalk:f", _ANCHORED)
+def graph_anchored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network features of all points: some stand for the nearest node, as theirs is not in the graph, some for none."""
+    edges = load(spark, sf_dir, "fx_edges").filter("u % 17 <> 0 AND v % 17 <> 0")
+    points = load(spark, sf_dir, "fx_points")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = ends.join(points.select("city", F.col("osmid").alias("node"), "lat", "lon"), "node", "left")
+    known = points.select(*KEY, "osmid", *(F.when(F.col("osmid") % 51 != 0, F.col(c)).alias(c) for c in ("lat", "lon")))
+    values = load(spark, sf_dir, "fx_mask_stats").groupBy(*KEY).agg(F.avg("sidewalk_frac").alias("sidewalk"))
+    return graph.anchored_features(graph.anchored(known, nodes), edges, values, KEY, ["sidewalk"], 8, 400.0)
+
+
+_CONTEXT = """WITH g AS (SELECT p.city, p.point_id, lat, lon, avg(CASE WHEN (m.point_id + heading) % 11 <> 0 AND m.point_id % 5 <> 0 THEN vegetation_frac END) AS v, avg(CASE WHEN m.city <> 'dc' THEN sidewalk_width_px END) AS w, CAST(max(street_count) AS DOUBLE) AS s FROM fx_points p JOIN fx_mask_stats m ON m.city = p.city AND m.point_id = p.point_id GROUP BY p.city, p.point_id, lat, lon),
+  md AS (SELECT city, quantile_cont(v, 5e-1) AS mv, quantile_cont(w, 5e-1) AS mw FROM g GROUP BY city), i AS (SELECT g.city, point_id, lat, lon, coalesce(v, mv, 0) AS v, coalesce(w, mw, 0) AS w, s FROM g JOIN md ON md.city = g.city),
+  d AS (SELECT a.city, a.point_id, b.point_id AS o, b.v, b.w, b.s, HAV AS dist FROM i a JOIN i b ON a.city = b.city AND a.point_id <> b.point_id), r AS (SELECT *, row_number() OVER (PARTITION BY city, point_id ORDER BY dist, o) AS k FROM d),
+  f AS (SELECT city, point_id, avg(CASE WHEN k <= 8 THEN dist END) AS mean_dist, max(CASE WHEN k <= 8 THEN dist END) AS max_dist, count(CASE WHEN dist <= 200 THEN 1 END) AS n_200m, count(CASE WHEN dist <= 400 THEN 1 END) AS n_400m, count(CASE WHEN dist <= 800 THEN 1 END) AS n_800m, NEAR, MEAN FROM r GROUP BY city, point_id)
+  SELECT i.city, i.point_id, mean_dist, max_dist, coalesce(n_200m, 0) AS n_200m, coalesce(n_400m, 0) AS n_400m, coalesce(n_800m, 0) AS n_800m, LAST FROM i LEFT JOIN f ON f.city = i.city AND f.point_id = i.point_id"""
+for _old, _new in (
+    ("HAV", hav("a", "b")),
+    ("NEAR", ", ".join(f"sum(CASE WHEN k <= 8 THEN {c} / greatest(dist, 1) END) / sum(CASE WHEN k <= 8 THEN 1 / greatest(dist, 1) END) AS near_{c}" for c in "vws")),
+    ("MEAN", ", ".join(f"avg(CASE WHEN dist <= 400 THEN {c} END) AS mean_{c}" for c in "vws")),
+    ("LAST", ", ".join(f"coalesce(near_{c}, {c}) AS near_{c}, coalesce(mean_{c}, {c}) AS mean_{c}" for c in "vws")),
+):
+    _CONTEXT = _CONTEXT.replace(_old, _new)
+
+
+@query("context_features", "city point_id mean_dist:f max_dist:f n_200m:i n_400m:i n_800m:i near_v:f near_w:f near_s:f mean_v:f mean_w:f mean_s:f", _CONTEXT)
+def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features from the others around each point, after gaps are filled with the city's medians."""
+    m = load(spark, sf_dir, "fx_mask_stats")
+    gaps = m.groupBy(*KEY).agg(F.avg(F.when(((F.col("point_id") + F.col("heading")) % 11 != 0) & (F.col("point_id") % 5 != 0), F.col("vegetation_frac"))).alias("v"), F.avg(F.when(F.col("city") != "dc", F.col("sidewalk_width_px"))).alias("w"))
+    points = load(spark, sf_dir, "fx_points").select(*KEY, "lat", "lon", F.col("street_count").cast("double").alias("s")).join(gaps, KEY)
+    return near.context_features(features.impute(points, ["v", "w"], ["city"]), ["v", "w", "s"], 8)
+
+
 @query(
     "projection_grid",
     "city point_id mx:f my:f tx:i ty:i gx:i gy:i bx:i by_:i lat_deg:f lon_deg:f ex:f ey:f err:f",
