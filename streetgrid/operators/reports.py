@@ -17,9 +17,10 @@ def group_rollup(df: DataFrame, by: list[str], group: str, y: str, score: str) -
 
 
 def correlations(df: DataFrame, by: list[str], score: str, columns: list[str]) -> DataFrame:
-    """Pearson's r of the score with each column over the rows where both are numbers."""
+    """Pearson's r of the score with each column over the rows where both are numbers; null for under 3 rows or a flat side."""
     long = df.select(*by, score, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot([*by, score], columns, "target", "value")
-    return metrics.finite(long, score, "value").groupBy(*by, "target").agg(F.count(F.lit(1)).alias("n"), F.corr(score, "value").alias("r"))
+    known = metrics.finite(long, score, "value")
+    return known.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("n")).join(metrics.pearson(known, [*by, "target"], score, "value"), [*by, "target"])
 
 
 def compare_sources(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

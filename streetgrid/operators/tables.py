@@ -60,3 +60,10 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def without_sentinel(value: Column, lowest: float = -99999.0) -> Column:
     """Null in place of the large negative numbers that stand for a missing value."""
     return F.when(value > lowest, value)
+
+
+def purge(df: DataFrame, names: list[str], prefixes: list[str]) -> DataFrame:
+    """The table without columns of these names (in any case; absent ones are no error) and of these prefixes."""
+    listed = {n.lower() for n in names}
+    gone = [c for c in df.columns if c.lower() in listed or any(c.startswith(p) for p in prefixes)]
+    return df.drop(*gone)

@@ -29,7 +29,7 @@ def block_group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "secondary_correlations",
     "backbone seed:i target n:i r:f",
-    """SELECT backbone, seed, c AS target, count(*) AS n, corr(score, v) AS r FROM (SELECT backbone, seed, score, unnest(['y_bin', 'dlat', 'dlon']) AS c, unnest([CAST(y_bin AS DOUBLE), CAST(dlat AS DOUBLE), CAST(dlon AS DOUBLE)]) AS v
+    """SELECT backbone, seed, c AS target, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(score) > 1e-16 AND var_pop(v) > 1e-16 THEN corr(score, v) END AS r FROM (SELECT backbone, seed, score, unnest(['y_bin', 'dlat', 'dlon']) AS c, unnest([CAST(y_bin AS DOUBLE), CAST(dlat AS DOUBLE), CAST(dlon AS DOUBLE)]) AS v
     FROM fx_predictions p JOIN fx_segments s ON s.seg_id = p.point_id) WHERE v IS NOT NULL GROUP BY backbone, seed, c""",
 )
 def secondary_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
