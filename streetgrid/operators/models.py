@@ -82,7 +82,8 @@ def moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power(cov: np.ndarray, p: float, eps: float = 1e-6) -> np.ndarray:
-    values, vectors_ = np.linalg.eigh(cov)
+    """A power of a covariance with ``eps`` on its diagonal; eigenvalues count as ``eps`` at least."""
+    values, vectors_ = np.linalg.eigh(cov + eps * np.eye(len(cov)))
     return (vectors_ * np.maximum(values, eps) ** p) @ vectors_.T
 
 
@@ -102,13 +103,16 @@ def coral(source: DataFrame, target: DataFrame, column: str, name: str = "aligne
     return linear_map(source, _power(cs, -0.5) @ _power(ct, 0.5), ms, mt, column, name)
 
 
-def subspace(source: DataFrame, target: DataFrame, column: str, k: int, name: str = "aligned") -> DataFrame:
-    """Source vectors in the source's first ``k`` components, turned to the target's."""
-    ms, cs = moments(vectors(source, column))
-    _, ct = moments(vectors(target, column))
+def subspace(source: DataFrame, target: DataFrame, column: str, k: int, name: str = "aligned") -> tuple[DataFrame, DataFrame]:
+    """Source vectors in the source's first ``k`` components, turned to the target's; and target vectors in the target's.
+
+    Both are centred on their own means; ``k`` is at most what the rows of either side span.
+    """
+    (ms, cs), (mt, ct) = (moments(vectors(side, column)) for side in (source, target))
+    k = min(k, len(ms), source.count() - 1, target.count() - 1)
     top = lambda c: np.linalg.eigh(c)[1][:, ::-1][:, :k]
     bs, bt = top(cs), top(ct)
-    return linear_map(source, bs @ (bs.T @ bt), ms, np.zeros(k), column, name)
+    return linear_map(source, bs @ (bs.T @ bt), ms, np.zeros(k), column, name), linear_map(target, bt, mt, np.zeros(k), column, name)
 
 
 def isotonic(train: DataFrame, df: DataFrame, y: str, score: str, least: int = 50) -> DataFrame:

@@ -38,10 +38,16 @@ def overall_verdict(df: DataFrame, by: list[str], verdict: str) -> DataFrame:
     return counts.withColumn("overall", said)
 
 
-def latest_folds(df: DataFrame, by: list[str], ts: str, value: str) -> DataFrame:
-    """Mean and population deviation over the folds of each group's latest record."""
-    last = df.groupBy(*by).agg(F.max(ts).alias(ts))
-    return metrics.finite(df.join(last, [*by, ts]), value).groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+def nested_folds(records: DataFrame, by: list[str], order: list[str], target: str) -> DataFrame:
+    """Mean and population deviation of a target's area over the folds of each group's latest record, beside its random split.
+
+    A record has ``per_fold_results`` (array of structs with ``metrics``: target -> struct with auroc) and
+    ``random_split_auroc``. Folds without the target or with no number are left out; a record without any has nulls.
+    """
+    last = records.groupBy(*by).agg(F.max_by(F.struct("per_fold_results", "random_split_auroc"), F.struct(*order)).alias("r"))
+    areas = F.filter(F.transform("r.per_fold_results", lambda f: F.try_element_at(f["metrics"], F.lit(target))["auroc"]), lambda x: x.isNotNull() & ~F.isnan(x))
+    each = last.select(*by, F.col("r.random_split_auroc").alias("random_split"), F.explode_outer(areas).alias("a"))
+    return each.groupBy(*by).agg(F.count("a").alias("folds"), F.avg("a").alias("mean"), F.stddev_pop("a").alias("std"), F.max("random_split").alias("random_split"))
 
 
 def fallback_rate(points: DataFrame, nodes: DataFrame, by: list[str], key: str) -> DataFrame:

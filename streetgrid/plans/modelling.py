@@ -255,7 +255,9 @@ def coral(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("subspace")
 def subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
-    return _moments_of(models.subspace(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "embedding", 8), "aligned")
+    sides = models.subspace(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1"), "embedding", 8)
+    source, target = (_moments_of(side, "aligned").withColumn("side", F.lit(name)) for name, side in zip(("source", "target"), sides, strict=True))
+    return source.unionByName(target)
 
 
 @query("isotonic")

@@ -64,15 +64,21 @@ def overall_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.overall_verdict(each.withColumn("verdict", said), ["backbone"], "verdict")
 
 
+_FOLD = "CASE WHEN (run_index + k) % 11 <> 0 THEN auroc + ((run_index * (k + 3)) % 7 - 3) / 1e2 END"
+
+
 @query(
     "spatial_cv_table",
-    "city folds:i mean:f std:f",
-    "WITH f AS (SELECT test_city AS city, ts, auroc FROM fx_run_log WHERE train_city = test_city) SELECT city, count(*) AS folds, avg(auroc) AS mean, stddev_pop(auroc) AS std FROM f WHERE ts = (SELECT max(ts) FROM f g WHERE g.city = f.city) GROUP BY city",
+    "city folds:i mean:f std:f random_split:f",
+    f"""WITH r AS (SELECT test_city AS city, run_index, auroc, row_number() OVER (PARTITION BY test_city ORDER BY ts DESC, run_index DESC) AS place FROM fx_run_log WHERE train_city = test_city)
+    SELECT city, count(a) AS folds, avg(a) AS mean, stddev_pop(a) AS std, max(auroc) + 2e-2 AS random_split FROM (SELECT *, {_FOLD} AS a FROM r CROSS JOIN range(0, 5) q(k) WHERE place = 1) GROUP BY city""",
 )
 def spatial_cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of the latest record inside each city."""
+    """The latest record inside each city: its folds' areas, and the random split's."""
     rows = load(spark, sf_dir, "fx_run_log").filter("train_city = test_city").withColumnRenamed("test_city", "city")
-    return reports.latest_folds(rows, ["city"], "ts", "auroc")
+    fold = lambda k: F.struct(F.lit(k).alias("fold"), F.create_map(F.lit("overture_sidewalk_present"), F.struct(F.expr(_FOLD.replace("+ k)", f"+ {k})").replace("(k + 3)", f"({k} + 3)")).alias("auroc"))).alias("metrics"))
+    records = rows.select("city", "ts", "run_index", F.array(*map(fold, range(5))).alias("per_fold_results"), (F.col("auroc") + 0.02).alias("random_split_auroc"))
+    return reports.nested_folds(records, ["city"], ["ts", "run_index"], "overture_sidewalk_present")
 
 
 @query(

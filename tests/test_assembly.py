@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streetgrid.operators import composite, graph, near, sampling, tables, targets
+from streetgrid.operators import composite, graph, models, near, sampling, tables, targets
+from streetgrid.operators import reports as reports_ops
 from streetgrid.sources import reports
 
 
@@ -117,3 +118,35 @@ def test_context_of_a_lone_point(spark):
 def test_purge(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "id int, cap_a int, Lat int, keep int")
     assert tables.purge(df, ["lat", "none"], ["cap_"]).columns == ["id", "keep"]
+
+
+def test_nested_folds(spark):
+    fold = "struct<fold: int, metrics: map<string, struct<auroc: double>>>"
+    rows = [("a", 1, [(0, {"t": (0.1,)})], 0.9), ("a", 2, [(0, {"t": (0.5,)}), (1, {"u": (0.1,)}), (2, {"t": (None,)}), (3, {"t": (0.7,)}), (4, {"t": (float("nan"),)})], 0.8), ("b", 1, [], None)]
+    df = spark.createDataFrame(rows, f"city string, ts int, per_fold_results array<{fold}>, random_split_auroc double")
+    a, b = reports_ops.nested_folds(df, ["city"], ["ts"], "t").orderBy("city").collect()
+    assert (a["folds"], a["random_split"]) == (2, 0.8) and (a["mean"], a["std"]) == pytest.approx((0.6, 0.1))
+    assert (b["folds"], b["mean"], b["random_split"]) == (0, None, None)
+
+
+def test_alignment(spark):
+    """Both alignments against numpy."""
+    rnd = np.random.default_rng(9)
+    x, y = rnd.normal(size=(60, 4)) @ rnd.normal(size=(4, 4)) + 1, rnd.normal(size=(50, 4)) @ rnd.normal(size=(4, 4)) - 2
+    of = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id int, v array<double>")
+    got = lambda df: np.array([r["aligned"] for r in df.orderBy("id").collect()])
+
+    def power(m, p):
+        values, vectors = np.linalg.eigh(np.cov(m, rowvar=False) + 1e-6 * np.eye(4))
+        return (vectors * np.maximum(values, 1e-6) ** p) @ vectors.T
+
+    want = (x - x.mean(axis=0)) @ power(x, -0.5) @ power(y, 0.5) + y.mean(axis=0)
+    assert np.allclose(got(models.coral(of(x), of(y), "v")), want, atol=1e-6)
+    source, target = models.subspace(of(x), of(y), "v", 2)
+    bs, bt = (np.linalg.svd(m - m.mean(axis=0))[2][:2].T for m in (x, y))
+    aligned, projected = (x - x.mean(axis=0)) @ bs @ bs.T @ bt, (y - y.mean(axis=0)) @ bt
+    # Components have no sign of their own.
+    for k in range(2):
+        sign = np.sign((got(target)[:, k] * projected[:, k]).sum())
+        assert np.allclose(got(target)[:, k] * sign, projected[:, k], atol=1e-6)
+        assert np.allclose(got(source)[:, k] * sign, aligned[:, k], atol=1e-6)

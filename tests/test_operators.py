@@ -117,7 +117,7 @@ def test_alignment_moments(spark):
     aligned = models.coral(a, b, "e").select("vec_id", F.col("aligned").alias("e"))
     (m1, c1), (m2, c2) = (models.moments(models.vectors(d, "e")) for d in (aligned, b))
     assert abs(m1 - m2).max() < 1e-3 and abs(c1 - c2).max() < 1e-3
-    assert len(models.subspace(a, b, "e", 2).first()["aligned"]) == 2
+    assert len(models.subspace(a, b, "e", 2)[0].first()["aligned"]) == 2
 
 
 def test_latest_breaks_ties_by_index(spark):
