@@ -412,10 +412,13 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "fx_points").select("city", "point_id").withColumn("k", k).filter("k <= 25").drop("k")
 
 
-@query("case_picks", "city kind point_id:i err:f", "WITH e AS (SELECT city, point_id, abs(avg(score) - max(y_reg) / 3e5) AS err FROM fx_predictions GROUP BY city, point_id), r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY err, point_id) AS a, row_number() OVER (PARTITION BY city ORDER BY err DESC, point_id) AS z, count(*) OVER (PARTITION BY city) AS n FROM e) SELECT city, CASE WHEN a = 1 THEN 'tightest' WHEN z = 1 THEN 'worst' ELSE 'middle' END AS kind, point_id, err FROM r WHERE a = 1 OR z = 1 OR a = floor(n / 2e0) + 1")
+@query("case_picks", "city kind point_id:i err:f", "WITH e AS (SELECT city, point_id, round(abs(avg(score) - max(y_reg) / 3e5), 9) + 1e-9 AS err FROM fx_predictions GROUP BY city, point_id), r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY err, point_id) AS a, row_number() OVER (PARTITION BY city ORDER BY err DESC, point_id) AS z, count(*) OVER (PARTITION BY city) AS n FROM e) SELECT city, CASE WHEN a = 1 THEN 'tightest' WHEN z = 1 THEN 'worst' ELSE 'middle' END AS kind, point_id, err FROM r WHERE a = 1 OR z = 1 OR a = floor(n / 2e0) + 1")
 def case_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean prediction of each point against its value: tightest, worst and middle case of each city."""
-    e = _rows(spark, sf_dir).groupBy("city", "point_id").agg(F.abs(F.avg("score") - F.max("y_reg") / 3e5).alias("err"))
+    """Mean prediction of each point against its value: tightest, worst and middle case of each city.
+
+    Errors are decimals: rounded before they are ranked, and nudged so that a half in the last digit shown goes one way.
+    """
+    e = _rows(spark, sf_dir).groupBy("city", "point_id").agg((F.round(F.abs(F.avg("score") - F.max("y_reg") / 3e5), 9) + 1e-9).alias("err"))
     w = Window.partitionBy("city")
     r = e.withColumns({"a": F.row_number().over(w.orderBy("err", "point_id")), "z": F.row_number().over(w.orderBy(F.desc("err"), "point_id")), "n": F.count(F.lit(1)).over(w)})
     kind = F.when(F.col("a") == 1, "tightest").when(F.col("z") == 1, "worst").when(F.col("a") == F.floor(F.col("n") / 2) + 1, "middle")
