@@ -180,12 +180,12 @@ def normal_tail(z: Column) -> Column:
 def delong(df: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
     """Paired test of two scores' areas: both areas, variance of their difference, z and p (null without variance)."""
     rows = metrics.finite(df, y, a, b)
-    ranked = metrics.with_ranks(metrics.with_ranks(rows, by, {"za": a, "zb": b}), [*by, y], {"ca": a, "cb": b})
     sizes = rows.groupBy(*by).agg(F.sum((F.col(y) == 1).cast("double")).alias("m"), F.sum((F.col(y) != 1).cast("double")).alias("n"))
-    v = ranked.join(sizes, by)
-    for s in ("a", "b"):
-        gap = F.col(f"z{s}") - F.col(f"c{s}")
-        v = v.withColumn(f"v{s}", F.when(F.col(y) == 1, gap / F.col("n")).otherwise(1 - gap / F.col("m")))
+    v = rows.join(sizes, by)
+    for s in (a, b):
+        v = v.join(metrics.placements(rows, by, y, s, f"_{s}"), [*by, s])
+    for name, s in (("va", a), ("vb", b)):
+        v = v.withColumn(name, F.when(F.col(y) == 1, F.col(f"_{s}_neg") / F.col("n")).otherwise(1 - F.col(f"_{s}_pos") / F.col("m")))
     own = lambda c, k: F.when(F.col(y) == k, F.col(c))
     spread = lambda k: F.var_samp(own("va", k)) + F.var_samp(own("vb", k)) - 2 * F.covar_samp(own("va", k), own("vb", k))
     out = v.groupBy(*by).agg(F.avg(own("va", 1)).alias("auc_a"), F.avg(own("vb", 1)).alias("auc_b"), (spread(1) / F.max("m") + spread(0) / F.max("n")).alias("variance"))

@@ -1,6 +1,7 @@
 """Metrics of predictions, any number of runs in one plan. Rows whose label or score is null or no number take no part.
 
-Ranks are average ranks: rows are first summed by score, so ties cost nothing and hot scores shrink before the window.
+Ranks are average ranks: rows are first summed by score, so ties cost nothing and hot scores shrink before the windows.
+Running sums go by steps of the score (``running``), so no task holds all scores of a run.
 """
 
 from __future__ import annotations
@@ -20,32 +21,73 @@ def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
+#: Steps that the numbers between a power of two and the next are cut into.
+STEPS = 1 << 10
+
+
+def number_step(x: Column) -> Column:
+    """A whole number that never falls as ``x`` grows: its power of two and its place between this and the next one.
+
+    It depends on the number alone, so every task and every retry puts a score into the same step.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    within = F.floor(size * F.pow(F.lit(2.0), -power) * STEPS)
+    step = (power + 1100) * (4 * STEPS) + within
+    last = F.lit(1 << 40)
+    step = F.when(size == 0, F.lit(0)).when(size == float("inf"), last).when(size < 1e-300, F.lit(1)).otherwise(step.cast("long"))
+    # Never null, or joins on steps would put tests of the whole expression into the scans below.
+    return F.coalesce(F.when(x < 0, -step).otherwise(step), F.lit(0))
+
+
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Add sums (name -> column) over the rows of a group up to and with each row, whose values of ``order`` differ.
+
+    Whole steps before a row's step are summed by steps, and only the rest row by row inside the step.
+    """
+    direction = F.desc if descending else F.asc
+    rows = df.withColumn("_step", number_step(F.col(order)))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = rows.groupBy(*by, "_step").agg(*(F.sum(c).alias(c) for c in sums.values()))
+    over = upto(Window.partitionBy(*by).orderBy(direction("_step")))
+    steps = steps.select(*by, "_step", *((F.sum(c).over(over) - F.col(c)).alias("_before_" + n) for n, c in sums.items()))
+    inside = upto(Window.partitionBy(*by, "_step").orderBy(direction(order)))
+    rows = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(steps, [*by, "_step"])
+    return rows.select(*df.columns, *((F.col("_before_" + n) + F.col(n)).alias(n) for n in sums))
+
+
 def auroc(df: DataFrame, by: list[str], y: str, score: str, weight: str | None = None, name: str = "auroc") -> DataFrame:
     """Area under the ROC curve with average ranks; null where a group has one class only."""
     w = _weight(weight)
     sums = finite(df, y, score).groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(y) != 1, w).otherwise(0.0)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n") / 2
-    total = sums.withColumn("_b", below).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_b")).alias("_s"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    below = F.col("_upto") - F.col("_n") / 2
+    total = running(sums, by, score, {"_upto": "_n"}).withColumn("_b", below).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_b")).alias("_s"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
     return total.select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_s") / (F.col("_P") * F.col("_N"))).alias(name))
 
 
 def average_precision(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """Sum of precision by gained recall over distinct thresholds, highest first."""
     sums = finite(df, y, score).groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("double")).alias("_p"), F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = sums.withColumn("_precision", F.sum("_p").over(w) / F.sum("_m").over(w))
+    parts = running(sums, by, score, {"_hits": "_p", "_all": "_m"}, descending=True).withColumn("_precision", F.col("_hits") / F.col("_all"))
     return parts.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_precision")) / F.nullif(F.sum("_p"), F.lit(0.0))).alias("ap"))
 
 
 def with_ranks(df: DataFrame, by: list[str], columns: dict[str, str], weight: str | None = None) -> DataFrame:
     """Add average ranks: weight below, plus half of what ties and one."""
-    w = _weight(weight)
+    w, ranked = _weight(weight), df
     for name, c in columns.items():
         ties = df.groupBy(*by, c).agg(F.sum(w).alias("_w"))
-        upto = F.sum("_w").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = ties.select(*by, c, (upto - F.col("_w") + (F.col("_w") + 1) / 2).alias(name))
-        df = df.join(ranks, [*by, c])
-    return df
+        ranks = running(ties, by, c, {"_upto": "_w"}).select(*by, c, (F.col("_upto") - F.col("_w") + (F.col("_w") + 1) / 2).alias(name))
+        ranked = ranked.join(ranks, [*by, c])
+    return ranked
+
+
+def placements(df: DataFrame, by: list[str], y: str, score: str, name: str) -> DataFrame:
+    """Of every distinct score, (*by, score, <name>_neg, <name>_pos): how many negatives and positives lie below it, ties by half."""
+    sums = df.groupBy(*by, score).agg(F.sum((F.col(y) == 1).cast("double")).alias("_p"), F.sum((F.col(y) != 1).cast("double")).alias("_n"))
+    sums = running(sums, by, score, {"_below_p": "_p", "_below_n": "_n"})
+    return sums.select(*by, score, (F.col("_below_n") - F.col("_n") / 2).alias(name + "_neg"), (F.col("_below_p") - F.col("_p") / 2).alias(name + "_pos"))
 
 
 def pearson(df: DataFrame, by: list[str], a: str, b: str, weight: str | None = None, name: str = "r") -> DataFrame:
@@ -110,11 +152,10 @@ def prevalence_threshold(df: DataFrame, by: list[str], score: str, share: DataFr
     """Add ``predicted``: score at or over the group's quantile at 1 - p, p from ``share`` (by, p) between .001 and .999."""
     p = F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999))
     counts = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sized = counts.groupBy(*by).agg(F.sum("_n").alias("_size")).join(share.groupBy(*by).agg(F.first(p).alias("_p")), by)
     sized = sized.withColumn("_at", (F.col("_size") - 1) * (1 - F.col("_p")))
     first_over = lambda place: F.min(F.when(F.col("_upto") > place, F.col(score)))
-    cuts = counts.withColumn("_upto", upto).join(sized, by).groupBy(*by).agg(first_over(F.floor("_at")).alias("_low"), first_over(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at"))
+    cuts = running(counts, by, score, {"_upto": "_n"}).join(sized, by).groupBy(*by).agg(first_over(F.floor("_at")).alias("_low"), first_over(F.ceil("_at")).alias("_high"), F.first("_at").alias("_at"))
     low, high, at = F.col("_low"), F.col("_high"), F.col("_at")
     cuts = cuts.select(*by, (low + (high - low) * (at - F.floor(at))).alias("threshold"))
     return df.join(cuts, by).withColumn("predicted", (F.col(score) >= F.col("threshold")).cast("int"))

@@ -81,9 +81,20 @@ def label_within(points: DataFrame, features: DataFrame, key: list[str], radius:
 
 
 def nearest_within(points: DataFrame, features: DataFrame, key: list[str], feature_id: str, radius: float) -> DataFrame:
-    """The nearest feature of each point and its distance, ties to the smaller id; null beyond the radius."""
-    best = pairs_within(points, features, radius).groupBy(*key).agg(F.min(F.struct("dist", F.col("r_" + feature_id).alias("id"))).alias("_b"))
-    return points.select(*key).join(best, key, "left").select(*key, F.col("_b.id").alias("nearest_id"), F.col("_b.dist").alias("dist"))
+    """The nearest feature of each point and its distance, ties to the smaller id; null beyond the radius.
+
+    Points with a feature in a quarter of the radius are done; only the others look through the whole circle.
+    """
+    by, at = key[0], ("lat", "lon")
+    points, features = points.select(*key, *at), features.select(by, feature_id, *at)
+
+    def ring(some: DataFrame, r: float) -> DataFrame:
+        return pairs_within(some, features, r, by=by).groupBy(*key).agg(F.min(F.struct("dist", F.col("r_" + feature_id).alias("id"))).alias("_b"))
+
+    inner = cut(ring(points, radius / 4))
+    outer = ring(points.join(inner, key, "left_anti"), radius).withColumnRenamed("_b", "_far")
+    best = F.coalesce("_b", "_far")
+    return points.select(*key).join(inner, key, "left").join(outer, key, "left").select(*key, best["id"].alias("nearest_id"), best["dist"].alias("dist"))
 
 
 def knn(points: DataFrame, k: int, point_id: str = "point_id", by: str = "city", first_radius: float = 300.0, others: DataFrame | None = None) -> DataFrame:

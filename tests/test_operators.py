@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,35 @@ def test_report_tables_on_few_rows(spark):
     assert sorted((r["place"], r["v"], r["n"]) for r in top.collect()) == [(1, "c", 2), (2, "a", 1)]
     gone = reports.fallback_rate(spark.createDataFrame([("p", i) for i in range(100)], "k string, i int"), spark.createDataFrame([(i,) for i in range(99)], "i int"), ["k"], "i").first()
     assert (gone["n_in_graph"], gone["fallback_pct"], gone["rebuild"]) == (99, 1.0, 1)
+
+
+def test_number_step_never_falls(spark):
+    values = sorted({0.0, -0.0, 1e-310, -1e-310, float("inf"), float("-inf"), *(s * 2.0**e * m for s in (1, -1) for e in (-1060, -60, -3, -1, 0, 1, 9, 40, 900) for m in (1.0, 1 - 2**-53, 1 + 2**-52, 1.3, 1.99))})
+    steps = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(metrics.number_step(F.col("x"))).collect()]
+    assert steps == sorted(steps) and len(set(steps)) > len(steps) / 2
+
+
+def test_running_sums_and_metrics_over_wide_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(y), float(x), float(z)) for g in ("a", "b") for y, x, z in zip(rng.integers(0, 2, 300), np.round(rng.normal(0, 3, 300), 1), np.exp(rng.normal(0, 9, 300)) * rng.choice([-1, 1], 300))]
+    df = spark.createDataFrame(rows, "g string, y int, s double, z double")
+    frame = pd.DataFrame(rows, columns=["g", "y", "s", "z"])
+    for score in ("s", "z"):
+        found = {r["g"]: r["auroc"] for r in metrics.auroc(df, ["g"], "y", score).collect()}
+        hits = {r["g"]: r["ap"] for r in metrics.average_precision(df, ["g"], "y", score).collect()}
+        for g, part in frame.groupby("g"):
+            pos, neg = part[part.y == 1][score].to_numpy(), part[part.y == 0][score].to_numpy()
+            assert found[g] == pytest.approx(np.mean((pos[:, None] > neg) + (pos[:, None] == neg) / 2))
+            at = sorted(set(part[score]), reverse=True)
+            assert hits[g] == pytest.approx(sum((pos == t).sum() * (pos >= t).sum() / (part[score] >= t).sum() for t in at) / len(pos))
+    rho = {r["g"]: r["rho"] for r in metrics.spearman(df, ["g"], "s", "z").collect()}
+    for g, part in frame.groupby("g"):
+        assert rho[g] == pytest.approx(part["s"].rank().corr(part["z"].rank()))
+
+
+def test_nearest_looks_beyond_the_inner_ring(spark):
+    points = spark.createDataFrame([("c", 1, 45.0, 9.0), ("c", 2, 45.1, 9.0), ("c", 3, 46.0, 9.0), ("c", 4, None, 9.0)], "city string, point_id int, lat double, lon double")
+    features = spark.createDataFrame([("c", 7, 45.0002, 9.0), ("c", 8, 45.0002, 9.0), ("c", 9, 45.102, 9.0)], "city string, fid int, lat double, lon double")
+    found = {r["point_id"]: (r["nearest_id"], r["dist"]) for r in near.nearest_within(points, features, ["city", "point_id"], "fid", 250.0).collect()}
+    assert found[1][0] == 7 and found[2][0] == 9 and 200 < found[2][1] < 250
+    assert found[3] == (None, None) and found[4] == (None, None)
