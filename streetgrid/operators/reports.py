@@ -38,6 +38,34 @@ def overall_verdict(df: DataFrame, by: list[str], verdict: str) -> DataFrame:
     return counts.withColumn("overall", said)
 
 
+#: Cities that models are trained in, the city that is kept for the end, and the verdicts on a direction. Fixed values.
+TRAINED, HELD = ("msp", "seattle", "dc"), "pittsburgh"
+VERDICTS = ("better", "worse", "equivalent", "not_better", "inconclusive")
+
+
+def direction_block(source: Column, target: Column) -> Column:
+    """Block of a direction: from one trained city to another, from all of them to the city kept for the end, else null."""
+    one = source.isin(*TRAINED) & target.isin(*TRAINED) & (source != target)
+    return F.when((target == HELD) & (source == "+".join(sorted(TRAINED))), HELD).when(one, "loco")
+
+
+def ladder(directions: DataFrame, paired: DataFrame, by: list[str]) -> DataFrame:
+    """Summary of each rung over its directions, and of its paired gaps to the baseline (null for rungs without any).
+
+    ``directions``: by, seed_mean, ensemble, one row for each direction. ``paired``: by, delta, verdict, p_holm. The mean,
+    deviation and best are of the seeds' means; a deviation of one direction is 0.
+    """
+    stats = directions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_directions"), F.avg("seed_mean").alias("mean"), F.when(F.count("seed_mean") > 0, F.coalesce(F.stddev_samp("seed_mean"), F.lit(0.0))).alias("std"),
+        F.max("seed_mean").alias("best"), F.avg("ensemble").alias("mean_ensemble"),
+    )
+    counts = [F.count_if(F.col("verdict") == v).alias("n_" + v) for v in VERDICTS]
+    clear = F.count_if((F.col("p_holm") < 0.05) & (F.col("delta") > 0)).alias("n_clear")
+    gaps = paired.groupBy(*by).agg(F.avg("delta").alias("delta_mean"), F.min("delta").alias("delta_min"), F.max("delta").alias("delta_max"), *counts, clear)
+    said = overall_verdict(paired, by, "verdict").select(*by, "overall")
+    return stats.join(gaps, by, "left").join(said, by, "left")
+
+
 def nested_folds(records: DataFrame, by: list[str], order: list[str], target: str) -> DataFrame:
     """Mean and population deviation of a target's area over the folds of each group's latest record, beside its random split.
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import inference, metrics
+from ..operators import inference, metrics, reports
 from .fixtures import load
 from .registry import query
 
 RUN = ["backbone", "seed", "city"]
 #: Replicates of the bootstraps, and how many must be known for an interval by points and by cells.
 WHOLE, LEAST_POINTS, LEAST_CELLS = 1000, 100, 50
+#: Rows with both labels that a comparison of two sources needs; what an area may be over the ceiling before it tells of noise.
+LEAST_SHARED, OVER_CEILING = 50, 0.02
 _P = "SELECT backbone, seed, city, point_id, y_bin, y_reg, score FROM fx_predictions WHERE y_bin IS NOT NULL"
 
 
@@ -123,11 +125,13 @@ def _two(spark, sf_dir):
     return metrics.finite(_rows(spark, sf_dir), "y_bin").join(ext, "point_id").withColumn("y_ext", y)
 
 
-@query("two_reference_auroc", "backbone city n:i own:f ext:f delta:f", f"SELECT backbone, city, n, a.auroc AS own, b.auroc AS ext, b.auroc - a.auroc AS delta FROM ({_auc_sql('SELECT * FROM (' + _TWO + ') WHERE y_ext IS NOT NULL', 'backbone, city')}) a JOIN ({_auc_sql('SELECT * FROM (' + _TWO + ') WHERE y_ext IS NOT NULL', 'backbone, city', y='y_ext')}) b USING (backbone, city) JOIN (SELECT backbone, city, count(*) AS n FROM ({_TWO}) WHERE y_ext IS NOT NULL GROUP BY backbone, city) c USING (backbone, city)")
+@query("two_reference_auroc", "backbone city n:i own:f ext:f delta:f", f"SELECT backbone, city, n, a.auroc AS own, b.auroc AS ext, b.auroc - a.auroc AS delta FROM ({_auc_sql('SELECT * FROM (' + _TWO + ') WHERE y_ext IS NOT NULL', 'backbone, city')}) a JOIN ({_auc_sql('SELECT * FROM (' + _TWO + ') WHERE y_ext IS NOT NULL', 'backbone, city', y='y_ext')}) b USING (backbone, city) JOIN (SELECT backbone, city, count(*) AS n FROM ({_TWO}) WHERE y_ext IS NOT NULL GROUP BY backbone, city) c USING (backbone, city) WHERE n >= {LEAST_SHARED}")
 def two_reference_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas against two sources of labels over the rows that have both; runs with few of them are left out."""
     rows, by = metrics.finite(_two(spark, sf_dir), "y_ext"), ["backbone", "city"]
     own, ext = metrics.auroc(rows, by, "y_bin", "score", name="own"), metrics.auroc(rows, by, "y_ext", "score", name="ext")
-    return own.join(ext, by).join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by).withColumn("delta", F.col("ext") - F.col("own"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SHARED)
+    return own.join(ext, by).join(sizes, by).withColumn("delta", F.col("ext") - F.col("own"))
 
 
 @query(
@@ -143,23 +147,41 @@ def label_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.select("step", "kappa", metrics.ceiling_auroc(F.col("kappa"), F.col("po"), F.col("ps")).alias("ceiling"))
 
 
-@query("target_version_delta", "backbone city rho_v1:f rho_v2:f delta:f", f"SELECT backbone, city, a.rho AS rho_v1, b.rho AS rho_v2, b.rho - a.rho AS delta FROM (SELECT backbone, city, corr(ra, rb) AS rho FROM ({_ranked('SELECT * FROM fx_predictions WHERE seed = 41', 'backbone, city', 'y_reg', 'score')}) GROUP BY ALL) a JOIN (SELECT backbone, city, corr(ra, rb) AS rho FROM ({_ranked('SELECT *, y_reg + 1e4 * (point_id % 7) AS y2 FROM fx_predictions WHERE seed = 41', 'backbone, city', 'y2', 'score')}) GROUP BY ALL) b USING (backbone, city)")
+@query(
+    "ceiling_verdict",
+    "city n:i kappa:f ceiling:f model:f over:i",
+    f"""WITH t AS (SELECT DISTINCT city, point_id, y_ext AS a, y_bin AS b FROM ({_TWO}) WHERE y_ext IS NOT NULL), m AS (SELECT city, count(*) AS n, avg(CAST(b AS DOUBLE)) AS po, avg(CAST(a AS DOUBLE)) AS ps, avg(CASE WHEN a = b THEN 1e0 ELSE 0e0 END) AS same FROM t GROUP BY city),
+    k AS (SELECT *, po * ps + (1 - po) * (1 - ps) AS pe, (same - (po * ps + (1 - po) * (1 - ps))) / (1 - (po * ps + (1 - po) * (1 - ps))) AS kappa FROM m WHERE n >= 30 AND po > 0 AND po < 1 AND ps > 0 AND ps < 1),
+    c AS (SELECT city, n, kappa, 5e-1 * (1 + b / ps - (po - b) / (1 - ps)) AS ceiling FROM (SELECT *, greatest(least((kappa * (1 - pe) + pe - 1 + po + ps) / 2, least(po, ps)), greatest(po + ps - 1, 0)) AS b FROM k)),
+    a AS (SELECT city, avg(x) AS model FROM (SELECT backbone, city, avg(auroc) AS x FROM ({_auc_sql(_P, _BY)}) GROUP BY backbone, city) GROUP BY city) SELECT *, CASE WHEN model > ceiling + {OVER_CEILING}e0 THEN 1 ELSE 0 END AS over FROM c JOIN a USING (city)""",
+)
+def ceiling_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the models' areas are over the ceiling that the labels' agreement with an outside source allows."""
+    labels = metrics.finite(_two(spark, sf_dir), "y_ext").select("city", "point_id", "y_bin", "y_ext").distinct()
+    agreed = metrics.agreement(metrics.confusion(labels, ["city"], "y_bin", "y_ext")).filter("kappa IS NOT NULL")
+    ceiling = metrics.ceiling_auroc(F.col("kappa"), F.col("prevalence_a"), F.col("prevalence_b"))
+    agreed = agreed.select("city", (F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")).alias("n"), "kappa", ceiling.alias("ceiling"))
+    each = metrics.auroc(_rows(spark, sf_dir), RUN, "y_bin", "score").groupBy("backbone", "city").agg(F.avg("auroc").alias("x"))
+    model = each.groupBy("city").agg(F.avg("x").alias("model"))
+    return agreed.join(model, "city").withColumn("over", (F.col("model") > F.col("ceiling") + OVER_CEILING).cast("int"))
+
+
+@query("target_version_delta", "backbone seed:i city rho_v1:f rho_v2:f delta:f", f"SELECT backbone, seed, city, a.rho AS rho_v1, b.rho AS rho_v2, b.rho - a.rho AS delta FROM (SELECT backbone, seed, city, corr(ra, rb) AS rho FROM ({_ranked('SELECT * FROM fx_predictions', _BY, 'y_reg', 'score')}) GROUP BY ALL) a JOIN (SELECT backbone, seed, city, corr(ra, rb) AS rho FROM ({_ranked('SELECT *, y_reg + 1e4 * (point_id % 7) AS y2 FROM fx_predictions', _BY, 'y2', 'score')}) GROUP BY ALL) b USING (backbone, seed, city)")
 def target_version_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One seed's predictions against two versions of the target."""
-    rows = _rows(spark, sf_dir).filter("seed = 41").withColumn("y2", F.col("y_reg") + 1e4 * (F.col("point_id") % 7))
-    by = ["backbone", "city"]
-    both = metrics.spearman(rows, by, "y_reg", "score", name="rho_v1").join(metrics.spearman(rows, by, "y2", "score", name="rho_v2"), by)
+    """Predictions against two versions of the target."""
+    rows = _rows(spark, sf_dir).withColumn("y2", F.col("y_reg") + 1e4 * (F.col("point_id") % 7))
+    both = metrics.spearman(rows, RUN, "y_reg", "score", name="rho_v1").join(metrics.spearman(rows, RUN, "y2", "score", name="rho_v2"), RUN)
     return both.withColumn("delta", F.col("rho_v2") - F.col("rho_v1"))
 
 
-_CH = f"SELECT city, backbone AS channel, y_ext AS a, CASE WHEN score >= 6e-1 THEN 1 ELSE 0 END AS b FROM ({_TWO}) WHERE seed = 41 AND y_ext IS NOT NULL"
+_CH = f"SELECT seed, city, backbone AS channel, y_ext AS a, CASE WHEN score >= 6e-1 THEN 1 ELSE 0 END AS b FROM ({_TWO}) WHERE y_ext IS NOT NULL"
 
 
-@query("channel_calibration", "city channel n11:i n10:i n01:i n00:i precision:f recall:f f1:f accuracy:f", f"SELECT *, {_PRF} FROM (SELECT coalesce(city, 'pooled') AS city, channel, {_CELLS} FROM ({_CH}) GROUP BY GROUPING SETS ((city, channel), (channel)))")
+@query("channel_calibration", "seed:i city channel n11:i n10:i n01:i n00:i precision:f recall:f f1:f accuracy:f", f"SELECT *, {_PRF} FROM (SELECT seed, coalesce(city, 'pooled') AS city, channel, {_CELLS} FROM ({_CH}) GROUP BY GROUPING SETS ((seed, city, channel), (seed, channel)))")
 def channel_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.finite(_two(spark, sf_dir).filter("seed = 41"), "y_ext").withColumn("b", (F.col("score") >= 0.6).cast("int")).withColumnRenamed("backbone", "channel")
+    rows = metrics.finite(_two(spark, sf_dir), "y_ext").withColumn("b", (F.col("score") >= 0.6).cast("int")).withColumnRenamed("backbone", "channel")
     cell = lambda i, j: F.count_if((F.col("y_ext") == i) & (F.col("b") == j)).alias(f"n{i}{j}")
-    sets = rows.groupingSets([[F.col("city"), F.col("channel")], [F.col("channel")]], F.col("city"), F.col("channel")).agg(*(cell(i, j) for i in (1, 0) for j in (1, 0)))
+    sets = rows.groupingSets([[F.col("seed"), F.col("city"), F.col("channel")], [F.col("seed"), F.col("channel")]], F.col("seed"), F.col("city"), F.col("channel")).agg(*(cell(i, j) for i in (1, 0) for j in (1, 0)))
     return metrics.threshold_metrics(sets.fillna("pooled", ["city"]))
 
 
@@ -357,14 +379,23 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.holm(tests, "p", ["seed", "city"])
 
 
-@query("construct_validity", "backbone city n:i rho:f t:f verdict", f"SELECT backbone, city, n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, CASE WHEN n >= 10 AND rho >= 5e-1 AND rho * sqrt((n - 2) / (1 - rho * rho)) > 196e-2 THEN 'FEATURE' ELSE 'HOLD' END AS verdict FROM (SELECT backbone, coalesce(city, 'all') AS city, n, rho FROM (SELECT backbone, city, count(*) AS n, corr(ra, rb) AS rho FROM ({_ranked('SELECT * FROM fx_predictions WHERE seed = 42', 'backbone, city', 'y_reg', 'score')}) GROUP BY backbone, city UNION ALL SELECT backbone, NULL, count(*), corr(ra, rb) FROM ({_ranked('SELECT * FROM fx_predictions WHERE seed = 42', 'backbone', 'y_reg', 'score')}) GROUP BY backbone))")
+_VALID = "SELECT backbone, seed, {c} AS city, count(*) AS n, corr(ra, rb) AS rho FROM ({r}) GROUP BY ALL"
+
+
+@query(
+    "construct_validity",
+    "backbone seed:i city n:i rho:f t:f verdict",
+    f"""SELECT *, CASE WHEN rho >= 5e-1 AND t > 196e-2 THEN 'FEATURE' ELSE 'DO_NOT_FEATURE' END AS verdict FROM (SELECT backbone, seed, city, n, rho, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t
+    FROM ({_VALID.format(c="city", r=_ranked("SELECT * FROM fx_predictions", _BY, "y_reg", "score"))} UNION ALL {_VALID.format(c="'all'", r=_ranked("SELECT * FROM fx_predictions", "backbone, seed", "y_reg", "score"))})) WHERE n >= 10 OR city = 'all'""",
+)
 def construct_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation with an outside score, each city and all, for one seed; the test is by its t statistic."""
-    rows = _rows(spark, sf_dir).filter("seed = 42")
+    """Correlation of each run with an outside score, over all and in cities of ten rows and more; the test is by its t statistic."""
+    rows = _rows(spark, sf_dir)
     rows = rows.unionByName(rows.withColumn("city", F.lit("all")))
-    found = metrics.spearman(rows, ["backbone", "city"], "y_reg", "score").join(rows.groupBy("backbone", "city").agg(F.count(F.lit(1)).alias("n")), ["backbone", "city"])
-    found = found.withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
-    return found.withColumn("verdict", F.when((F.col("n") >= 10) & (F.col("rho") >= 0.5) & (F.col("t") > 1.96), "FEATURE").otherwise("HOLD"))
+    sizes = rows.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 10) | (F.col("city") == "all"))
+    found = metrics.spearman(rows, RUN, "y_reg", "score").join(sizes, RUN)
+    found = found.withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))
+    return found.withColumn("verdict", F.when((F.col("rho") >= 0.5) & (F.col("t") > 1.96), "FEATURE").otherwise("DO_NOT_FEATURE"))
 
 
 @query("seed_average", "backbone city auroc:f", _auc_sql(f"SELECT backbone, city, point_id, round(avg(score), 9) AS score, max(y_bin) AS y_bin FROM ({_P}) GROUP BY ALL", "backbone, city"))
@@ -383,6 +414,43 @@ def ladder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(counts, "rung")
 
 
+_MEANS_CELLED = f"SELECT p.*, cx, cy FROM ({_SEED_MEANS}) p LEFT JOIN ({_CELLS_SQL}) e USING (point_id)"
+_OF_SEEDS = f"SELECT backbone, city, point_id, round(avg(score), 9) AS score, max(y_bin) AS y_bin FROM ({_P}) GROUP BY ALL"
+_BLOCK = "CASE WHEN city = 'pittsburgh' THEN 'pittsburgh' ELSE 'loco' END"
+
+
+@query(
+    "ladder_report",
+    "block rung n_directions:i mean:f std:f best:f mean_ensemble:f delta_mean:f delta_min:f delta_max:f n_better:i n_worse:i n_equivalent:i n_not_better:i n_inconclusive:i n_clear:i overall",
+    _DELONG.replace(_WIDE, _SEED_MEANS)
+    + f""", s AS (SELECT backbone, city, avg(auroc) AS seed_mean FROM ({_auc_sql(_P, _BY)}) GROUP BY backbone, city), e AS (SELECT backbone, city, auroc AS ensemble FROM ({_auc_sql(_OF_SEEDS, "backbone, city")})),
+    d AS (SELECT {_BLOCK} AS block, backbone AS rung, count(*) AS n_directions, avg(seed_mean) AS mean, coalesce(stddev_samp(seed_mean), 0) AS std, max(seed_mean) AS best, avg(ensemble) AS mean_ensemble FROM s JOIN e USING (backbone, city) GROUP BY 1, 2),
+    q AS (SELECT city, p, row_number() OVER (ORDER BY p, city) - 1 AS k, count(*) OVER () AS m FROM f WHERE p IS NOT NULL), w AS (SELECT city, least(max((m - k) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS p_holm FROM q),
+    i AS (SELECT city, CASE WHEN lo IS NULL OR hi IS NULL THEN 'inconclusive' WHEN lo > 2e-2 THEN 'better' WHEN hi < -2e-2 THEN 'worse' WHEN lo > -2e-2 AND hi < 2e-2 THEN 'equivalent' WHEN hi < 2e-2 THEN 'not_better' ELSE 'inconclusive' END AS verdict FROM ({_paired_sql(_MEANS_CELLED, _ALONE_UNIT, LEAST_CELLS)})),
+    r AS (SELECT {_BLOCK} AS block, 'siglip' AS rung, avg(auc_a - auc_b) AS delta_mean, min(auc_a - auc_b) AS delta_min, max(auc_a - auc_b) AS delta_max, {", ".join(f"count(CASE WHEN verdict = '{v}' THEN 1 END) AS n_{v}" for v in reports.VERDICTS)}, count(CASE WHEN p_holm < 5e-2 AND auc_a > auc_b THEN 1 END) AS n_clear FROM f JOIN i USING (city) LEFT JOIN w USING (city) GROUP BY 1)
+    SELECT d.*, delta_mean, delta_min, delta_max, n_better, n_worse, n_equivalent, n_not_better, n_inconclusive, n_clear, CASE WHEN n_better > 0 THEN 'mixed' WHEN n_inconclusive = 0 AND n_not_better + n_equivalent + n_worse > 0 THEN 'not_better' WHEN n_not_better + n_equivalent + n_worse > 0 THEN 'not_better_with_inconclusive' WHEN n_better IS NOT NULL THEN 'inconclusive' END AS overall
+    FROM d LEFT JOIN r USING (block, rung)""",
+)
+def ladder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rungs by block of directions: seeds' means, ensembles of seeds, and gaps to the baseline with their verdicts over cells.
+
+    Every city is scored by a model of another city, the last one by a model of the three others.
+    """
+    source = F.create_map(*map(F.lit, ("msp", "seattle", "seattle", "dc", "dc", "msp", "pittsburgh", "dc+msp+seattle")))[F.col("city")]
+    block, key = reports.direction_block(source, F.col("city")).alias("block"), ["backbone", "city"]
+    rows = metrics.finite(_rows(spark, sf_dir), "y_bin", "score")
+    seeds = metrics.auroc(rows, RUN, "y_bin", "score").groupBy(*key).agg(F.avg("auroc").alias("seed_mean"))
+    directions = seeds.join(seed_average(spark, sf_dir).withColumnRenamed("auroc", "ensemble"), key).select(block, F.col("backbone").alias("rung"), "seed_mean", "ensemble")
+    pick = lambda b: F.round(F.avg(F.when(F.col("backbone") == b, F.col("score"))), 9)
+    means = rows.groupBy("city", "point_id").agg(F.lit(0).alias("seed"), F.max("y_bin").alias("y_bin"), pick("siglip").alias("a"), pick("clip").alias("b"))
+    tests = inference.delong(means, ["city"], "y_bin", "a", "b").select("city", (F.col("auc_a") - F.col("auc_b")).alias("delta"), "p")
+    tests = inference.holm(tests, "p", ["city"])
+    cells = metrics.finite(means, "a", "b").join(_cells(spark, sf_dir), "point_id", "left")
+    said = _paired(cells, F.expr(_ALONE_UNIT), LEAST_CELLS).select("city", inference.verdict(F.col("lo"), F.col("hi"), clear=0.02).alias("verdict"))
+    paired = tests.join(said, "city").select(block, F.lit("siglip").alias("rung"), "delta", "verdict", "p_holm")
+    return reports.ladder(directions, paired, ["block", "rung"])
+
+
 @query("qcut_bins", "backbone bin:i n:i lo:f hi:f", "SELECT p.backbone, CASE WHEN y_reg <= q1 THEN 0 WHEN y_reg <= q2 THEN 1 WHEN y_reg <= q3 THEN 2 ELSE 3 END AS bin, count(*) AS n, min(y_reg) AS lo, max(y_reg) AS hi FROM fx_predictions p JOIN (SELECT backbone, quantile_cont(y_reg, 25e-2) AS q1, quantile_cont(y_reg, 5e-1) AS q2, quantile_cont(y_reg, 75e-2) AS q3 FROM fx_predictions GROUP BY backbone) q ON q.backbone = p.backbone GROUP BY ALL")
 def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)

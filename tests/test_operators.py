@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streetgrid.functions import geo, text
-from streetgrid.operators import agreement, geometry, graph, inference, metrics, models, near, runlog
+from streetgrid.operators import agreement, geometry, graph, inference, metrics, models, near, reports, runlog
 from streetgrid.sources import files
 
 #: Confusion tables (rows: reference) with published kappa, both areas and raw agreement.
@@ -267,3 +267,15 @@ def test_nearest_looks_beyond_the_inner_ring(spark):
     found = {r["point_id"]: (r["nearest_id"], r["dist"]) for r in near.nearest_within(points, features, ["city", "point_id"], "fid", 250.0).collect()}
     assert found[1][0] == 7 and found[2][0] == 9 and 200 < found[2][1] < 250
     assert found[3] == (None, None) and found[4] == (None, None)
+
+
+def test_ladder_of_few_directions(spark):
+    ways = [("seattle", "msp", "loco"), ("msp", "msp", None), ("dc+msp+seattle", "pittsburgh", "pittsburgh"), ("msp", "pittsburgh", None)]
+    found = spark.createDataFrame([w[:2] for w in ways], "s string, t string").select(reports.direction_block(F.col("s"), F.col("t"))).collect()
+    assert [r[0] for r in found] == [w[2] for w in ways]
+    directions = spark.createDataFrame([("loco", "a", 0.6, 0.7), ("loco", "a", 0.8, None), ("loco", "base", 0.5, 0.5)], "block string, rung string, seed_mean double, ensemble double")
+    paired = spark.createDataFrame([("loco", "a", 0.1, "better", 0.01), ("loco", "a", -0.1, "worse", 0.01)], "block string, rung string, delta double, verdict string, p_holm double")
+    a, base = (r.asDict() for r in reports.ladder(directions, paired, ["block", "rung"]).orderBy("rung").collect())
+    assert (a["n_directions"], a["best"], a["mean_ensemble"], a["n_better"], a["n_worse"], a["n_clear"], a["overall"]) == (2, 0.8, 0.7, 1, 1, 1, "mixed")
+    assert a["std"] == pytest.approx(0.02**0.5) and (a["delta_min"], a["delta_max"]) == (-0.1, 0.1)
+    assert base["std"] == 0.0 and base["delta_mean"] is None and base["n_better"] is None and base["overall"] is None
