@@ -92,18 +92,26 @@ def top_values(df: DataFrame, by: list[str], column: str, n: int) -> DataFrame:
     return counts.withColumn("place", place).filter(F.col("place") <= n)
 
 
-def split_share(df: DataFrame, by: list[str], order: Column, key: str, share: float, width: int) -> DataFrame:
-    """Add ``is_train``: 1 for the first share (rounded half to even) of each group in the order, ties by key.
+def placed(df: DataFrame, by: list[str], step: Column, order: list, place: str, size: str) -> DataFrame:
+    """Add each row's place in its group (from 1) and the group's size; ``step`` never falls along ``order``.
 
-    Rows are counted by steps of ``width`` of the order, and ranked inside a step only, so no task gets a whole group.
+    Rows are counted by steps and ranked inside a step only, so no task gets a whole group. ``step`` must not be null.
     """
-    rows = df.withColumn("_at", order).withColumn("_step", F.floor(F.col("_at") / width))
+    rows = df.withColumn("_step", F.coalesce(step, F.lit(0)))
     steps = rows.groupBy(*by, "_step").agg(F.count(F.lit(1)).alias("_n"))
     all_ = Window.partitionBy(*by)
-    steps = steps.withColumn("_before", F.sum("_n").over(all_.orderBy("_step")) - F.col("_n")).withColumn("_take", F.bround(F.sum("_n").over(all_) * share)).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*by, "_step").orderBy("_at", key))
-    ranked = rows.withColumn("_rank", rank).join(steps, [*by, "_step"])
-    return ranked.withColumn("is_train", (F.col("_before") + F.col("_rank") <= F.col("_take")).cast("int")).select(*df.columns, "is_train")
+    upto = F.sum("_n").over(all_.orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = steps.select(*by, "_step", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(all_).alias(size))
+    rank = F.row_number().over(Window.partitionBy(*by, "_step").orderBy(*order))
+    found = rows.withColumn("_rank", rank).join(steps, [*by, "_step"])
+    return found.select(*df.columns, (F.col("_before") + F.col("_rank")).alias(place), size)
+
+
+def split_share(df: DataFrame, by: list[str], order: Column, key: str, share: float, width: int) -> DataFrame:
+    """Add ``is_train``: 1 for the first share (rounded half to even) of each group in the order, ties by key; steps are ``width`` wide."""
+    rows = df.withColumn("_at", order)
+    found = placed(rows, by, F.floor(F.col("_at") / width), ["_at", key], "_k", "_size")
+    return found.select(*df.columns, (F.col("_k") <= F.bround(F.col("_size") * share)).cast("int").alias("is_train"))
 
 
 def availability(df: DataFrame, by: list[str], value: str, kind: str, least: int) -> DataFrame:

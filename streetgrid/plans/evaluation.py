@@ -467,8 +467,7 @@ _H = "(point_id * 7919 + 104729) % 1000003"
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points (one run's rows) in a seeded order, parted 80/10/10 inside each city and label."""
     points = metrics.finite(_rows(spark, sf_dir).filter("backbone = 'clip' AND seed = 41"), "y_bin")
-    w = Window.partitionBy("city", "y_bin")
-    r = points.withColumn("k", F.row_number().over(w.orderBy(F.expr(_H), "point_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    r = reports.placed(points, ["city", "y_bin"], F.floor(F.expr(_H) / 1000), [F.expr(_H), "point_id"], "k", "n")
     part = F.when(F.col("k") <= F.greatest(F.round(F.col("n") * 0.8), F.lit(1)), "train").when(F.col("k") <= F.greatest(F.round(F.col("n") * 0.9), F.lit(2)), "val").otherwise("test")
     return r.groupBy("city", "y_bin", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -487,7 +486,8 @@ def case_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     Errors are decimals: rounded before they are ranked, and nudged so that a half in the last digit shown goes one way.
     """
     e = _rows(spark, sf_dir).groupBy("city", "point_id").agg((F.round(F.abs(F.avg("score") - F.max("y_reg") / 3e5), 9) + 1e-9).alias("err"))
-    w = Window.partitionBy("city")
-    r = e.withColumns({"a": F.row_number().over(w.orderBy("err", "point_id")), "z": F.row_number().over(w.orderBy(F.desc("err"), "point_id")), "n": F.count(F.lit(1)).over(w)})
+    step = metrics.number_step(F.col("err"))
+    r = reports.placed(e, ["city"], step, ["err", "point_id"], "a", "n")
+    r = reports.placed(r, ["city"], -step, [F.desc("err"), "point_id"], "z", "n_").drop("n_")
     kind = F.when(F.col("a") == 1, "tightest").when(F.col("z") == 1, "worst").when(F.col("a") == F.floor(F.col("n") / 2) + 1, "middle")
     return r.withColumn("kind", kind).filter("kind IS NOT NULL").select("city", "kind", "point_id", "err")

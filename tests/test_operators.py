@@ -279,3 +279,13 @@ def test_ladder_of_few_directions(spark):
     assert (a["n_directions"], a["best"], a["mean_ensemble"], a["n_better"], a["n_worse"], a["n_clear"], a["overall"]) == (2, 0.8, 0.7, 1, 1, 1, "mixed")
     assert a["std"] == pytest.approx(0.02**0.5) and (a["delta_min"], a["delta_max"]) == (-0.1, 0.1)
     assert base["std"] == 0.0 and base["delta_mean"] is None and base["n_better"] is None and base["overall"] is None
+
+
+def test_places_by_steps(spark):
+    rows = [("a", i, (i * 37) % 11 - 5) for i in range(60)] + [("b", 1, 0), ("c", 2, None), ("c", 3, None)]
+    df = spark.createDataFrame(rows, "g string, i int, x int")
+    found = {r["i"]: (r["k"], r["n"]) for r in reports.placed(df, ["g"], metrics.number_step(F.col("x")), ["x", "i"], "k", "n").filter("g = 'a'").collect()}
+    expected = sorted((x, i) for g, i, x in rows if g == "a")
+    assert found == {i: (k, 60) for k, (_, i) in enumerate(expected, 1)}
+    others = reports.placed(df, ["g"], metrics.number_step(F.col("x")), ["x", "i"], "k", "n").filter("g <> 'a'").orderBy("i").collect()
+    assert [(r["i"], r["k"], r["n"]) for r in others] == [(1, 1, 1), (2, 1, 2), (3, 2, 2)]
