@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.shared import cut
 from . import metrics
 
 
@@ -124,7 +124,44 @@ def isotonic(train: DataFrame, df: DataFrame, y: str, score: str, least: int = 5
     return model.transform(df)
 
 
-def spatial_folds(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Folds of points that lie together, from metres ``x`` and ``y``."""
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points)
-    return KMeans(k=k, seed=seed, predictionCol="fold").fit(rows).transform(rows).drop("features")
+#: Groups whose centres are broadcast; the centres of more are joined.
+FEW_GROUPS = 1 << 16
+
+
+def spatial_folds(points: DataFrame, k: int, by: str = "city", order: str = "point_id", rounds: int = 50, few: int = FEW_GROUPS) -> DataFrame:
+    """``fold`` (0 to k - 1) of each point among the points of its group that lie together: k-means of metres x, y, all groups at once.
+
+    The start is fixed: the point nearest the group's mean, then always the one farthest from the centres so far (ties: the
+    smallest ``order``). A point belongs to its nearest centre (ties: the smaller number); centres move to the mean of their
+    points until none moves by a micrometre, for ``rounds`` rounds at most. Points without a group or a finite place have
+    no fold; groups of fewer than k distinct places have fewer folds. A round's sums are partial before they are shuffled, so a group
+    that holds most points is no hot one.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    placed = cut(points.filter(F.col(by).isNotNull() & known("x") & known("y")).select(by, order, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    place = F.struct("x", "y")
+    away = lambda c: F.pow(F.col("x") - c["x"], 2) + F.pow(F.col("y") - c["y"], 2)
+    nearest = lambda name: F.array_min(F.transform(name, lambda c, i: F.struct(away(c).alias("d"), i.alias("fold"))))
+
+    means = cut(placed.groupBy(by).agg(F.array(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y"))).alias("_m")))
+    first = F.min_by(place, F.struct(nearest("_m")["d"], F.col(order)))
+    # There are as many rows of centres as of means throughout.
+    small = means.count() <= few
+    beside = lambda rows, centres, how="inner": rows.join(F.broadcast(centres) if small else centres, by, how)
+    centres = cut(beside(placed, means).groupBy(by).agg(F.array(first).alias("_c")))
+    for _ in range(k - 1):
+        far = beside(placed, centres).groupBy(by).agg(F.min_by(F.struct("x", "y", nearest("_c")["d"].alias("d")), F.struct(-nearest("_c")["d"], F.col(order))).alias("_f"))
+        one = F.array(F.struct(F.col("_f.x").alias("x"), F.col("_f.y").alias("y")))
+        centres = cut(centres.join(far, by).select(by, F.when(F.col("_f.d") > 0, F.concat("_c", one)).otherwise(F.col("_c")).alias("_c")))
+    for _ in range(rounds):
+        sums = beside(placed, centres).select(by, "x", "y", nearest("_c")["fold"].alias("_n")).groupBy(by, "_n").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        moved = sums.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("_n", place))).alias("_to"))
+        # A centre without points stays where it is.
+        to = F.transform("_c", lambda c, i: F.coalesce(F.col("_to")[i], c))
+        step = F.array_max(F.zip_with("_c", "_new", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"]))))
+        after = cut(centres.join(moved, by).withColumn("_new", to).select(by, F.col("_new").alias("_c"), step.alias("_step")))
+        still = after.agg(F.max("_step")).first()[0]
+        centres = after.select(by, "_c")
+        if still is None or still < 1e-6:
+            break
+    return beside(points, centres, "left").withColumn("fold", F.when(known("x") & known("y") & F.col("_c").isNotNull(), nearest("_c")["fold"])).drop("_c")

@@ -117,15 +117,13 @@ def dimension_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "group_summaries",
-    "city heading:i n:i mean:f pop:f samp:f least_:f most:f n_wide:i always_zero:i bg_r2:f",
-    "SELECT city, heading, count(*) AS n, avg(vegetation_frac) AS mean, stddev_pop(vegetation_frac) AS pop, stddev_samp(vegetation_frac) AS samp, min(vegetation_frac) AS least_, max(vegetation_frac) AS most, count(CASE WHEN sidewalk_width_px > 150 THEN 1 END) AS n_wide, CASE WHEN max(abs(coalesce(CASE WHEN city = 'dc' THEN 0e0 ELSE sidewalk_width_px END, 0))) = 0 THEN 1 ELSE 0 END AS always_zero, 1 - avg(power(vegetation_frac - sidewalk_frac * 4, 2)) / var_pop(vegetation_frac) AS bg_r2 FROM fx_mask_stats GROUP BY city, heading",
+    "city heading:i n:i mean:f pop:f samp:f least_:f most:f n_wide:i always_zero:i",
+    "SELECT city, heading, count(*) AS n, avg(vegetation_frac) AS mean, stddev_pop(vegetation_frac) AS pop, stddev_samp(vegetation_frac) AS samp, min(vegetation_frac) AS least_, max(vegetation_frac) AS most, count(CASE WHEN sidewalk_width_px > 150 THEN 1 END) AS n_wide, CASE WHEN max(abs(coalesce(CASE WHEN city = 'dc' THEN 0e0 ELSE sidewalk_width_px END, 0))) = 0 THEN 1 ELSE 0 END AS always_zero FROM fx_mask_stats GROUP BY city, heading",
 )
 def group_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = load(spark, sf_dir, "fx_mask_stats").withColumn("zero", F.when(F.col("city") == "dc", 0.0).otherwise(F.coalesce("sidewalk_width_px", F.lit(0.0))))
     v, by = F.col("vegetation_frac"), ["city", "heading"]
-    stats = m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("pop"), F.stddev_samp(v).alias("samp"), F.min(v).alias("least_"), F.max(v).alias("most"), F.count_if(F.col("sidewalk_width_px") > 150).alias("n_wide"), (F.max(F.abs("zero")) == 0).cast("int").alias("always_zero"))
-    fit = metrics.regression_errors(m.withColumn("p", F.col("sidewalk_frac") * 4), by, "vegetation_frac", "p")
-    return stats.join(fit.select(*by, F.col("r2").alias("bg_r2")), by)
+    return m.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("pop"), F.stddev_samp(v).alias("samp"), F.min(v).alias("least_"), F.max(v).alias("most"), F.count_if(F.col("sidewalk_width_px") > 150).alias("n_wide"), (F.max(F.abs("zero")) == 0).cast("int").alias("always_zero"))
 
 
 @query("source_cascade", "city source n:i", "WITH s AS (SELECT city, 1 AS o, 'graph' AS source FROM fx_segments WHERE class = 'marked' AND city IN ('msp', 'dc') UNION ALL SELECT city, 2, 'features' FROM fx_segments WHERE class = 'steps' AND city <> 'pittsburgh'), b AS (SELECT city, min(o) AS o FROM s GROUP BY city) SELECT p.city, coalesce(max(s.source), 'none') AS source, count(s.source) AS n FROM (SELECT DISTINCT city FROM fx_points) p LEFT JOIN b ON b.city = p.city LEFT JOIN s ON s.city = b.city AND s.o = b.o GROUP BY p.city")
@@ -178,16 +176,11 @@ def masked_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("spatial_folds")
 def spatial_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of each city in five folds that lie together; metres around the city's middle, cities kept far apart."""
+    """Points of every city in five folds that lie together, in metres around the city's middle."""
     p = load(spark, sf_dir, "fx_points")
     centre = p.groupBy("city").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
     x, y = geo.equirectangular_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    rows = p.join(centre, "city").select(*KEY, x.alias("x"), y.alias("y"))
-    folds = None
-    for city in ("dc", "msp", "pittsburgh", "seattle"):
-        own = models.spatial_folds(rows.filter(F.col("city") == city), 5)
-        folds = own if folds is None else folds.unionByName(own)
-    return folds.select(*KEY, "fold")
+    return models.spatial_folds(p.join(centre, "city").select(*KEY, x.alias("x"), y.alias("y")), 5).select(*KEY, "fold")
 
 
 def _vectors(spark, sf_dir):
