@@ -77,3 +77,11 @@ def metres_to_lon(m: Column, lat: Column) -> Column:
 def bearing(dx: Column, dy: Column) -> Column:
     """Degrees clockwise from north."""
     return F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0))
+
+
+def tile_boxes(west: Column, south: Column, east: Column, north: Column, step: float) -> Column:
+    """Boxes (west, south, east, north) of at most ``step`` degrees that cover an area, row by row from the south; the last of each row
+    and column are cut at the area's edge. An area without extent has none."""
+    starts = lambda a, b: F.when(b > a, F.transform(F.sequence(F.lit(0), F.ceil((b - a) / step).cast("int") - 1), lambda i: a + i * step)).otherwise(F.array().cast("array<double>"))
+    box = lambda y, x: F.struct(x.alias("west"), y.alias("south"), F.least(x + step, east).alias("east"), F.least(y + step, north).alias("north"))
+    return F.flatten(F.transform(starts(south, north), lambda y: F.transform(starts(west, east), lambda x: box(y, x))))

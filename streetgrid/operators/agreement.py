@@ -29,6 +29,38 @@ def features(captions: DataFrame) -> DataFrame:
     return captions.withColumns(codes | uses).withColumn("unknown_count", unknown).withColumn("known_fraction", 1 - F.col("unknown_count") / len(fields))
 
 
+#: Categories that a field may have before its columns are too many for a table.
+MOST_CATEGORIES = 1000
+
+
+def categories(captions: DataFrame, most: int = MOST_CATEGORIES) -> dict[str, list[str]]:
+    """Of each field the values that occur in the table, sorted; several at once where a field may have several (``a|b``)."""
+    value = lambda f: F.split(F.col(f), r"\|") if f in text.MULTI else F.array(F.lower(F.coalesce(F.col(f), F.lit("unknown"))))
+    fields = [*text.SINGLE, *text.MULTI]
+    each = captions.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), value(f).alias("v")) for f in fields))).alias("s")).select("s.field", F.explode("s.v").alias("value"))
+    found = each.filter("value <> ''").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.slice(F.collect_set("value"), 1, most)).alias("values")).collect()
+    if large := [r["field"] for r in found if r["n"] > most]:
+        raise ValueError(f"more than {most} values in {large}")
+    return {f: r["values"] for f in fields for r in found if r["field"] == f}
+
+
+def one_hot(captions: DataFrame, found: dict[str, list[str]] | None = None) -> DataFrame:
+    """Validated captions with ``cap_<field>__<value>`` (0 or 1) for each value that occurs, ordinals with a flag, and what is unknown.
+
+    ``found``: the values of another table, so that a table to be scored gets the columns of the one that a model was fitted on.
+    """
+    found = categories(captions) if found is None else found
+    said = {f: F.lower(F.coalesce(F.col(f), F.lit("unknown"))) for f in text.SINGLE}
+    many = {f: F.split(F.coalesce(F.col(f), F.lit("unknown")), r"\|") for f in text.MULTI}
+    cols = {f"cap_{f}__{v}": (said[f] == v if f in said else F.array_contains(many[f], v)).cast("int") for f, values in found.items() for v in values}
+    for f in text.ORDINAL:
+        code = F.coalesce(text.ordinal(f, said[f]), F.lit(-1))
+        cols |= {f"cap_{f}_ord": code, f"cap_{f}_known": (code >= 0).cast("int")}
+    gaps = [*(c == "unknown" for c in said.values()), *(F.array_contains(c, "unknown") for c in many.values())]
+    unknown = sum((g.cast("int") for g in gaps), F.lit(0))
+    return captions.withColumns(cols | {"cap_unknown_count": unknown, "cap_known_fraction": (len(gaps) - unknown) / len(gaps)})
+
+
 def binned(value: Column, low: float, high: float) -> Column:
     """0 below ``low``, 2 from ``high`` on, else 1; null stays null."""
     return F.when(value.isNull(), None).when(value < low, 0).when(value >= high, 2).otherwise(1)

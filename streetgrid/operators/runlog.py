@@ -45,3 +45,16 @@ def grid(spark, backbones: list[str], cities: list[str], seeds: list[int]) -> Da
     for name, values in (("train_city", cities), ("test_city", cities), ("seed", seeds)):
         out = out.withColumn(name, each(values))
     return out.filter("train_city <> test_city")
+
+
+def paired(rows: DataFrame, a: str, b: str, cell: list[str], backbone: str = "backbone") -> DataFrame:
+    """Points that runs of two backbones both scored in a cell, by the first seed that each has there: y, score_a, score_b, seed_a, seed_b.
+
+    A seed is chosen for a run as a whole, so a target that only one of the two runs has gives no pair. One shuffle brings both sides together.
+    """
+    rows = rows.filter(F.col(backbone).isin(a, b))
+    first = rows.groupBy(*cell, backbone).agg(F.min("seed").alias("seed"))
+    side = lambda name, c: F.max(F.when(F.col(backbone) == name, F.col(c)))
+    both = rows.join(first, [*cell, backbone, "seed"], "left_semi").groupBy(*cell, "target", "point_id").agg(
+        F.coalesce(side(a, "y"), side(b, "y")).alias("y"), side(a, "logit").alias("score_a"), side(b, "logit").alias("score_b"), side(a, "seed").alias("seed_a"), side(b, "seed").alias("seed_b"))
+    return both.filter("score_a IS NOT NULL AND score_b IS NOT NULL")

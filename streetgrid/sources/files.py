@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -21,12 +21,24 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank and broken ones are left out."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, ordinal: str | None = None) -> DataFrame:
+    """JSON lines; blank and broken ones, and those that are no object, are left out.
+
+    ``ordinal``: a column with the line's number in its file, from 0, that counts those lines too. Blocks of a file are read apart,
+    so lines are counted by block first, and no task reads a whole file.
+    """
     full = T._parse_datatype_string(schema).add("_corrupt_record", "string")
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    needed = [f.name for f in full.fields if f.name != "_corrupt_record"]
-    return df.filter(F.col("_corrupt_record").isNull() & ~F.forall(F.array(*(F.col(c).cast("string") for c in needed)), lambda x: x.isNull())).select(*needed)
+    lines = spark.read.text(path)
+    if ordinal:
+        block = ["_file", "_start"]
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+        sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+        # A row for each block of a file.
+        earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        lines = lines.join(sizes.withColumn("_before", earlier).drop("_n"), block).select("value", (F.col("_before") + F.col("_id") - F.col("_first")).alias("_ordinal"))
+    parsed = lines.withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    kept = parsed.filter(F.ltrim("value").startswith("{") & F.col("_r").isNotNull() & F.col("_r._corrupt_record").isNull())
+    return kept.select(*(F.col("_r")[f.name].alias(f.name) for f in full.fields[:-1]), *([F.col("_ordinal").alias(ordinal)] if ordinal else []))
 
 
 #: Points of one GeoJSON collection, about.
