@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import agreement, alignment, metrics, runlog
 from ..sources import bundles, files
-from ..sources.shared import new_path
+from ..sources.shared import cut, new_path
 from .evaluation import _auc_sql, _ranked
 from .fixtures import load
 from .registry import query
@@ -87,7 +87,8 @@ _BY = "family, seed, src, dst"
 )
 def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by target: area and precision of those with two classes, rank correlation of others, each over all runs that have it."""
-    rows, by = _bundles(spark, sf_dir), ["family", "seed", *CELL, "target"]
+    # Written once: three metrics and the list of runs read it.
+    rows, by = cut(_bundles(spark, sf_dir)), ["family", "seed", *CELL, "target"]
     two, many = rows.filter(F.col("target") == BINARY), rows.filter(F.col("target") == REGRESSION)
     runs = rows.select(*by).distinct()
     for found in (metrics.auroc(two, by, "y", "logit"), metrics.average_precision(two, by, "y", "logit"), metrics.spearman(many, by, "y", "logit")):
@@ -120,11 +121,13 @@ def bundle_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a, b in PAIRS:
         one = runlog.paired(rows, a, b, CELL, "family").withColumns({"one": F.lit(a), "other": F.lit(b)})
         both = one if both is None else both.unionByName(one)
-    two, many = both.filter(F.col("target") == BINARY), both.filter(F.col("target") == REGRESSION)
+    both = cut(both)
     found = both.groupBy(*by).agg(F.min("seed_a").alias("seed_a"), F.min("seed_b").alias("seed_b"), F.count(F.lit(1)).alias("n"))
-    for side in ("a", "b"):
-        score, name = f"score_{side}", f"metric_{side}"
-        found = found.join(metrics.auroc(two, by, "y", score, name=name).unionByName(metrics.spearman(many, by, "y", score, name=name)), by)
+    # Both sides go through one metric.
+    long = both.select(*by, "y", F.explode(F.create_map(F.lit("a"), "score_a", F.lit("b"), "score_b")).alias("side", "score"))
+    two, many = long.filter(F.col("target") == BINARY), long.filter(F.col("target") == REGRESSION)
+    each = metrics.auroc(two, [*by, "side"], "y", "score", name="m").unionByName(metrics.spearman(many, [*by, "side"], "y", "score", name="m"))
+    found = found.join(each.groupBy(*by).agg(*(F.max(F.when(F.col("side") == side, F.col("m"))).alias(f"metric_{side}") for side in "ab")), by)
     return found.select("one", "other", "src", "dst", "target", "seed_a", "seed_b", "n", "metric_a", "metric_b", (F.col("metric_a") - F.col("metric_b")).alias("gap"))
 
 
