@@ -69,7 +69,8 @@ def _bundles(spark, sf_dir):
     bundles.write_bundles(p.filter("backbone = 'siglip'").select("run_id", "point_id", *ramp, *price), path)
     bundles.write_bundles(p.filter("backbone = 'clip'").select("run_id", "point_id", *ramp), path)
     bundles.write_bundles(p.filter("seed = 42").select(F.lit("notes").alias("run_id"), "point_id", *ramp), path)
-    return bundles.read_bundles(spark, path)
+    # Written once, as metrics, seeds and pairs all read it.
+    return cut(bundles.read_bundles(spark, path))
 
 
 _RHO = "SELECT {by}, corr(ra, rb) AS rho FROM ({source}) GROUP BY {by}"
@@ -87,8 +88,7 @@ _BY = "family, seed, src, dst"
 )
 def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by target: area and precision of those with two classes, rank correlation of others, each over all runs that have it."""
-    # Written once: three metrics and the list of runs read it.
-    rows, by = cut(_bundles(spark, sf_dir)), ["family", "seed", *CELL, "target"]
+    rows, by = _bundles(spark, sf_dir), ["family", "seed", *CELL, "target"]
     two, many = rows.filter(F.col("target") == BINARY), rows.filter(F.col("target") == REGRESSION)
     runs = rows.select(*by).distinct()
     for found in (metrics.auroc(two, by, "y", "logit"), metrics.average_precision(two, by, "y", "logit"), metrics.spearman(many, by, "y", "logit")):

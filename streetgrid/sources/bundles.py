@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +28,26 @@ def write_bundles(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+#: The run in a path: the name of a file, or of the folder it lies in.
+IN_PATH = r"([^/=]+__seed\d+)(?:\.parquet$|/[^/]*$)"
+#: Runs whose names are broadcast; more are joined.
+FEW_RUNS = 1 << 16
+
+
+def read_bundles(spark: SparkSession, path: str, few: int = FEW_RUNS) -> DataFrame:
     """A row for each run, target and point that has a logit: the name's parts, target, point_id, y, logit.
 
-    Runs may have different targets. What lies under a name that is no run's is left out before it is read further.
+    Runs may have different targets. What lies under a name that is no run's is left out. Names are taken apart once a run, not once a row.
     """
     files = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(path)
-    run = F.regexp_extract("_metadata.file_path", r"([^/=]+__seed\d+)(?:\.parquet$|/[^/]*$)", 1)
     targets = [c.removeprefix("logit__") for c in files.columns if c.startswith("logit__")]
     if not targets:
         raise ValueError(f"no logits under {path}")
+    # The list of files, which the driver has from planning the scan.
+    names = sorted({m.group(1) for f in files.inputFiles() if (m := re.search(IN_PATH, f))})
+    parts = name_parts(F.col("_run"))
+    runs = spark.createDataFrame([(n,) for n in names], "_run string").filter(F.col("_run").rlike(NAME)).select("_run", *(c.alias(n) for n, c in parts.items()))
     known = lambda c: F.when(~F.isnan(c), F.col(c).cast("double")) if c in files.columns else F.lit(None).cast("double")
     each = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), known(f"y__{t}").alias("y"), known(f"logit__{t}").alias("logit")) for t in targets)))
-    parts = name_parts(F.col("_run"))
-    rows = files.select(run.alias("_run"), "point_id", *(c for c in files.columns if c.startswith(("logit__", "y__")))).filter(F.col("_run").rlike(NAME))
-    return rows.select(*(c.alias(n) for n, c in parts.items()), "point_id", each.alias("_t")).select(*parts, "point_id", "_t.*").filter("logit IS NOT NULL")
+    rows = files.select(F.regexp_extract("_metadata.file_path", IN_PATH, 1).alias("_run"), "point_id", each.alias("_t")).select("_run", "point_id", "_t.*").filter("logit IS NOT NULL")
+    return rows.join(F.broadcast(runs) if len(names) <= few else runs, "_run").select(*parts, "point_id", "target", "y", "logit")

@@ -51,14 +51,15 @@ def test_in_all(spark):
 RUN = "{}__cross_city__msp_to_dc__tier1__full__seed{}"
 
 
-def test_bundles(spark, tmp_path):
+@pytest.mark.parametrize("few", [bundles.FEW_RUNS, 0])
+def test_bundles(spark, tmp_path, few):
     """Runs of different targets in folders and in plain files; what is no run stays out; NaN labels are unknown."""
     rows = spark.createDataFrame([(RUN.format("siglip_lora_loco_v2_dc", 41), 1, 1.0, 0.5), (RUN.format("siglip_lora_loco_v2_dc", 41), 2, math.nan, 0.7), ("notes", 3, 1.0, 0.5)], "run_id string, point_id long, y__ramp double, logit__ramp double")
     bundles.write_bundles(rows, str(tmp_path))
     bundles.write_bundles(spark.createDataFrame([(RUN.format("clip", 7), 1, 5.0, math.nan), (RUN.format("clip", 7), 2, 6.0, 2.5)], "run_id string, point_id long, y__price double, logit__price double"), str(tmp_path))
     spark.createDataFrame([(8, 0.25)], "point_id long, logit__ramp double").coalesce(1).write.parquet(str(tmp_path / "aside"))
     next((tmp_path / "aside").glob("*.parquet")).rename(tmp_path / "siglip__in_city__msp+dc_to_dc__tier2__vision_only__seed9.parquet")
-    found = sorted((r.family, r.backbone, r.evaluation, r.src, r.dst, r.tier, r.ablation, r.seed, r.target, r.point_id, r.y, r.logit) for r in bundles.read_bundles(spark, str(tmp_path)).fillna(-1.0, ["y"]).collect())
+    found = sorted((r.family, r.backbone, r.evaluation, r.src, r.dst, r.tier, r.ablation, r.seed, r.target, r.point_id, r.y, r.logit) for r in bundles.read_bundles(spark, str(tmp_path), few).fillna(-1.0, ["y"]).collect())
     loco = ("siglip_lora_loco_v2", "siglip_lora_loco_v2_dc", "cross_city", "msp", "dc", 1, "full", 41, "ramp")
     assert found == [
         ("clip", "clip", "cross_city", "msp", "dc", 1, "full", 7, "price", 2, 6.0, 2.5),
