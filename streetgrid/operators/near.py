@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_LAT, METRES_LON, haversine_m
+from ..functions.geo import METRES_LAT, METRES_LON, haversine_m, heading_error
 from ..sources.shared import cut
 
 #: Metres beyond which there is nothing on the globe.
@@ -155,6 +155,32 @@ def nearest_within(points: DataFrame, features: DataFrame, key: list[str], featu
     return points.select(*key).join(done, key, "left").select(*key, F.col("_b.id").alias("nearest_id"), F.col("_b.dist").alias("dist"))
 
 
+def best_views(points: DataFrame, images: DataFrame, key: list[str], headings: tuple[int, ...], radius: float, most_error: float, per_degree: float) -> DataFrame:
+    """(*key, heading, image_id, dist, err): of the images within ``radius`` whose ``angle`` is at most ``most_error`` off, the least dist + ``per_degree`` * err.
+
+    Ties go to the smaller id. A point is done when no image beyond the ring could be better for any heading; the others look twice as far.
+    """
+    by = key[0]
+    points, images = points.select(*key, "lat", "lon"), images.select(by, "image_id", "lat", "lon", "angle")
+    r, todo, done = min(first_look(points, images, by, 12, radius) + per_degree * most_error, radius), points, None
+    while True:
+        pairs = pairs_within(images, todo, r, by=by).withColumn("heading", F.explode(F.array(*map(F.lit, headings))))
+        pairs = pairs.withColumn("err", heading_error(F.col("heading"), F.col("angle"))).filter(F.col("err") <= most_error)
+        best = F.min(F.struct((F.col("dist") + per_degree * F.col("err")).alias("cost"), "image_id", "dist", "err")).alias("_b")
+        ring = pairs.groupBy(*(F.col("r_" + c).alias(c) for c in key), "heading").agg(best)
+        if r >= radius:
+            done = ring if done is None else done.unionByName(ring)
+            break
+        ring = cut(ring)
+        full = ring.filter(F.col("_b.cost") <= r).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(headings)).select(*key)
+        part = ring.join(full, key, "left_semi")
+        done = part if done is None else done.unionByName(part)
+        todo, r = cut(todo.join(full, key, "left_anti")), min(2 * r, radius)
+        if todo.isEmpty():
+            break
+    return done.select(*key, "heading", F.col("_b.image_id").alias("image_id"), "_b.dist", "_b.err")
+
+
 def knn(points: DataFrame, k: int, point_id: str = "point_id", by: str = "city", first_radius: float = 300.0, others: DataFrame | None = None) -> DataFrame:
     """(by, point_id, neighbour, dist, rank): the ``k`` nearest others of each point, ties to the smaller id.
 

@@ -39,10 +39,7 @@ def best_heading_image(spark: SparkSession, sf_dir: str) -> DataFrame:
         (by_city(44.95, 47.60, 38.90, 40.44) + (F.col("event_id") * 5171 % 10007) / 10007.0 * 5e-2).alias("lat"), (by_city(-93.20, -122.33, -77.02, -79.98) + (F.col("event_id") * 4447 % 9973) / 9973.0 * 5e-2).alias("lon"),
         (F.col("event_id") * 37 % 360).alias("angle"),
     )
-    pairs = near.pairs_within(load(spark, sf_dir, "fx_points"), images, 300.0).withColumn("heading", F.explode(F.array(*map(F.lit, geo.HEADINGS))))
-    pairs = pairs.withColumn("err", geo.heading_error(F.col("heading"), F.col("r_angle"))).filter("err <= 60")
-    best = pairs.groupBy(*KEY, "heading").agg(F.min_by(F.struct("r_image_id", "dist", "err"), F.struct((F.col("dist") + 0.25 * F.col("err")).alias("s"), "r_image_id")).alias("b"))
-    return best.select(*KEY, "heading", F.col("b.r_image_id").alias("image_id"), "b.dist", "b.err")
+    return near.best_views(load(spark, sf_dir, "fx_points"), images, KEY, geo.HEADINGS, 300.0, 60.0, 0.25)
 
 
 _ACTIVE = """SELECT service_id FROM ((SELECT service_id FROM fx_calendar WHERE tuesday = 1 AND 20240312 BETWEEN start_date AND end_date EXCEPT SELECT service_id FROM fx_calendar_dates WHERE date = 20240312 AND exception_type = 2)
