@@ -39,8 +39,8 @@ def replicate_weights(units: np.ndarray, first: int, last: int) -> np.ndarray:
     return np.searchsorted(np.array(BORDERS), x, side="right").astype(np.float64)
 
 
-def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, replicates: int) -> list[tuple[float, bool, np.ndarray]]:
-    """Sums of a block in order of score: its first score's rows, those between, its last score's rows.
+def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, times: np.ndarray, replicates: int) -> list[tuple[float, bool, np.ndarray]]:
+    """Sums of a block in order of score (rows that stand for ``times`` rows): its first score's rows, those between, its last score's rows.
 
     Each piece is (least score, one score only, sums); sums are the replicates' positive weights, negative weights, and
     pairs of a positive above a negative (half where they tie), which are left to later where the score is one only.
@@ -48,9 +48,10 @@ def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, replicates: int
     starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
     cuts = [0] if len(starts) == 1 else [0, *([starts[1]] if len(starts) > 2 else []), starts[-1]]
     out = [np.zeros((3, replicates)) for _ in cuts]
-    step = max(1, AT_ONCE // len(score))
+    step, several = max(1, AT_ONCE // len(score)), bool((times != 1).any())
     for k in range(0, replicates, step):
         w = replicate_weights(units, k, min(k + step, replicates))
+        w = w * times[:, None] if several else w
         p, n = np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w * (1 - y)[:, None], starts)
         below = np.cumsum(n, axis=0) - n / 2
         bounds = np.searchsorted(starts, [*cuts, len(score)])
@@ -64,14 +65,16 @@ def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, replicates: int
 _PIECE = [T.StructField("_score", T.DoubleType()), T.StructField("_sums", T.BinaryType())]
 
 
-def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Column, replicates: int, name: str = "auroc") -> DataFrame:
+def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Column, replicates: int, name: str = "auroc", shared: bool = False) -> DataFrame:
     """(*by, rep, area under the ROC curve) of every replicate; null where it has one class only.
 
     ``unit`` numbers what is drawn. Rows are range-partitioned by group and score, ties spread by their unit; what comes
-    back of a block are three sums for each replicate.
+    back of a block are three sums for each replicate. ``shared``: many rows have one unit, so those that also have one score are
+    counted first and weighed once.
     """
     key = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by))
     rows = metrics.finite(df, y, score).select(*by, key.alias("_key"), F.col(score).cast("double").alias("_s"), (F.col(y) == 1).cast("double").alias("_y"), F.pmod(unit.cast("long"), F.lit(PRIME)).alias("_u"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("_m")) if shared else rows.withColumn("_m", F.lit(1.0))
     rows = rows.repartitionByRange(*by, "_s", "_u").sortWithinPartitions("_key", "_s")
     fields = [rows.schema[c] for c in by]
     names = [*by, "_score", "_sums"]
@@ -83,7 +86,7 @@ def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Colu
             block = pa.Table.from_batches(held)
             keys = block.column("_key").to_numpy()
             edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-            values = [block.column(c).to_numpy() for c in ("_s", "_y", "_u")]
+            values = [block.column(c).to_numpy() for c in ("_s", "_y", "_u", "_m")]
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 found = _pieces(*(v[i:j] for v in values), replicates)
                 group = [pa.array([block.column(c)[i].as_py()] * len(found), block.schema.field(c).type) for c in by]
@@ -140,11 +143,11 @@ def _string(total: np.ndarray, same: np.ndarray) -> None:
     total[1] += same[1]
 
 
-def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], unit: Column, replicates: int) -> DataFrame:
+def bootstrap(df: DataFrame, by: list[str], y: str, scores: list[str], unit: Column, replicates: int, shared: bool = False) -> DataFrame:
     """(*by, rep, m_<score> for each of ``scores``): areas of all replicates, on the same weights. Rows of one unit go together."""
     rows, out = metrics.finite(df, y, *scores), None
     for s in scores:
-        found = replicate_areas(rows, by, y, s, unit, replicates, name=f"m_{s}")
+        found = replicate_areas(rows, by, y, s, unit, replicates, name=f"m_{s}", shared=shared)
         out = found if out is None else out.join(found, [*by, "rep"])
     return out
 

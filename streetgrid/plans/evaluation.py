@@ -231,8 +231,8 @@ _POINT_CI = _settled_sql(_areas(_P, _BY, "point_id"), _P, _BY, "auroc", LEAST_PO
 _CI_COLUMNS = "backbone seed:i city lo:f hi:f mean:f std:f n:i"
 
 
-def _settled_areas(rows: DataFrame, unit, least: int) -> DataFrame:
-    reps = inference.bootstrap(rows, RUN, "y_bin", ["score"], unit, WHOLE)
+def _settled_areas(rows: DataFrame, unit, least: int, shared: bool = False) -> DataFrame:
+    reps = inference.bootstrap(rows, RUN, "y_bin", ["score"], unit, WHOLE, shared)
     return inference.settled_interval(reps, metrics.finite(rows, "y_bin", "score"), RUN, "m_score", least)
 
 
@@ -257,9 +257,9 @@ def _paired_sql(source: str, unit: str, least: int) -> str:
     return _settled_sql(gaps, source, by, "diff", least)
 
 
-def _paired(rows: DataFrame, unit, least: int) -> DataFrame:
+def _paired(rows: DataFrame, unit, least: int, shared: bool = False) -> DataFrame:
     by = ["seed", "city"]
-    reps = inference.bootstrap(rows, by, "y_bin", ["a", "b"], unit, WHOLE).withColumn("diff", F.col("m_a") - F.col("m_b")).filter("diff IS NOT NULL")
+    reps = inference.bootstrap(rows, by, "y_bin", ["a", "b"], unit, WHOLE, shared).withColumn("diff", F.col("m_a") - F.col("m_b")).filter("diff IS NOT NULL")
     found = inference.settled_interval(reps, metrics.finite(rows, "y_bin", "a", "b"), by, "diff", least)
     p = reps.groupBy(*by).agg(inference.paired_p(F.col("diff")).alias("p"))
     return found.join(p, by, "left")
@@ -298,14 +298,14 @@ def block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of each run's area over drawn cells."""
     rows = _celled(spark, sf_dir)
     cells = rows.groupBy(*RUN).agg(F.count_distinct("cx", "cy").alias("n_cells"))
-    return _settled_areas(rows, F.expr(_CELL_UNIT), LEAST_CELLS).join(cells, RUN)
+    return _settled_areas(rows, F.expr(_CELL_UNIT), LEAST_CELLS, shared=True).join(cells, RUN)
 
 
 @query("ci_width_ratio_1000", "backbone seed:i city width:f naive_width:f ratio:f", f"SELECT {_BY}, c.hi - c.lo AS width, p.hi - p.lo AS naive_width, (c.hi - c.lo) / nullif(p.hi - p.lo, 0) AS ratio FROM ({_CELL_CI}) c JOIN ({_POINT_CI}) p USING ({_BY})")
 def ci_width_ratio_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of the interval over cells by that over points."""
     width = lambda found, name: found.select(*RUN, (F.col("hi") - F.col("lo")).alias(name))
-    both = width(_settled_areas(_celled(spark, sf_dir), F.expr(_CELL_UNIT), LEAST_CELLS), "width").join(width(bootstrap_ci_1000(spark, sf_dir), "naive_width"), RUN)
+    both = width(_settled_areas(_celled(spark, sf_dir), F.expr(_CELL_UNIT), LEAST_CELLS, shared=True), "width").join(width(bootstrap_ci_1000(spark, sf_dir), "naive_width"), RUN)
     return both.withColumn("ratio", F.col("width") / F.nullif("naive_width", F.lit(0.0)))
 
 
@@ -317,7 +317,7 @@ def paired_block_bootstrap_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two scores over drawn cells; a point without a place is a cell of its own."""
     rows = metrics.finite(_wide(spark, sf_dir), "y_bin", "a", "b").join(_cells(spark, sf_dir), "point_id", "left")
     cells = rows.groupBy("seed", "city").agg(F.count_distinct(F.expr(_ALONE_UNIT)).alias("n_cells"))
-    return _paired(rows, F.expr(_ALONE_UNIT), LEAST_CELLS).withColumn("p", F.when(F.col("n") > 0, F.col("p"))).join(cells, ["seed", "city"])
+    return _paired(rows, F.expr(_ALONE_UNIT), LEAST_CELLS, shared=True).withColumn("p", F.when(F.col("n") > 0, F.col("p"))).join(cells, ["seed", "city"])
 
 
 @query("equivalence_verdict_1000", "seed:i city verdict", f"SELECT seed, city, CASE WHEN lo IS NULL OR hi IS NULL THEN 'inconclusive' WHEN lo > 2e-2 THEN 'better' WHEN hi < -2e-2 THEN 'worse' WHEN lo > -2e-2 AND hi < 2e-2 THEN 'equivalent' WHEN hi < 2e-2 THEN 'not_better' ELSE 'inconclusive' END AS verdict FROM ({_PAIRED_CELLS})")
@@ -446,7 +446,7 @@ def ladder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = inference.delong(means, ["city"], "y_bin", "a", "b").select("city", (F.col("auc_a") - F.col("auc_b")).alias("delta"), "p")
     tests = inference.holm(tests, "p", ["city"])
     cells = metrics.finite(means, "a", "b").join(_cells(spark, sf_dir), "point_id", "left")
-    said = _paired(cells, F.expr(_ALONE_UNIT), LEAST_CELLS).select("city", inference.verdict(F.col("lo"), F.col("hi"), clear=0.02).alias("verdict"))
+    said = _paired(cells, F.expr(_ALONE_UNIT), LEAST_CELLS, shared=True).select("city", inference.verdict(F.col("lo"), F.col("hi"), clear=0.02).alias("verdict"))
     paired = tests.join(said, "city").select(block, F.lit("siglip").alias("rung"), "delta", "verdict", "p_holm")
     return reports.ladder(directions, paired, ["block", "rung"])
 

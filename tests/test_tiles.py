@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streetgrid.operators import near, tiles
+from streetgrid.operators import inference, near, tiles
 from streetgrid.plans import catalogue
 
 
@@ -55,3 +55,10 @@ def test_no_broadcast_and_no_pairs(spark, sf_dir):
     assert "Broadcast" not in near.pairs_within(p, p, 100.0)._jdf.queryExecution().toString()
     for name in ("radius_count_sum", "radius_label3"):
         assert "Join" not in catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+
+
+def test_shared_units_are_counted_first(spark):
+    rows = spark.range(400).select(F.lit("r").alias("run"), (F.col("id") % 7 % 2).cast("int").alias("y"), (F.col("id") % 5 / 4).alias("s"), (F.col("id") % 6).alias("unit"))
+    of = lambda shared: inference.replicate_areas(rows, ["run"], "y", "s", F.col("unit"), 20, shared=shared)
+    assert sorted(of(True).collect()) == sorted(of(False).collect())
+    assert "count(1)" in of(True)._jdf.queryExecution().toString()
