@@ -20,46 +20,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import metrics
+from .near import tasks
 
 #: Weights come from squares modulo a prime; what a unit and a replicate are multiplied with. Fixed values.
 PRIME, OF_UNIT, OF_REPLICATE = 2147483647, 48271, 69621
 #: Borders of the weights 0, 1, 2, ... on the scale of the prime.
 BORDERS = [math.ceil(PRIME * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(10)]
-#: Rows of a block, and (row, replicate) pairs that a task works on at once.
-BLOCK_ROWS, AT_ONCE = 1 << 15, 1 << 21
+#: Rows of a block, and rows whose weights are worked out at once: few, so that all replicates of them stay in a core's cache.
+BLOCK_ROWS, ROWS_AT_ONCE = 1 << 15, 32
+
+
+class _Weigher:
+    """Weights of a few units in all replicates from ``first`` to ``last`` - 1, in buffers that are used again."""
+
+    def __init__(self, first: int, last: int):
+        shape = (ROWS_AT_ONCE, last - first)
+        self._replicates = np.arange(first, last, dtype=np.uint64)
+        self._of_replicate = self._replicates * np.uint64(OF_REPLICATE) % np.uint64(PRIME)
+        self._x0, self._x, self._y = (np.empty(shape, np.uint64) for _ in range(3))
+        self._whole, self._over, self._weights = np.empty(shape, np.int32), np.empty(shape, bool), np.empty(shape, np.uint8)
+
+    def __call__(self, units: np.ndarray) -> np.ndarray:
+        """One row for each of at most ``ROWS_AT_ONCE`` units; valid until the next call."""
+        prime, bits, m = np.uint64(PRIME), np.uint64(PRIME.bit_length()), len(units)
+        x0, x, y, whole, over, weights = (b[:m] for b in (self._x0, self._x, self._y, self._whole, self._over, self._weights))
+        units = units.astype(np.uint64)[:, None]
+        np.add((units * np.uint64(OF_UNIT) + np.uint64(12345)) % prime, self._of_replicate, out=x0)
+        # What is below twice the prime: taking the prime away runs around where it is below, so the least is the remainder.
+        np.minimum(x0, np.subtract(x0, prime, out=y), out=x0)
+        last = x0
+        for added in (units, self._replicates, x0):
+            np.add(np.multiply(last, last, out=x), added, out=x)
+            # The prime is a power of two less one: high bits count as ones.
+            np.right_shift(x, bits, out=y)
+            np.add(np.bitwise_and(x, prime, out=x), y, out=x)
+            last = np.minimum(x, np.subtract(x, prime, out=y), out=x)
+        whole[...] = last
+        np.greater_equal(whole, np.int32(BORDERS[0]), out=weights.view(bool))
+        for border in BORDERS[1:]:
+            np.add(weights, np.greater_equal(whole, np.int32(border), out=over).view(np.uint8), out=weights)
+        return weights
 
 
 def replicate_weights(units: np.ndarray, first: int, last: int) -> np.ndarray:
     """Weights of units (numbers below ``PRIME``) in replicates ``first`` to ``last`` - 1: one row for each unit."""
-    u, r = units.astype(np.int64)[:, None], np.arange(first, last, dtype=np.int64)[None, :]
-    x0 = (u * OF_UNIT + r * OF_REPLICATE + 12345) % PRIME
-    x = (x0 * x0 + u) % PRIME
-    x = (x * x + r) % PRIME
-    x = (x * x + x0) % PRIME
-    return np.searchsorted(np.array(BORDERS), x, side="right").astype(np.float64)
+    weigh, out = _Weigher(first, last), np.empty((len(units), last - first))
+    for k in range(0, len(units), ROWS_AT_ONCE):
+        out[k : k + ROWS_AT_ONCE] = weigh(units[k : k + ROWS_AT_ONCE])
+    return out
 
 
-def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, times: np.ndarray, replicates: int) -> list[tuple[float, bool, np.ndarray]]:
+def _pieces(score: np.ndarray, y: np.ndarray, units: np.ndarray, times: np.ndarray, replicates: int, weigh: _Weigher | None = None) -> list[tuple[float, bool, np.ndarray]]:
     """Sums of a block in order of score (rows that stand for ``times`` rows): its first score's rows, those between, its last score's rows.
 
     Each piece is (least score, one score only, sums); sums are the replicates' positive weights, negative weights, and
     pairs of a positive above a negative (half where they tie), which are left to later where the score is one only.
     """
+    weigh = weigh or _Weigher(0, replicates)
     starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
     cuts = [0] if len(starts) == 1 else [0, *([starts[1]] if len(starts) > 2 else []), starts[-1]]
     out = [np.zeros((3, replicates)) for _ in cuts]
-    step, several = max(1, AT_ONCE // len(score)), bool((times != 1).any())
-    for k in range(0, replicates, step):
-        w = replicate_weights(units, k, min(k + step, replicates))
-        w = w * times[:, None] if several else w
-        p, n = np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w * (1 - y)[:, None], starts)
-        below = np.cumsum(n, axis=0) - n / 2
-        bounds = np.searchsorted(starts, [*cuts, len(score)])
-        for sums, i, j in zip(out, bounds[:-1], bounds[1:], strict=True):
-            before = n[:i].sum(axis=0)
-            sums[0, k : k + step], sums[1, k : k + step] = p[i:j].sum(axis=0), n[i:j].sum(axis=0)
-            sums[2, k : k + step] = (p[i:j] * (below[i:j] - before)).sum(axis=0)
-    return [(float(score[c]), j - i == 1, sums) for c, i, j, sums in zip(cuts, bounds[:-1], bounds[1:], out, strict=True)]
+    # Rows of one score and label lie side by side, so few sums are made where many tie.
+    order = np.lexsort((y, score))
+    score, y, units, times = score[order], y[order], units[order], times[order]
+    number, several = np.cumsum(np.r_[False, score[1:] != score[:-1]]), bool((times != 1).any())
+    last, held, positive, negative = len(starts) - 1, 0, np.zeros(replicates), np.zeros(replicates)
+
+    def close(piece: int, p: np.ndarray, n: np.ndarray) -> None:
+        sums = out[piece]
+        sums[2] += (p * (sums[1] + np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+        sums[0] += p.sum(axis=0)
+        sums[1] += n.sum(axis=0)
+
+    for k in range(0, len(score), ROWS_AT_ONCE):
+        here, label = number[k : k + ROWS_AT_ONCE], y[k : k + ROWS_AT_ONCE] == 1
+        w = weigh(units[k : k + ROWS_AT_ONCE])
+        w = w * times[k : k + ROWS_AT_ONCE, None] if several else w
+        edges = np.flatnonzero(np.r_[True, (here[1:] != here[:-1]) | (label[1:] != label[:-1])])
+        made = w if len(edges) == len(w) else np.stack([w[i:j].sum(axis=0, dtype=np.float64 if several else np.uint16) for i, j in zip(edges, [*edges[1:], len(w)], strict=True)])
+        of, label = here[edges] - held, label[edges]
+        p, n = np.zeros((2, of[-1] + 1, replicates))
+        p[of[label]], n[of[~label]] = made[label], made[~label]
+        p[0] += positive
+        n[0] += negative
+        # The last score may go on in the next rows.
+        positive, negative, done, first, held = p[-1], n[-1], of[-1], int(held == 0), here[-1]
+        if done and first:
+            close(0, p[:1], n[:1])
+        if done > first:
+            close(1, p[first:done], n[first:done])
+    close(0 if last == 0 else len(cuts) - 1, positive[None], negative[None])
+    return [(float(s), last <= 2 or i != 1, sums) for i, (s, sums) in enumerate(zip(score[cuts], out, strict=True))]
 
 
 _PIECE = [T.StructField("_score", T.DoubleType()), T.StructField("_sums", T.BinaryType())]
@@ -75,12 +126,13 @@ def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Colu
     key = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by))
     rows = metrics.finite(df, y, score).select(*by, key.alias("_key"), F.col(score).cast("double").alias("_s"), (F.col(y) == 1).cast("double").alias("_y"), F.pmod(unit.cast("long"), F.lit(PRIME)).alias("_u"))
     rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("_m")) if shared else rows.withColumn("_m", F.lit(1.0))
-    rows = rows.repartitionByRange(*by, "_s", "_u").sortWithinPartitions("_key", "_s")
+    rows = rows.repartitionByRange(tasks(df.sparkSession), *by, "_s", "_u").sortWithinPartitions("_key", "_s")
     fields = [rows.schema[c] for c in by]
     names = [*by, "_score", "_sums"]
 
     def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        weigh = _Weigher(0, replicates)
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = pa.Table.from_batches(held)
@@ -88,7 +140,7 @@ def replicate_areas(df: DataFrame, by: list[str], y: str, score: str, unit: Colu
             edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
             values = [block.column(c).to_numpy() for c in ("_s", "_y", "_u", "_m")]
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                found = _pieces(*(v[i:j] for v in values), replicates)
+                found = _pieces(*(v[i:j] for v in values), replicates, weigh)
                 group = [pa.array([block.column(c)[i].as_py()] * len(found), block.schema.field(c).type) for c in by]
                 yield pa.RecordBatch.from_arrays([*group, pa.array([f[0] for f in found], pa.float64()), pa.array([f[2].tobytes() for f in found], pa.binary())], names=names)
 
