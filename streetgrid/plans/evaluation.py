@@ -453,11 +453,11 @@ def ladder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("qcut_bins", "backbone bin:i n:i lo:f hi:f", "SELECT p.backbone, CASE WHEN y_reg <= q1 THEN 0 WHEN y_reg <= q2 THEN 1 WHEN y_reg <= q3 THEN 2 ELSE 3 END AS bin, count(*) AS n, min(y_reg) AS lo, max(y_reg) AS hi FROM fx_predictions p JOIN (SELECT backbone, quantile_cont(y_reg, 25e-2) AS q1, quantile_cont(y_reg, 5e-1) AS q2, quantile_cont(y_reg, 75e-2) AS q3 FROM fx_predictions GROUP BY backbone) q ON q.backbone = p.backbone GROUP BY ALL")
 def qcut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    cuts = rows.groupBy("backbone").agg(F.percentile("y_reg", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    counts = _rows(spark, sf_dir).groupBy("backbone", "y_reg").agg(F.count(F.lit(1)).alias("m"))
+    cuts = metrics.quantiles(counts, ["backbone"], "y_reg", "m", [0.25, 0.5, 0.75])
     y = F.col("y_reg")
     bin_ = F.when(y <= F.col("q")[0], 0).when(y <= F.col("q")[1], 1).when(y <= F.col("q")[2], 2).otherwise(3)
-    return rows.join(cuts, "backbone").groupBy("backbone", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("y_reg").alias("lo"), F.max("y_reg").alias("hi"))
+    return counts.join(cuts, "backbone", "left").groupBy("backbone", bin_.alias("bin")).agg(F.sum("m").alias("n"), F.min("y_reg").alias("lo"), F.max("y_reg").alias("hi"))
 
 
 _H = "(point_id * 7919 + 104729) % 1000003"
