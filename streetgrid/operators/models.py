@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..sources.shared import cut
 from . import metrics
+from .near import tasks
 
 
 def vectors(df: DataFrame, column: str, name: str = "features") -> DataFrame:
@@ -138,7 +139,9 @@ def spatial_folds(points: DataFrame, k: int, by: str = "city", order: str = "poi
     that holds most points is no hot one.
     """
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    placed = cut(points.filter(F.col(by).isNotNull() & known("x") & known("y")).select(by, order, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    placed = points.filter(F.col(by).isNotNull() & known("x") & known("y")).select(by, order, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    # Every round reads these rows: dealt out first, as small files come in few pieces.
+    placed = cut(placed.repartition(tasks(points.sparkSession), by, order))
     place = F.struct("x", "y")
     away = lambda c: F.pow(F.col("x") - c["x"], 2) + F.pow(F.col("y") - c["y"], 2)
     nearest = lambda name: F.array_min(F.transform(name, lambda c, i: F.struct(away(c).alias("d"), i.alias("fold"))))

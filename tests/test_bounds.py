@@ -91,3 +91,16 @@ def test_circles_look_from_west_to_east(monkeypatch):
     assert np.mean(rising) > 0.8
     near = tiles.haversine(p["lat"][:, None], p["lon"][:, None], f["lat"][None], f["lon"][None]) <= 300.0
     assert (found == near.sum(axis=1)).all()
+
+
+def test_folds_are_dealt_out(spark):
+    """Points of one small file are spread over tasks before the rounds read them again and again."""
+    rows = spark.range(40).selectExpr("'a' AS city", "id AS point_id", "double(id % 7) AS x", "double(id % 5) AS y").coalesce(1)
+    kept = []
+    real = models.cut
+    models.cut, again = (lambda df: kept.append(df.rdd.getNumPartitions()) or real(df)), real
+    try:
+        models.spatial_folds(rows, 3).collect()
+    finally:
+        models.cut = again
+    assert kept[0] >= spark.sparkContext.defaultParallelism
