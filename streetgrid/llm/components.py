@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut_clean
 
 
 def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -16,22 +16,30 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     they have in edges, and the number of steps grows with the logarithm of the longest path.
     """
     by = list(by)
+
+    def each(df: DataFrame, *ends: tuple) -> DataFrame:
+        """For every row, a row (*by, u, v) for each of some pairs of columns; null pairs give none."""
+        pairs = F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) if only is None else F.when(only, F.struct(F.col(u).alias("u"), F.col(v).alias("v"))) for u, v, only in ends))
+        return df.select(*by, F.explode(pairs).alias("_e")).filter("_e is not null").select(*by, "_e.u", "_e.v")
+
+    def seen(df: DataFrame) -> tuple[DataFrame, dict]:
+        """The rows, written, and what tells whether a step changed them, taken as they are written."""
+        state = Observation()
+        written = cut_clean(df.observe(state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"), F.count_if(F.col("u") == F.col("v")).alias("alone")))
+        return written, state.get
+
     ends = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-    now = cut(ends.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    alone = now.filter("u = v").select(*by, "u").withColumn("v", F.col("u"))
-    now = now.filter("u > v")
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == state:
-            break
-        before = state
-        both = now.union(now.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+    first, state = seen(ends.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, loops, before = first.filter("u > v"), state["alone"], None
+    while before != (before := state):
+        both = each(now, ("u", "v", None), ("v", "u", None))
         least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.filter("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # As many rows as edges: repeated ones go below.
+        large = both.filter("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*by, "u"]).filter("v > m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(low.select(*by, "u", F.col("m").alias("v"))).distinct())
+        now, state = seen(each(large.join(low, [*by, "u"]), ("u", "m", None), ("v", "m", F.col("v") > F.col("m"))).distinct())
     # The edges are stars now: each node hangs on the smallest one.
-    nodes = now.union(now.select(*by, "v", "v")).union(alone)
+    nodes = each(now, ("u", "v", None), ("v", "v", None))
+    if loops:
+        nodes = nodes.union(first.filter("u = v"))
     return nodes.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, new_path, release, slices
+from .common import add_columns, cut_clean, new_path, release, slices
 from .components import components
 
 #: The tokens that come first in every order, rare before frequent, are so many times what a prefix takes of all.
@@ -190,7 +190,7 @@ _PLACE = ["part0", "part1", "i", "j"]
 
 def _placed_lists(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Every set of a listed pair at the block pairs where it has one, with its partners there (those of larger key)."""
-    reached = cut(components(pairs))
+    reached = cut_clean(components(pairs))
     sized = reached.join(sets.select("key", "n"), F.col("node") == F.col("key")).select("key", "n", "component")
     of = reached.join(_blocks(sized, ["component"]), "component").select("node", "component", "blocks")
     ends = pairs.join(of, F.col("u") == F.col("node")).withColumn("bu", _block("u")).withColumn("bv", _block("v"))
@@ -378,14 +378,14 @@ def similarity_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     _summaries(base, words, num, den).write.parquet(path)
     summaries = spark.read.parquet(path)
     known = summaries.filter("key is not null and doc_id is not null")
-    sets = cut(_with_parts(cut(_prefixes(known, num, den))))
-    pairs = cut(_listed(sets, num, den))
-    placed = cut(_placed_lists(pairs, sets).unionByName(_placed_parts(sets)))
+    sets = cut_clean(_with_parts(cut_clean(_prefixes(known, num, den))))
+    pairs = cut_clean(_listed(sets, num, den))
+    placed = cut_clean(_placed_lists(pairs, sets).unionByName(_placed_parts(sets)))
 
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     rows = placed.join(classes, "key")
     texts = _among(base, classes.join(placed.select("key").distinct(), "key", "left_semi").select("rep"))
-    found = cut(_verify(rows.join(texts, F.col("rep") == F.col("doc_id")), words, num, den))
+    found = cut_clean(_verify(rows.join(texts, F.col("rep") == F.col("doc_id")), words, num, den))
 
     reached = components(found.filter("v is not null").select("u", "v"))
     links = found.filter("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))

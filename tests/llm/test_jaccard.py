@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -110,6 +111,21 @@ def test_odd_rows(spark):
     assert jaccard.similarity_join(docs.limit(0)).count() == 0
 
 
+def test_components_leave_no_shuffle_files(spark):
+    """Neither the files of earlier steps nor the setting that removes them outlive a call."""
+    files = lambda: {f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)], "u long, v long")
+    before = files()
+    out = components(edges)
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # files are removed in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert out.count() == 41 and out.count() == 41
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (8, 7), (None, 4), *((i, i + 1) for i in range(100, 140)), *((500, i) for i in range(501, 540))]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
