@@ -160,6 +160,21 @@ def test_tree_baselines_have_the_sizes_asked_for(spark, monkeypatch):
     assert (asked["RandomForestRegressor"]["numTrees"], asked["RandomForestRegressor"]["maxDepth"], asked["GBTRegressor"]["maxIter"]) == (300, 30, 100)
 
 
+def test_tree_baselines_read_training_rows_once(spark, monkeypatch):
+    for name in ("RandomForestRegressor", "GBTRegressor"):
+        monkeypatch.setattr(models, name, lambda real=getattr(models, name), **k: real(**(k | ({"numTrees": 3} if "numTrees" in k else {"maxIter": 2}))))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(r):
+        reads.add(1)
+        return r
+
+    rows = spark.sparkContext.parallelize([(float(i), float(i * i)) for i in range(200)], 2)
+    train = spark.createDataFrame(rows.map(seen), "x double, y double")
+    assert models.tree_baselines(train, spark.createDataFrame(rows, "x double, y double"), "y", ["x"]).count() == 200
+    assert reads.value == 200
+
+
 def _haversine(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
