@@ -2,10 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut_clean, release
+
+#: Graphs of so many edges at most are joined in one task: each step costs the driver a plan of its own, however few edges.
+FEW = 1 << 16
+
+
+def _joined(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, node, component) for the ends of few edges (*by, u, v)."""
+    schema = T.StructType([*(edges.schema[c] for c in by), T.StructField("node", edges.schema["u"].dataType), T.StructField("component", edges.schema["u"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[tuple, tuple] = {}
+        types: list[pa.DataType] = []
+
+        def top(a: tuple) -> tuple:
+            while (b := above.setdefault(a, a)) != a:
+                above[a] = a = above[b]
+            return a
+
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            for *graph, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = top((*graph, u)), top((*graph, v))
+                above[max(a, b)] = min(a, b)
+        nodes = iter(list(above))
+        while part := list(islice(nodes, 10_000)):
+            rows = zip(*((*a, top(a)[-1]) for a in part), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=schema.names)
+        above.clear()
+        release()
 
-from .common import cut_clean
+    return edges.select(*by, "u", "v").coalesce(1).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -13,7 +49,7 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Edges may repeat, run either way and join a node to itself (such a node alone is its own component); those with a
     null end are left out. ``by`` names columns that keep graphs apart. Each step sends every edge once, so hubs cost what
-    they have in edges, and the number of steps grows with the logarithm of the longest path.
+    they have in edges, and the number of steps grows with the logarithm of the longest path. Up to ``FEW`` edges take none.
     """
     by = list(by)
 
@@ -30,6 +66,8 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     ends = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     first, state = seen(ends.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if state["n"] <= FEW:
+        return _joined(first, by)
     now, loops, before = first.filter("u > v"), state["alone"], None
     while before != (before := state):
         both = each(now, ("u", "v", None), ("v", "u", None))

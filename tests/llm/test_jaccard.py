@@ -6,6 +6,7 @@ import time
 
 import pytest
 
+from streetgrid.llm import components as graph
 from streetgrid.llm import jaccard
 from streetgrid.llm.common import table
 from streetgrid.llm.components import components
@@ -131,3 +132,28 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 5: 5, **dict.fromkeys(range(100, 141), 100), **dict.fromkeys(range(500, 540), 500)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_by_steps_and_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(3), rng.randrange(400), rng.randrange(400)) for _ in range(500)]
+    root = {(k, i): i for k, u, v in edges for i in (u, v)}
+    for _ in range(400):
+        for k, u, v in edges:
+            root[k, u] = root[k, v] = min(root[k, u], root[k, v])
+    found = components(spark.createDataFrame(edges, "kind int, u long, v long"), by=("kind",))
+    assert found.dtypes == [("kind", "int"), ("node", "bigint"), ("component", "bigint")]
+    rows = [((r["kind"], r["node"]), r["component"]) for r in found.collect()]
+    assert len(rows) == len(root) and dict(rows) == root
+
+
+def test_few_edges_take_few_jobs(spark):
+    """Each step is a plan and some jobs that the driver holds; a small graph needs no step."""
+    spark.sparkContext.setJobGroup("few-edges", "few edges")
+    try:
+        assert components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")).count() == 301
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 6
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
