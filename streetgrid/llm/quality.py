@@ -62,9 +62,18 @@ def _runs(text: str) -> str:
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
+def _bucket(unit: str, buckets: int) -> int:
+    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % buckets
+
+
+#: Most words are small letters only; their shape is known.
+_SMALL = _bucket("a", SHAPES)
+
+
 def _buckets(chunk: str) -> int:
-    word = zlib.crc32(chunk.strip(_MARKS).lower().encode("utf-8", "surrogatepass")) % WORDS
-    return word * SHAPES + zlib.crc32(shape(chunk).encode("utf-8", "surrogatepass")) % SHAPES
+    if chunk.isalpha() and chunk.islower():
+        return _bucket(chunk.lower(), WORDS) * SHAPES + _SMALL
+    return _bucket(chunk.strip(_MARKS).lower(), WORDS) * SHAPES + _bucket(shape(chunk), SHAPES)
 
 
 class TextView:
@@ -241,8 +250,8 @@ class CoTraining:
         return CoTrained(*self.models, calibration, _platt(columns, y, weight))
 
 
-def _viewed(rows: DataFrame, keep: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Both views of few rows, made where the texts are, and the rows in order of their ids."""
+def _views(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Add both views, _x0 and _x1, made where the texts are."""
     fields = [T.StructField("_x0", T.BinaryType()), T.StructField("_x1", T.BinaryType())]
 
     def make():
@@ -255,7 +264,12 @@ def _viewed(rows: DataFrame, keep: list[str]) -> tuple[np.ndarray, np.ndarray, l
 
         return work
 
-    found = sorted(add_columns(rows, make, COLUMNS, fields, keep=keep).collect(), key=lambda r: r["doc_id"])
+    return add_columns(rows, make, COLUMNS, fields, keep=keep)
+
+
+def _viewed(rows: DataFrame, keep: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+    """Both views of few rows, and the rows in order of their ids."""
+    found = sorted(_views(rows, keep).collect(), key=lambda r: r["doc_id"])
     views = [np.frombuffer(b"".join(r[c] for r in found), np.float32).reshape(len(found), size) for c, size in (("_x0", TextView.size), ("_x1", METADATA))]
     return *views, found
 
@@ -264,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
     """Co-train on at most ``per_class`` labelled rows of each class outside the held-out third and all other documents.
 
     Each round scores every document that is not in the labelled sample; of those that a view is sure of, ``GIVEN`` at
-    most, the first in hash order, are fetched. None without both labels.
+    most, the first in hash order, are fetched. The views of all documents are written before the first round, so that
+    no round reads the texts again. None without both labels.
     """
     spark = docs.sparkSession
     x_text, x_meta, rows = _viewed(labelled_sample(docs, labels, "quality", per_class, COLUMNS), ["doc_id", "_y"])
@@ -274,15 +289,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
     share = learnable(labels, "quality").agg(F.avg("_y")).first()[0]
     work = CoTraining((x_text, x_meta), y, float(share))
     taken = {r["doc_id"] for r in rows}
+    viewed = None
     for _ in range(rounds):
         cuts = [(giver, label, work.cut(giver, label)) for giver in (0, 1) for label in (0, 1)]
         cuts = [c for c in cuts if c[2] is not None]
         if not cuts:
             break
         known = spark.createDataFrame([(i,) for i in sorted(taken)], "doc_id long")  # the sample and what rounds fetched
-        free = docs.filter(F.col("doc_id").isNotNull()).join(F.broadcast(known), "doc_id", "left_anti")
-        path = new_path(spark, "views")
-        _view_logits(free, work.models).write.parquet(path)
+        if viewed is None:
+            path = new_path(spark, "views")
+            free = docs.filter(F.col("doc_id").isNotNull()).join(F.broadcast(known), "doc_id", "left_anti")
+            _views(free, ["doc_id"]).write.parquet(path)
+            viewed = spark.read.parquet(path)
+        path = new_path(spark, "logits")
+        _view_logits(viewed.join(F.broadcast(known), "doc_id", "left_anti"), work.models).write.parquet(path)
         scored = spark.read.parquet(path)
         given = []
         for giver, label, cut in cuts:
@@ -310,26 +330,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
     return work.finish()
 
 
-def _view_logits(docs: DataFrame, models: list[Logistic]) -> DataFrame:
-    """doc_id and the log odds of each view, z0 and z1, not calibrated."""
-    fields = [T.StructField("z0", T.DoubleType()), T.StructField("z1", T.DoubleType())]
-    return _with_views(docs, models, lambda own, x: [m.logit(v) for m, v in zip(own, x, strict=True)], fields, ["doc_id"])
-
-
-def _with_views(docs: DataFrame, model, of, fields: list[T.StructField], keep: list[str] | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _view_logits(viewed: DataFrame, models: list[Logistic]) -> DataFrame:
+    """doc_id and the log odds of each view, z0 and z1, not calibrated, of documents with both views."""
+    shared = viewed.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        own, text_view = shared.value, TextView()
+        own = shared.value
 
-        def work(text, source, lang, n_chars):
-            texts = strings(text)
-            x = text_view(texts), metadata_features(texts, source.to_pylist(), lang.to_pylist(), n_chars.to_pylist())
-            return [pa.array(p, pa.float64()) for p in of(own, x)]
+        def work(*views):
+            x = [np.frombuffer(b"".join(v.to_pylist()), np.float32).reshape(len(v), size) for v, size in zip(views, (TextView.size, METADATA), strict=True)]
+            return [pa.array(m.logit(v), pa.float64()) for m, v in zip(own, x, strict=True)]
 
         return work
 
-    return add_columns(docs, make, COLUMNS, fields, keep)
+    return add_columns(viewed, make, ["_x0", "_x1"], [T.StructField("z0", T.DoubleType()), T.StructField("z1", T.DoubleType())], ["doc_id"])
 
 
 SCORES = ("p_text", "p_metadata", "quality_score")
@@ -342,7 +356,19 @@ def score(docs: DataFrame, model: CoTrained | None, keep: list[str] | None = Non
     """
     if model is None:
         return docs.select(*(docs.columns if keep is None else keep), *(F.lit(1.0).alias(n) for n in SCORES))
-    return _with_views(docs, model, lambda own, x: own.scores(*x), [T.StructField(n, T.DoubleType()) for n in SCORES], keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own, text_view = shared.value, TextView()
+
+        def work(text, source, lang, n_chars):
+            texts = strings(text)
+            x = text_view(texts), metadata_features(texts, source.to_pylist(), lang.to_pylist(), n_chars.to_pylist())
+            return [pa.array(p, pa.float64()) for p in own.scores(*x)]
+
+        return work
+
+    return add_columns(docs, make, COLUMNS, [T.StructField(n, T.DoubleType()) for n in SCORES], keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

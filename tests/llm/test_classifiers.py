@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streetgrid.llm import quality, toxicity
 from streetgrid.llm.common import table
@@ -63,6 +64,30 @@ def test_quality_odd_rows_and_no_labels(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_rounds_read_whole_texts_once(spark, monkeypatch):
+    """A further round reads the documents that it fetches, not every text again."""
+    monkeypatch.setattr(quality.CoTraining, "_loss", lambda *_: 0.0)  # what a view gets never makes it worse
+    n, rng = 2400, np.random.default_rng(0)
+    y = (np.arange(n) % 2).tolist()
+    rows = [(i, ("good plain words " if y[i] else "BAD 123 !!! ") * 20 + f"w{i}", "en", ("s", "t")[y[i] ^ int(rng.random() < 0.2)], 100 + i % 7) for i in range(n)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2).withColumn("text", F.udf(seen, "string")("text"))
+    marks = spark.createDataFrame([(i, y[i]) for i in range(1800)], "doc_id long, quality int")
+    reads, models = [], []
+    for rounds in (0, 1, 2):
+        before = read.value
+        models.append(quality.train(docs, marks, rounds=rounds))
+        reads.append(read.value - before)
+    weights = [m.metadata.weights.tolist() for m in models]
+    assert weights[2] != weights[1] != weights[0]
+    assert reads[1] > reads[0] and reads[2] - reads[1] <= n
+
+
 def test_op8_query_on_held_out_rows(spark):
     """Of the toxic documents in these labels, 26 of 279 English ones hold none of the words that mark the others."""
     known = labels(spark)
